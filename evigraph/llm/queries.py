@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
-from . import bpe, packing
+from . import bpe, packing, spans
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -19,6 +19,10 @@ def p8_windows(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(bpe.token_counts(table(spark, d, "documents").select("doc_id", "text")), windows)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p7_ids": p7_ids, "p8_windows": p8_windows}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_chars(table(spark, d, "documents").select("doc_id", "text"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p7_ids": p7_ids, "p8_windows": p8_windows, "p9_found": p9_found}
 
 SQL: dict[str, str] = {}
