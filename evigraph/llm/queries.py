@@ -7,7 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
-from . import bpe, packing, spans
+from . import bpe, packing, sentences, spans
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    blocks = table(spark, d, "paper_json").where("kind = 'paragraph'").select("block_id", "text").distinct()
+    return sentences.split_sentences(blocks).select("block_id", "end_char")
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -23,6 +28,6 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_chars(table(spark, d, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p7_ids": p7_ids, "p8_windows": p8_windows, "p9_found": p9_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p6_found": p6_found, "p7_ids": p7_ids, "p8_windows": p8_windows, "p9_found": p9_found}
 
 SQL: dict[str, str] = {}
