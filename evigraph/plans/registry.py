@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import integrity
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+for _module in (integrity,):
+    QUERIES |= _module.QUERIES
+    SQL |= _module.SQL
