@@ -196,13 +196,13 @@ def _divide(k: int, m: int):
     return run
 
 
-def _settle(strings: DataFrame, k: int, bucket_strings: int, kind: str, m_next: int | None) -> DataFrame:
+def _settle(strings: DataFrame, k: int, bucket_strings: int, kind: str, m_next: int | None, groups: int) -> DataFrame:
     """(sid, at, n): shared windows of distinct strings (sid, h, lo, hi, packed); lo and hi are the least and the greatest
-    document with the string."""
+    document with the string. Usual buckets are counted ``groups`` batches at a time, whole buckets together."""
     size = strings.groupBy("h").agg(F.count("*").alias("strings"))
     sized = strings.join(size, "h")
     usual = sized.where(F.col("strings") <= bucket_strings).select("sid", "h", "lo", "hi", "packed")
-    out = usual.groupBy("h").applyInPandas(_count_bucket(k), "sid bigint, at int, n int")
+    out = usual.groupBy(F.pmod(F.xxhash64("h"), F.lit(groups)).alias("batch")).applyInPandas(_count_bucket(k), "sid bigint, at int, n int")
     hot = sized.where(F.col("strings") > bucket_strings).select("sid", "h", "lo", "hi", "packed")
     m = m_next or k
     parts = hot.mapInPandas(_divide(k, m), f"sid bigint, at int, lo {kind}, hi {kind}, h bigint, packed string")
@@ -215,7 +215,7 @@ def _settle(strings: DataFrame, k: int, bucket_strings: int, kind: str, m_next:
         one = grouped.groupBy("h", "key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min(F.struct("sid", "at")).alias("first"), F.first("packed").alias("packed"))
         several = one.groupBy("h").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).where("a < b").select("h")
         inner = one.join(several, "h", "left_semi").select(F.xxhash64("h", "key").alias("sid"), "h", "lo", "hi", "packed")
-        settled = _settle(inner, k, bucket_strings, kind, None).withColumnRenamed("at", "inner")
+        settled = _settle(inner, k, bucket_strings, kind, None, groups).withColumnRenamed("at", "inner")
         back = grouped.select(F.xxhash64("h", "key").alias("part"), "sid", "at")
         found = settled.withColumnRenamed("sid", "part").join(back, "part").select("sid", (F.col("at") + F.col("inner")).alias("at"), "n")
     return out.unionByName(found)
@@ -238,7 +238,7 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     wanted = recurring.where("mixed").groupBy("doc").agg(F.collect_list(F.struct("start", "n", "h")).alias("runs"))
     strings = cut(source.join(wanted, "doc").mapInPandas(lambda it: _cut_strings(it, k), f"h bigint, doc {kind}, start int, n int, packed string").withColumn("sid", F.xxhash64("h", "packed")))
     distinct = strings.groupBy("h", "sid").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.first("packed").alias("packed"))
-    settled = _settle(distinct, k, bucket_strings, kind, k - k // 8)
+    settled = _settle(distinct, k, bucket_strings, kind, k - k // 8, strings.count() // BUCKET_STRINGS + 1)
     counted = strings.select("sid", "doc", "start").join(settled, "sid").select("doc", (F.col("start") + F.col("at")).alias("start"), "n")
     spans = plain.unionByName(counted).select("doc", "start", (F.col("start") + F.col("n") + (k - 1)).alias("stop")).distinct()
     ordered = spans.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
