@@ -31,13 +31,13 @@ WITH parent AS (
 m AS (SELECT * FROM reference_matches_v4 QUALIFY row_number() OVER (PARTITION BY citing_paper_id, ref_id ORDER BY updated_at DESC, target_paper_id DESC NULLS LAST) = 1),
 p AS (SELECT paper_id, project_slug, max(assigned_at) AS assigned_at FROM paper_projects GROUP BY ALL),
 refs AS (
-  SELECT 'reference_matches_v4' AS child_table, 'citing_paper_id' AS child_column, concat(citing_paper_id, '|', ref_id) AS record_key, citing_paper_id AS id, updated_at AS at FROM m
+  SELECT 'reference_matches_v4' AS child_table, 'citing_paper_id' AS child_column, concat(citing_paper_id, '|', ref_id) AS record_key, citing_paper_id AS id, updated_at AS tm FROM m
   UNION ALL SELECT 'reference_matches_v4', 'target_paper_id', concat(citing_paper_id, '|', ref_id), target_paper_id, updated_at FROM m
   UNION ALL SELECT 'paper_projects', 'paper_id', concat(paper_id, '|', project_slug), paper_id, assigned_at FROM p),
 judged AS (
-  SELECT r.*, CASE WHEN q.num IS NULL THEN 'missing' WHEN q.active = 0 THEN 'inactive' WHEN q.seen > r.at THEN 'late' END AS kind
+  SELECT r.*, CASE WHEN q.num IS NULL THEN 'missing' WHEN q.active = 0 THEN 'inactive' WHEN q.seen > r.tm THEN 'late' END AS kind
   FROM (SELECT *, {_number("id")} AS num FROM refs WHERE id IS NOT NULL) r LEFT JOIN parent q ON r.num = q.num),
-opened AS (SELECT child_table, child_column, record_key, kind, strftime(at, '%Y-%m') AS year_month FROM judged WHERE kind IS NOT NULL)
+opened AS (SELECT child_table, child_column, record_key, kind, strftime(tm, '%Y-%m') AS year_month FROM judged WHERE kind IS NOT NULL)
 """
 
 QUERIES = {"p4_found": p4_found, "p4_snapshot": p4_snapshot}
