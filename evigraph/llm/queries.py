@@ -5,9 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import bpe, packing, sentences, spans
+from . import bpe, canonical, packing, sentences, spans
+
+
+def _mapped(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.map_terms(canonical.entered_values(table(spark, d, "inventory")), table(spark, d, "terms"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _mapped(spark, d).select("inventory_id", "term_type", "item_no", "canonical")
+
+
+def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """The values that have no term, with how often each was entered."""
+    return _mapped(spark, d).where("canonical = ''").groupBy("term_type", "raw").agg(F.count("*").alias("n"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -28,6 +42,6 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_chars(table(spark, d, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p6_found": p6_found, "p7_ids": p7_ids, "p8_windows": p8_windows, "p9_found": p9_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p6_found": p6_found, "p7_ids": p7_ids, "p8_windows": p8_windows, "p9_found": p9_found}
 
 SQL: dict[str, str] = {}
