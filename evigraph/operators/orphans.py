@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import shared_dir
+from ..runtime import shared_dir, written
 from .joins import lookup_join
 
 PARENTS = "num string, active int, last timestamp_ntz, seen timestamp_ntz"
@@ -110,7 +110,7 @@ class OrphanLedger:
             still = flagged.where("not again and hit is null").select(*id_columns, "top", "kind")
             touched = flagged.where("again or hit is not null").select(*id_columns, "top")
         probe = touched.select(*id_columns, "top.num", "top.at", "top.record_key")
-        judged = lookup_join(probe, index.select("num", "active", "seen"), "num").withColumn("kind", verdict(F.col("num"), F.col("active"), F.col("seen"), F.col("at")))
+        judged = lookup_join(written(probe, "probe"), index.select("num", "active", "seen"), "num").withColumn("kind", verdict(F.col("num"), F.col("active"), F.col("seen"), F.col("at")))
         names = [c.split()[0] for c in REFS.split(", ")]
         out = judged.select(*names)
         if still is not None:
@@ -139,7 +139,7 @@ def orphan_ledger(papers: DataFrame, matches: DataFrame, projects: DataFrame, ba
         .unionByName(reference_rows(held, "reference_matches_v4", "target_paper_id", record, match_key, "updated_at"))
         .unionByName(reference_rows(held_projects, "paper_projects", "paper_id", ["paper_id", "project_slug"], [F.col("paper_id"), F.col("project_slug")], "assigned_at"))
     )
-    parents = parent_rows(papers)
+    refs, parents = written(refs, "references"), parent_rows(papers)
     ledger = OrphanLedger(papers.sparkSession)
     bounds = parents.select(F.unix_micros(F.col("last").cast("timestamp")).alias("t")).agg(F.expr(f"approx_percentile(t, array({', '.join(str(i / batches) for i in range(1, batches)) or '1.0'}))")).first()[0] or []
     edges = [None, *bounds[: batches - 1], None] if batches > 1 else [None, None]
