@@ -92,7 +92,7 @@ def split_sentences(blocks: DataFrame, text: str = "text") -> DataFrame:
     """``blocks`` with one row per sentence: sentence_no from 1, end_char, sentence (the text itself, restored)."""
     own = "__ends"
     out = blocks.withColumn(own, sentence_ends(F.col(text)))
-    out = out.select(*blocks.columns, F.col(own), F.posexplode(own).alias("__pos", "end_char"))
+    out = out.select(*blocks.columns, F.col(own), F.posexplode_outer(own).alias("__pos", "end_char")).where("end_char is not null")  # a plain posexplode would compute the ends twice, once to filter
     begin = F.when(F.col("__pos") == 0, 0).otherwise(F.element_at(own, F.col("__pos")))
     sentence = F.regexp_replace(F.substring(F.col(text), begin + 1, F.col("end_char") - begin), r"(?U)^\s+", "")
     return out.select(*blocks.columns, (F.col("__pos") + 1).alias("sentence_no"), "end_char", sentence.alias("sentence"))
