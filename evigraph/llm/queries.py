@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import bpe, canonical, packing, sentences, spans
+from . import authors, bpe, canonical, packing, sentences, spans
 
 
 def _mapped(spark: SparkSession, d: str) -> DataFrame:
@@ -24,6 +24,10 @@ def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return _mapped(spark, d).where("canonical = ''").groupBy("term_type", "raw").agg(F.count("*").alias("n"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return authors.variant_pairs(authors.link_names(authors.author_strings(table(spark, d, "reference"), table(spark, d, "paper_metadata_v4"))))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     blocks = table(spark, d, "paper_json").where("kind = 'paragraph'").select("block_id", "text").distinct()
     return sentences.split_sentences(blocks).select("block_id", "end_char")
@@ -42,6 +46,6 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_chars(table(spark, d, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p6_found": p6_found, "p7_ids": p7_ids, "p8_windows": p8_windows, "p9_found": p9_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_windows": p8_windows, "p9_found": p9_found}
 
 SQL: dict[str, str] = {}
