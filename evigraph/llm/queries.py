@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import authors, bpe, canonical, packing, sentences, spans
+from . import authors, bpe, canonical, packing, scans, sentences, spans
 
 
 def _mapped(spark: SparkSession, d: str) -> DataFrame:
@@ -28,6 +28,22 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return authors.variant_pairs(authors.link_names(authors.author_strings(table(spark, d, "reference"), table(spark, d, "paper_metadata_v4"))))
 
 
+def _repaired(spark: SparkSession, d: str, found: bool) -> DataFrame:
+    blocks, refs = table(spark, d, "paper_json"), table(spark, d, "reference")
+    journals = refs.select(F.col("journal").alias("title")).unionByName(table(spark, d, "papers").select(F.col("journal").alias("title"))).distinct()
+    prose = blocks.where("kind = 'paragraph'").select("block_id", "text").distinct()
+    return scans.repair(scans.scan_records(blocks, refs), prose, journals, found)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _repaired(spark, d, True)
+
+
+def p3_text(spark: SparkSession, d: str) -> DataFrame:
+    """The scanned records as continuous paragraphs."""
+    return _repaired(spark, d, False)
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     blocks = table(spark, d, "paper_json").where("kind = 'paragraph'").select("block_id", "text").distinct()
     return sentences.split_sentences(blocks).select("block_id", "end_char")
@@ -46,6 +62,6 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_chars(table(spark, d, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_windows": p8_windows, "p9_found": p9_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p3_found": p3_found, "p3_text": p3_text, "p6_found": p6_found, "p7_ids": p7_ids, "p8_windows": p8_windows, "p9_found": p9_found}
 
 SQL: dict[str, str] = {}
