@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import authors, bpe, canonical, packing, scans, sentences, spans
+from . import authors, bpe, canonical, matching, packing, scans, sentences, spans
 
 
 def _mapped(spark: SparkSession, d: str) -> DataFrame:
@@ -44,6 +44,20 @@ def p3_text(spark: SparkSession, d: str) -> DataFrame:
     return _repaired(spark, d, False)
 
 
+def _matched(spark: SparkSession, d: str) -> DataFrame:
+    records = matching.open_records(table(spark, d, "reference_matches_v4"))
+    return matching.match(records, matching.held_papers(table(spark, d, "papers")), ["citing_paper_id", "ref_id"], "citing")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _matched(spark, d).select("citing_paper_id", "ref_id", F.col("entity").alias("paper_id"))
+
+
+def p5_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """The matches with the marginal probability of each."""
+    return _matched(spark, d).select("citing_paper_id", "ref_id", F.col("entity").alias("paper_id"), F.round("confidence", 4).alias("confidence"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     blocks = table(spark, d, "paper_json").where("kind = 'paragraph'").select("block_id", "text").distinct()
     return sentences.split_sentences(blocks).select("block_id", "end_char")
@@ -62,6 +76,6 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_chars(table(spark, d, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p3_found": p3_found, "p3_text": p3_text, "p6_found": p6_found, "p7_ids": p7_ids, "p8_windows": p8_windows, "p9_found": p9_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p3_found": p3_found, "p3_text": p3_text, "p5_found": p5_found, "p5_confidence": p5_confidence, "p6_found": p6_found, "p7_ids": p7_ids, "p8_windows": p8_windows, "p9_found": p9_found}
 
 SQL: dict[str, str] = {}
