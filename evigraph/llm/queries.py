@@ -31,7 +31,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def _repaired(spark: SparkSession, d: str, found: bool) -> DataFrame:
     blocks, refs = table(spark, d, "paper_json"), table(spark, d, "reference")
     journals = refs.select(F.col("journal").alias("title")).unionByName(table(spark, d, "papers").select(F.col("journal").alias("title"))).distinct()
-    prose = blocks.where("kind = 'paragraph'").select("block_id", "text").distinct()
+    prose = blocks.where("kind = 'paragraph'").select("text")
     return scans.repair(scans.scan_records(blocks, refs), prose, journals, found)
 
 

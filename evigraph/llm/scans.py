@@ -81,14 +81,14 @@ _PAGE_SIGNS = str.maketrans("@", "a")
 _PAGED = re.compile(rf"^(?:p|pp|s|pa[g9][ec]|[s5]eite)\.?\s*{_N}(?:\s+\S{{1,3}}\s+{_N})?$", re.I)
 _TAIL = re.compile(r"(?:\s*·\s*\S{3,4}\.?\s*\S{1,4}|,\s*\S{4}|\s{2,}\S{1,5}|\s+\S{1,4}\s*\(\S{4}\)\s*\S{1,6}\s*[–-]\s*\S{1,6})$")
 _MARKS = tuple(skeleton(m) for m in ("scanned copy", "downloaded f", "digitized by", "digitised by", "copyright ©"))
-_AUTHORS = re.compile(rf"^(?:{_N}\s{{2,}}\S.{{0,60}}? et al\.?|\S.{{0,60}}? et al\.?\s{{2,}}{_N})$")
+_AUTHORS = re.compile(rf"^(?:{_N}\s{{2,}}\S.{{0,60}}? et a[l1]\.?|\S.{{0,60}}? et a[l1]\.?\s{{2,}}{_N})$")
 _WORKERS = skeleton("co-workers")
 
 
 def head_keys(line: str) -> list[str]:
     """The letters of what may be a running title in ``line``, as skeletons."""
     s = line.strip()
-    if not 6 <= len(s) <= 110:
+    if not (6 <= len(s) <= 110 and (s[-1] in "0123456789lOIo" and any(c.isdigit() for c in s[-4:]) or " / " in s or s.isupper())):
         return []
     parts = [s, _TAIL.sub("", s)]
     if re.match(rf"^{_N}\s{{2,}}", s):
@@ -105,14 +105,10 @@ def title_key(title: str) -> str:
 
 def is_furniture(line: str, heads) -> bool:
     s = line.strip()
-    if _NUMBER.match(s) or _AUTHORS.match(s):
+    n = len(s)
+    if n <= 14 and _NUMBER.match(s) or n <= 40 and _PAGED.match(s.lower().translate(_PAGE_SIGNS)):
         return True
-    low = skeleton(s.lower())
-    if _PAGED.match(s.lower().translate(_PAGE_SIGNS)):
-        return True
-    if low.startswith(_MARKS) and len(s) < 80:
-        return True
-    if low.endswith(_WORKERS) and len(s) < 80:
+    if n < 80 and (" et a" in s and _AUTHORS.match(s) or skeleton(s[:14].lower()).startswith(_MARKS) or skeleton(s[-12:].lower()).endswith(_WORKERS)):
         return True
     return any(k in heads for k in head_keys(s))
 
@@ -150,43 +146,58 @@ def _whole(piece: str) -> bool:
     return piece.lower() == core(piece)
 
 
+_cores: dict[str, str] = {}
+
+
+def word_of(piece: str) -> str:
+    """The word of a piece of text; '' if it is no word. Kept for the pieces seen, up to a bound."""
+    w = _cores.get(piece)
+    if w is None:
+        if len(_cores) > 400_000:
+            _cores.clear()
+        w = core(piece)
+        _cores[piece] = w = w if _wordlike(w) else ""
+    return w
+
+
 def batch_forms(records: list[tuple[str, bool, frozenset]]) -> tuple[Counter, set[str], set[str]]:
     """Of (text, is a page, words never corrected): words with counts, other forms asked for, keys of possible heads."""
-    words: Counter = Counter()
-    spread: Counter = Counter()
+    pieces: Counter = Counter()
+    joins: Counter = Counter()
     asked: set[str] = set()
     heads: set[str] = set()
-    neighbours: Counter = Counter()
+    read = []
     for text, page, never in records:
         r = Lines(text, (), page)
-        here = set()
+        read.append((r, never))
         for i in r.text:
             heads.update(head_keys(r.raw[i]))
-            before = None
-            for k, piece in enumerate(r.pieces[i]):
-                if (i, k) in r.used:
-                    before = None
-                    continue
-                w = core(piece)
-                if w in never or not _wordlike(w):
-                    before = w if len(w) == 1 and w.isalpha() and _whole(piece) else None
-                    continue
-                words[w] += 1
-                here.add(w)
-                if piece[0] == "(":
-                    asked.add("(" + w)
-                if before is not None and piece[:1].isalpha():
-                    neighbours[before, w] += 1
-                before = w if piece.lower().lstrip(_FRONT) == w else None
-        spread.update(here)
+            pieces.update(r.pieces[i])
+        joins.update(r.pieces[i][k] for i, k in r.used)
+        if never:
+            joins.update(p for i in r.text for k, p in enumerate(r.pieces[i]) if (i, k) not in r.used and core(p) in never)
         for _, _, a, b, _ in r.joins:
             asked |= {a + b, f"{a}-{b}", a, b, "-" + b}
-    common = max(3, len(records) // 100)
-    for a, b in neighbours:
-        if (spread[a] < common or spread[b] < common) and len(a) + len(b) >= 4 and "-" not in a:
-            asked.add(a + b)
-    for w in list(words) + list(asked):
-        asked.update(_compound(w))
+    words: Counter = Counter()
+    for piece, n in pieces.items():
+        if n > joins[piece] and (w := word_of(piece)):
+            words[w] += n - joins[piece]
+            if piece[0] == "(":
+                asked.add("(" + w)
+    common = max(3, sum(words.values()) // 8000)
+    rare = {p for p in pieces if words.get(word_of(p) or core(p), 0) < common}
+    for r, never in read:
+        for i in r.text:
+            line = r.pieces[i]
+            for k in range(len(line) - 1):
+                a, b = line[k], line[k + 1]
+                if (a in rare or b in rare) and b[0].islower() and a[-1].isalpha():
+                    v, w = core(a), core(b)
+                    if len(v) + len(w) >= 4 and v.isalpha() and v not in never and w not in never:
+                        asked.add(v + w)
+    for w in [*words, *asked]:
+        if "-" in w:
+            asked.update(_compound(w))
     return words, asked - set(words), heads
 
 
@@ -195,10 +206,23 @@ class Reader:
 
     def __init__(self, entries: dict[str, tuple[int, int]], heads: set[str]):
         self.n, self.heads = entries, heads
+        self.sure = 20  # clean uses from which a word beside another such word is never taken for a torn part
         self.by: dict[str, list[str]] = {}
         for w in entries:
             self.by.setdefault(skeleton(w), []).append(w)
         self.memo: dict[str, str | None] = {}
+        self.firm: dict[str, int] = {}
+
+    def look_at(self, piece: str) -> int:
+        """0: no word and no part of one, 1: a word of clean prose, 2: anything else. Kept for the pieces seen."""
+        w = core(piece)
+        clean = self.n.get(w, (0, 0))[0]
+        sort = 0 if not any(map(str.isalpha, w)) or re.fullmatch(r"[a-z]\d+", w) else 1 if clean else 2
+        # a word that may be half of a torn one is no sure word
+        if sort == 1 and clean < self.sure:
+            sort = 2
+        self.firm[piece] = sort
+        return sort
 
     def weight(self, w: str) -> float:
         clean, scans = self.n.get(w, (0, 0))
@@ -245,7 +269,7 @@ class Reader:
             return False
         na, nb = self.n.get(a, (0, 0)), self.n.get(b, (0, 0))
         if na[0] and nb[0]:
-            return clean >= 20 and 50 * min(na[0], nb[0]) < clean
+            return min(na[0], nb[0]) < self.sure and clean >= 20 and 50 * min(na[0], nb[0]) < clean
         if not clean and (na[1] >= scans and nb[1] >= scans):
             return False
         return True
@@ -282,22 +306,29 @@ def findings(text: str, page: bool, never: frozenset, reader: Reader) -> list[tu
 def _line_words(r: Lines, i: int, never: frozenset, reader: Reader) -> list[tuple[tuple[int, ...], str]]:
     """((positions of the pieces), right word) of each misread or torn word of line ``i``."""
     out, pieces, k = [], r.pieces[i], 0
+    firm = reader.firm
     while k < len(pieces):
+        piece = pieces[k]
+        here = firm.get(piece)
+        if here is None:
+            here = reader.look_at(piece)
+        if here == 0 or here == 1 and (k + 1 == len(pieces) or firm.get(pieces[k + 1], 2) < 2):  # a sure word beside a sure word
+            k += 1
+            continue
         if (i, k) in r.used:
             k += 1
             continue
-        piece = pieces[k]
         w = core(piece)
         if w in never:
             k += 1
             continue
-        if k + 1 < len(pieces) and (i, k + 1) not in r.used and w and piece.lower().lstrip(_FRONT) == w and pieces[k + 1][:1].isalpha() and pieces[k + 1][0].islower():
+        if k + 1 < len(pieces) and (i, k + 1) not in r.used and w and piece[-1].isalpha() and pieces[k + 1][0].islower():
             v = core(pieces[k + 1])
             if len(w) + len(v) >= 4 and v not in never and w.isalpha() and reader.torn(w, v):
                 out.append(((k, k + 1), w + v))
                 k += 2
                 continue
-        if _wordlike(w):
+        if here == 2 and _wordlike(w):
             right = reader.right(w)
             if right is None and piece[0] == "(" and not reader.known(w) and (c := "c" + w) and reader.candidate("(" + w) == c:
                 right = c
@@ -329,23 +360,31 @@ def restored(text: str, page: bool, never: frozenset, reader: Reader) -> list[st
         first, second = fixed[i][-1], fixed[j][0]
         fixed[i][-1] = _recase(reader.joined(a, b, h), first[:-1] + second)
         fixed[j] = fixed[j][1:]
-    # paragraph boundaries: the cheapest labelling of the gaps between lines
+    # paragraph boundaries: the cheapest labelling of the gaps between lines; states are paragraphs of one line and longer ones
     joined = {i for i, *_ in r.joins}
     width = sorted(len(r.raw[i]) for i in r.text)[len(r.text) * 3 // 4]
-    best = [(0.0, [r.text[0]])]  # cost of the lines up to the last, first lines of the paragraphs
+
+    def title(i: int) -> bool:
+        line = r.raw[i].strip()
+        return len(line) < 0.6 * width and line[-1] not in ".!?。”»),;:-" and i not in joined and (line[0].isupper() or line[0].isdigit())
+
+    states: dict[bool, tuple[float, tuple]] = {True: (0.0, (r.text[0], None))}  # one line so far -> cost, linked first lines
     for i, j in zip(r.text, r.text[1:], strict=False):
-        gap = 0.0
         blank = any(not r.raw[k].strip() for k in range(i + 1, j))
         indent = len(r.raw[j]) - len(r.raw[j].lstrip()) >= 2
         stopped = r.raw[i].rstrip()[-1:] in ".!?。”»)"
         short = len(r.raw[i]) < 0.75 * width
-        title = not stopped and short and r.raw[j].lstrip()[:1].isupper()
-        gap += 2.5 * blank + 3 * indent + (1.5 if stopped else -2.5) + 1.5 * short + 3 * title - 3.0
+        gain = 2.5 * blank + 3 * indent + (1.5 if stopped else -2.5) + 1.5 * short + 6 * title(i) + 3 * title(j) - 3.0
         if i in joined:
-            gap = -9.0
-        cost, starts = best[-1]
-        best.append((cost - gap, [*starts, j]) if gap > 0 else (cost, starts))
-    starts = best[-1][1]
+            gain = -99.0
+        go = min(cost for cost, _ in states.values()), min(states.values(), key=lambda x: x[0])[1]
+        new = [(cost + (1.0 if one and not title(i) else 0.0) - gain, (j, at)) for one, (cost, at) in states.items()]
+        states = {False: go, True: min(new, key=lambda x: x[0])}
+    node, starts = min(states.values(), key=lambda x: x[0])[1], []
+    while node:
+        starts.append(node[0])
+        node = node[1]
+    starts.reverse()
     out, at = [], 0
     bounds = [*starts[1:], r.text[-1] + 1]
     for stop in bounds:
@@ -359,11 +398,12 @@ def restored(text: str, page: bool, never: frozenset, reader: Reader) -> list[st
 
 
 def scan_records(paper_json: DataFrame, reference: DataFrame) -> DataFrame:
-    """(origin, record_no, text, never): the scanned records and, for references, the words of their authors."""
+    """(origin, record_no, text, never): the scanned records and, for references, the words of their authors. Repeated rows
+    are left out where their batch is worked."""
     pages = paper_json.where("kind = 'page_text'").select(F.lit("paper_json").alias("origin"), F.col("block_id").alias("record_no"), "text", F.array().cast("array<string>").alias("never"))
     names = F.array_distinct(F.split(F.lower(F.array_join(F.coalesce("authors", F.array().cast("array<string>")), " ")), r"(?U)\s+"))
     refs = reference.select(F.lit("reference").alias("origin"), F.col("reference_no").alias("record_no"), F.col("raw_reference").alias("text"), names.alias("never"))
-    return pages.unionByName(refs).where("text is not null").distinct()
+    return pages.unionByName(refs).where("text is not null")
 
 
 def _clean_counts(prose: DataFrame) -> DataFrame:
@@ -371,8 +411,8 @@ def _clean_counts(prose: DataFrame) -> DataFrame:
     front, back = re.escape(_FRONT), re.escape(_BACK)
     bare: Column = F.regexp_replace("token", rf"^[{front}]+|[{back}]+$", "")
     words = prose.where("text is not null").select(token.alias("token")).groupBy("token").agg(F.count("*").alias("n")).select(bare.alias("word"), "n").where("word != ''")
-    tails = words.where(F.col("word").contains("-")).select(F.concat(F.lit("-"), F.element_at(F.split("word", "-"), -1)).alias("word"), "n")
-    return words.unionByName(tails).groupBy("word").agg(F.sum("n").alias("clean"))
+    forms = F.when(F.col("word").contains("-"), F.array("word", F.concat(F.lit("-"), F.element_at(F.split("word", "-"), -1)))).otherwise(F.array("word"))
+    return words.select(F.explode(forms).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("clean"))
 
 
 def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -385,13 +425,19 @@ def _title_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"key": [HEAD + title_key(t) for t in pdf["title"]]}).drop_duplicates()
 
 
+def _once(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pdf.drop_duplicates(["origin", "record_no"])
+
+
 def _records(pdf: pd.DataFrame) -> list[tuple[str, bool, frozenset]]:
     return [(t, o == "paper_json", frozenset(map(core, v)) if v is not None else frozenset()) for t, o, v in zip(pdf["text"], pdf["origin"], pdf["never"], strict=True)]
 
 
 def _ask(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = _once(pdf)
     words, asked, heads = batch_forms(_records(pdf))
-    rows = [(skeleton(w), w, n) for w, n in words.items()] + [(skeleton(w), w, 0) for w in asked] + [(HEAD + h, None, 0) for h in heads]
+    keys = {skeleton(w) for w in words} | {skeleton(w) for w in asked} | {HEAD + h for h in heads}
+    rows = [(None, w, n) for w, n in words.items()] + [(k, None, 0) for k in keys]
     out = pd.DataFrame(rows, columns=["key", "word", "n"])
     out.insert(0, "batch", pdf["batch"].iloc[0] if len(pdf) else 0)
     return out
@@ -399,6 +445,7 @@ def _ask(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _decode(found: bool):
     def run(records: pd.DataFrame, dictionary: pd.DataFrame) -> pd.DataFrame:
+        records = _once(records)
         entries, heads = {}, set()
         for key, word, clean, scans in dictionary[["key", "word", "clean", "scans"]].itertuples(index=False):
             if key.startswith(HEAD):
@@ -425,12 +472,12 @@ def repair(records: DataFrame, prose: DataFrame, titles: DataFrame, found: bool
     batches = int(total // BATCH_POINTS) + 1
     batched = records.withColumn("batch", F.pmod(F.xxhash64("origin", "record_no"), F.lit(batches)).cast("int"))
     forms = written(batched.groupBy("batch").applyInPandas(_ask, "batch int, key string, word string, n bigint"), "forms")
-    scans = forms.where("n > 0").groupBy("word").agg(F.sum("n").alias("scans"))
+    scans = forms.where("word is not null").groupBy("word").agg(F.sum("n").alias("scans"))
     counts = _clean_counts(prose).select("word", "clean", F.lit(0).cast("bigint").alias("scans")).unionByName(scans.select("word", F.lit(0).cast("bigint").alias("clean"), "scans"))
     lexicon = counts.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("scans").alias("scans")).where("clean > 0 or scans > 1")
     lexicon = lexicon.mapInPandas(_keyed, "word string, clean bigint, scans bigint, key string")
     heads = titles.where("title is not null").select("title").distinct().mapInPandas(_title_keys, "key string").distinct().select(F.lit("").alias("word"), F.lit(0).cast("bigint").alias("clean"), F.lit(0).cast("bigint").alias("scans"), "key")
-    asked = forms.select("batch", "key").distinct()
+    asked = forms.where("key is not null").select("batch", "key")
     dictionary = asked.join(lexicon.unionByName(heads), "key").select("batch", "key", "word", "clean", "scans")
     schema = "origin string, record_no bigint, line_no int, kind string, word string" if found else "origin string, record_no bigint, paragraph_no int, text string"
     return batched.groupBy("batch").cogroup(dictionary.groupBy("batch")).applyInPandas(_decode(found), schema)
