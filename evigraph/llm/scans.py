@@ -108,7 +108,7 @@ def is_furniture(line: str, heads) -> bool:
     n = len(s)
     if n <= 14 and _NUMBER.match(s) or n <= 40 and _PAGED.match(s.lower().translate(_PAGE_SIGNS)):
         return True
-    if n < 80 and (" et a" in s and _AUTHORS.match(s) or skeleton(s[:14].lower()).startswith(_MARKS) or skeleton(s[-12:].lower()).endswith(_WORKERS)):
+    if n < 80 and (" et a" in s and _AUTHORS.match(s) or s[0] in "SDCsdc5ſ(" and skeleton(s[:14].lower()).startswith(_MARKS) or s.isupper() and skeleton(s[-12:].lower()).endswith(_WORKERS)):
         return True
     return any(k in heads for k in head_keys(s))
 
@@ -400,8 +400,8 @@ def restored(text: str, page: bool, never: frozenset, reader: Reader) -> list[st
 def scan_records(paper_json: DataFrame, reference: DataFrame) -> DataFrame:
     """(origin, record_no, text, never): the scanned records and, for references, the words of their authors. Repeated rows
     are left out where their batch is worked."""
-    pages = paper_json.where("kind = 'page_text'").select(F.lit("paper_json").alias("origin"), F.col("block_id").alias("record_no"), "text", F.array().cast("array<string>").alias("never"))
-    names = F.array_distinct(F.split(F.lower(F.array_join(F.coalesce("authors", F.array().cast("array<string>")), " ")), r"(?U)\s+"))
+    pages = paper_json.where("kind = 'page_text'").select(F.lit("paper_json").alias("origin"), F.col("block_id").alias("record_no"), "text", F.lit("").alias("never"))
+    names = F.lower(F.array_join(F.coalesce("authors", F.array().cast("array<string>")), " "))
     refs = reference.select(F.lit("reference").alias("origin"), F.col("reference_no").alias("record_no"), F.col("raw_reference").alias("text"), names.alias("never"))
     return pages.unionByName(refs).where("text is not null")
 
@@ -430,28 +430,26 @@ def _once(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _records(pdf: pd.DataFrame) -> list[tuple[str, bool, frozenset]]:
-    return [(t, o == "paper_json", frozenset(map(core, v)) if v is not None else frozenset()) for t, o, v in zip(pdf["text"], pdf["origin"], pdf["never"], strict=True)]
+    return [(t, o == "paper_json", frozenset(map(core, v.split())) if v else frozenset()) for t, o, v in zip(pdf["text"], pdf["origin"], pdf["never"], strict=True)]
 
 
 def _ask(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = _once(pdf)
     words, asked, heads = batch_forms(_records(pdf))
     keys = {skeleton(w) for w in words} | {skeleton(w) for w in asked} | {HEAD + h for h in heads}
-    rows = [(None, w, n) for w, n in words.items()] + [(k, None, 0) for k in keys]
-    out = pd.DataFrame(rows, columns=["key", "word", "n"])
-    out.insert(0, "batch", pdf["batch"].iloc[0] if len(pdf) else 0)
-    return out
+    a, b = len(words), len(keys)
+    return pd.DataFrame({"batch": pdf["batch"].iloc[0], "key": [None] * a + list(keys), "word": [*words, *[None] * b], "n": [*words.values(), *[0] * b]})
 
 
 def _decode(found: bool):
     def run(records: pd.DataFrame, dictionary: pd.DataFrame) -> pd.DataFrame:
         records = _once(records)
         entries, heads = {}, set()
-        for key, word, clean, scans in dictionary[["key", "word", "clean", "scans"]].itertuples(index=False):
+        for key, word, clean, scans in zip(*(dictionary[c].tolist() for c in ("key", "word", "clean", "scans")), strict=True):
             if key.startswith(HEAD):
                 heads.add(key[len(HEAD) :])
             else:
-                entries[word] = (int(clean), int(scans))
+                entries[word] = (clean, scans)
         reader = Reader(entries, heads)
         rows = []
         for (text, page, never), origin, no in zip(_records(records), records["origin"], records["record_no"], strict=True):
