@@ -21,15 +21,28 @@ def _positive(threshold: float) -> None:
         raise ValueError("the threshold must be above 0")
 
 
+def _sets(members: DataFrame, node: str, item: str) -> DataFrame:
+    """(node, items): each node's distinct items, the rarest first."""
+    rows = members.select(F.col(node).alias("node"), F.col(item).alias("item")).where("node is not null and item is not null").distinct()
+    rated = rows.join(rows.groupBy("item").agg(F.count("*").alias("df")), "item")
+    sets = rated.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("items"))
+    return sets.withColumn("items", F.transform("items", lambda x: x["item"]))
+
+
+def set_classes(members: DataFrame, node: str, item: str) -> DataFrame:
+    """(node, representative): nodes of equal sets have the least of them as their representative."""
+    sets = _sets(members, node, item)
+    return sets.join(sets.groupBy("items").agg(F.min("node").alias("representative")), "items").select("node", "representative")
+
+
 def set_pairs(members: DataFrame, node: str, item: str, measure: str, threshold: float, min_shared: int = 1) -> DataFrame:
     """(src, dst, shared, weight), src < dst, for sets given as rows (node, item).
 
+    Of nodes with equal sets only the least takes part; ``set_classes`` has the others. Copies so never make pairs of all with all.
     ``measure``: ``jaccard`` (shared over union) or ``coupling`` (shared over the geometric mean of the sizes).
     """
     _positive(threshold)
-    rows = members.select(F.col(node).alias("node"), F.col(item).alias("item")).where("node is not null and item is not null").distinct()
-    rated = rows.join(rows.groupBy("item").agg(F.count("*").alias("df")), "item")
-    sets = rated.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("items")).withColumn("items", F.transform("items", lambda x: x["item"]))
+    sets = _sets(members, node, item).groupBy("items").agg(F.min("node").alias("node"))
     n = F.size("items")
     share = threshold if measure == "jaccard" else threshold * threshold
     least = F.greatest(F.lit(min_shared), F.ceil(n * share - 1e-9).cast("int"), F.lit(1))  # any partner shares so many

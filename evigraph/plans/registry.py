@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import integrity
+from . import integrity, layers
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _module in (integrity,):
+for _module in (integrity, layers):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
