@@ -10,6 +10,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, StringType
 
 
 def surface(value: str | None) -> str:
@@ -20,19 +21,19 @@ def surface(value: str | None) -> str:
     return re.sub(r"\s+", " ", s.replace("-", " ")).strip()
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def surface_key(values: pd.Series) -> pd.Series:
     """Key under which spellings of a term fall together."""
     return values.map(surface, na_action=None)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def plain_text(values: pd.Series) -> pd.Series:
     """Without entities and tags, white space collapsed."""
     return values.map(lambda v: re.sub(r"\s+", " ", re.sub(r"<[^>]+>", "", html.unescape(v))).strip() if isinstance(v, str) else "", na_action=None)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def slug(values: pd.Series) -> pd.Series:
     def one(v: str | None) -> str:
         s = unicodedata.normalize("NFKD", v or "").encode("ascii", "ignore").decode().lower()
@@ -42,7 +43,7 @@ def slug(values: pd.Series) -> pd.Series:
     return values.map(one, na_action=None)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Longest-matching-blocks similarity of two keys; 0 where one is empty."""
     out, memo = [], {}
@@ -56,7 +57,7 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity of two sets of words in percent, whatever their order and repetition."""
 

@@ -104,7 +104,7 @@ def numeric_tokens(c: Column) -> Column:
 
 
 def year_in(c: Column) -> Column:
-    return F.nullif(F.regexp_extract(_s(c), r"\b((?:18|19|20|21)\d{2})\b", 1), F.lit("")).cast("int")
+    return F.nullif(F.regexp_extract(_s(c), r"(?<![A-Za-z0-9_])((?:18|19|20|21)\d{2})(?![A-Za-z0-9_])", 1), F.lit("")).cast("int")
 
 
 def publication_year(c: Column) -> Column:

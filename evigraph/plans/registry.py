@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import integrity, layers
+from . import integrity, layers, tables
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _module in (integrity, layers):
+for _module in (integrity, layers, tables):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
