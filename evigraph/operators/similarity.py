@@ -35,11 +35,13 @@ def set_classes(members: DataFrame, node: str, item: str) -> DataFrame:
     return sets.join(sets.groupBy("items").agg(F.min("node").alias("representative")), "items").select("node", "representative")
 
 
-def set_pairs(members: DataFrame, node: str, item: str, measure: str, threshold: float, min_shared: int = 1) -> DataFrame:
+def set_pairs(members: DataFrame, node: str, item: str, measure: str, threshold: float, min_shared: int = 1, plan: str | None = None) -> DataFrame:
     """(src, dst, shared, weight), src < dst, for sets given as rows (node, item).
 
     Of nodes with equal sets only the least takes part; ``set_classes`` has the others. Copies so never make pairs of all with all.
     ``measure``: ``jaccard`` (shared over union) or ``coupling`` (shared over the geometric mean of the sizes).
+    Two exact plans: ``prefix`` joins the rarest items and counts the overlap of the candidates on the whole sets, ``count``
+    joins all items and counts the rows. Without ``plan`` one job compares the rows that either would join.
     """
     _positive(threshold)
     sets = _sets(members, node, item).groupBy("items").agg(F.min("node").alias("node"))
@@ -47,14 +49,23 @@ def set_pairs(members: DataFrame, node: str, item: str, measure: str, threshold:
     share = threshold if measure == "jaccard" else threshold * threshold
     least = F.greatest(F.lit(min_shared), F.ceil(n * share - 1e-9).cast("int"), F.lit(1))  # any partner shares so many
     sized = sets.where(n >= min_shared).select("node", n.alias("n"), "items", F.explode(F.slice("items", 1, n - least + 1)).alias("key"))
-    a = sized.select("key", F.col("node").alias("src"), F.col("n").alias("n1"))
-    b = sized.select("key", F.col("node").alias("dst"), F.col("n").alias("n2"))
+    every = sets.where(n >= min_shared).select("node", n.alias("n"), F.explode("items").alias("key"))
+    if plan is None:
+        cost = lambda df: df.groupBy("key").agg(F.count("*").alias("k")).agg(F.sum(F.col("k") * F.col("k"))).first()[0] or 0
+        plan = "prefix" if 3 * cost(sized) < cost(every) else "count"
+    source = sized if plan == "prefix" else every
+    a = source.select("key", F.col("node").alias("src"), F.col("n").alias("n1"))
+    b = source.select("key", F.col("node").alias("dst"), F.col("n").alias("n2"))
     low, high = F.least("n1", "n2"), F.greatest("n1", "n2")
     sizes_fit = low >= high * share - 1e-9
-    pairs = a.join(b, "key").where("src < dst").where(sizes_fit).select("src", "dst", "n1", "n2").distinct()
-    left = sets.select(F.col("node").alias("src"), F.col("items").alias("x"))
-    right = sets.select(F.col("node").alias("dst"), F.col("items").alias("y"))
-    counted = pairs.join(left, "src").join(right, "dst").select("src", "dst", "n1", "n2", F.size(F.array_intersect("x", "y")).alias("shared"))
+    met = a.join(b, "key").where("src < dst").where(sizes_fit)
+    if plan == "prefix":
+        pairs = met.select("src", "dst", "n1", "n2").distinct()
+        left = sets.select(F.col("node").alias("src"), F.col("items").alias("x"))
+        right = sets.select(F.col("node").alias("dst"), F.col("items").alias("y"))
+        counted = pairs.join(left, "src").join(right, "dst").select("src", "dst", "n1", "n2", F.size(F.array_intersect("x", "y")).cast("bigint").alias("shared"))
+    else:
+        counted = met.groupBy("src", "dst", "n1", "n2").agg(F.count("*").alias("shared"))
     weight = F.col("shared") / (F.col("n1") + F.col("n2") - F.col("shared")) if measure == "jaccard" else F.col("shared") / F.sqrt(F.col("n1") * F.col("n2"))
     return counted.withColumn("weight", weight).where((F.col("shared") >= min_shared) & (F.col("weight") >= threshold)).select("src", "dst", "shared", "weight")
 

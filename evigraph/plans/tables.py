@@ -310,8 +310,8 @@ SQL = {
     "q45_membership_move": f"WITH {_HELD}, {_MEMBERS} SELECT DISTINCT m.paper_id, CASE WHEN m.project_slug = 'hydrogel-survey' AND active = 0 THEN 'archive' ELSE m.project_slug END AS project_slug FROM members m LEFT JOIN held USING (paper_id)",
     "q50_validation_status": f"WITH {_SENT}, {_EVID}, {_OBJ}, x AS ({_MISS} UNION ALL {_DUPS}), c AS (SELECT paper_id, count(*) FILTER (severity = 'error') AS n_errors, count(*) FILTER (severity = 'warning') AS n_warnings FROM x GROUP BY 1) SELECT p.paper_id, coalesce(n_errors, 0) AS n_errors, coalesce(n_warnings, 0) AS n_warnings, CASE WHEN coalesce(n_errors, 0) + coalesce(n_warnings, 0) > 0 THEN 'review_required' ELSE 'pass' END AS overall_status FROM (SELECT DISTINCT paper_id FROM inventory) p LEFT JOIN c USING (paper_id)",
     "q51_citation_contexts": f"WITH {_SENT}, s AS (SELECT paper_id, sid, min(citation_ref_ids) AS own FROM sent WHERE sid IS NOT NULL GROUP BY 1, 2), c AS (SELECT DISTINCT paper_id, concat(block_id, ':', sid) AS item_id, sid, citation_ref_ids AS refs FROM sent WHERE sid IS NOT NULL AND len(citation_ref_ids) > 0), e AS (SELECT c.paper_id, item_id, own, unnest(refs) AS ref_id FROM c JOIN s USING (paper_id, sid)) SELECT paper_id, 'warning' AS severity, 'citation_ref_not_in_reference_list' AS issue, item_id, ref_id AS detail FROM e WHERE NOT EXISTS (SELECT 1 FROM reference r WHERE r.paper_id = e.paper_id AND r.ref_id = e.ref_id) UNION ALL SELECT paper_id, 'error', 'citation_ref_not_present_in_evidence_sentence', item_id, ref_id FROM e WHERE NOT coalesce(list_contains(own, ref_id), false)",
-    "q52_numbers_not_found": f"WITH {_SENT}, c AS (SELECT paper_id, concat(inventory_id, ':', i - 1) AS item_id, {_NUM.format(x='global_conditions[i].value_raw')} AS want FROM (SELECT DISTINCT inventory_id, paper_id, global_conditions FROM inventory), unnest(range(1, len(global_conditions) + 1)) AS u(i)), n AS (SELECT paper_id, flatten(list({_NUM.format(x='text')})) AS have FROM sent WHERE text IS NOT NULL GROUP BY 1), f AS (SELECT c.paper_id, item_id, list_filter(want, x -> NOT list_contains(coalesce(have, []), x)) AS missing FROM c LEFT JOIN n USING (paper_id)) SELECT paper_id, 'warning' AS severity, 'measurement_number_not_found_verbatim' AS issue, item_id, array_to_string(missing, ',') AS detail FROM f WHERE len(missing) > 0",
-    "q54_merged_systems": f"WITH s AS (SELECT paper_id, inventory_id, i, systems[i] AS s FROM (SELECT DISTINCT inventory_id, paper_id, systems FROM inventory), unnest(range(1, len(systems) + 1)) AS u(i)), k AS (SELECT *, {_key('coalesce(coalesce(nullif(s.normalized_name, $$$$), s.system_name_raw), $$$$)')} AS key FROM s), g AS (SELECT paper_id, key, array_to_string(list_sort(list_distinct(flatten(list(list_filter(coalesce(s.evidence_sids, []), x -> x IS NOT NULL))))), ',') AS sids, arg_min(s.system_name_raw, (inventory_id, i)) FILTER (coalesce(s.system_name_raw, '') <> '') AS raw, arg_min(s.system_type, (inventory_id, i)) FILTER (coalesce(s.system_type, '') <> '') AS kind FROM k WHERE key <> '' GROUP BY 1, 2) SELECT * FROM g",
+    "q52_numbers_not_found": f"WITH {_SENT}, c AS (SELECT paper_id, concat(inventory_id, ':', i - 1) AS item_id, {_NUM.format(x='global_conditions[i].value_raw')} AS want FROM (SELECT DISTINCT inventory_id, paper_id, global_conditions FROM inventory), unnest(range(1, len(global_conditions) + 1)) AS u(i)), n AS (SELECT paper_id, flatten(list({_NUM.format(x='text')})) AS have FROM sent WHERE text IS NOT NULL GROUP BY 1), f AS (SELECT c.paper_id, item_id, list_filter(want, lambda x: NOT list_contains(coalesce(have, []), x)) AS missing FROM c LEFT JOIN n USING (paper_id)) SELECT paper_id, 'warning' AS severity, 'measurement_number_not_found_verbatim' AS issue, item_id, array_to_string(missing, ',') AS detail FROM f WHERE len(missing) > 0",
+    "q54_merged_systems": f"WITH s AS (SELECT paper_id, inventory_id, i, systems[i] AS s FROM (SELECT DISTINCT inventory_id, paper_id, systems FROM inventory), unnest(range(1, len(systems) + 1)) AS u(i)), k AS (SELECT *, {_key('coalesce(coalesce(nullif(s.normalized_name, $$$$), s.system_name_raw), $$$$)')} AS key FROM s), g AS (SELECT paper_id, key, array_to_string(list_sort(list_distinct(flatten(list(list_filter(coalesce(s.evidence_sids, []), lambda x: x IS NOT NULL))))), ',') AS sids, arg_min(s.system_name_raw, (inventory_id, i)) FILTER (coalesce(s.system_name_raw, '') <> '') AS raw, arg_min(s.system_type, (inventory_id, i)) FILTER (coalesce(s.system_type, '') <> '') AS kind FROM k WHERE key <> '' GROUP BY 1, 2) SELECT * FROM g",
     "q53_master_library": f"WITH {_HELD}, {_MEMBERS} SELECT held.paper_id, title, year, coalesce(string_agg(DISTINCT project_slug, ',' ORDER BY project_slug), '') AS projects FROM held LEFT JOIN members USING (paper_id) GROUP BY 1, 2, 3",
     "q55_status_counts": f"WITH {_LATEST} SELECT citing_paper_id, count(*) AS n, count(*) FILTER (status = 'matched_local') AS matched_local, count(*) FILTER (status = 'resolved_external') AS resolved_external, count(*) FILTER (status = 'unresolved') AS unresolved, sum(round(match_score * 10000)::BIGINT)::BIGINT AS score_sum FROM m GROUP BY 1",
 }
