@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..runtime import written
+
 
 def _positive(threshold: float) -> None:
     if not threshold > 0:
@@ -44,7 +46,7 @@ def set_pairs(members: DataFrame, node: str, item: str, measure: str, threshold:
     joins all items and counts the rows. Without ``plan`` one job compares the rows that either would join.
     """
     _positive(threshold)
-    sets = _sets(members, node, item).groupBy("items").agg(F.min("node").alias("node"))
+    sets = written(_sets(members, node, item).groupBy("items").agg(F.min("node").alias("node")), "sets")
     n = F.size("items")
     share = threshold if measure == "jaccard" else threshold * threshold
     least = F.greatest(F.lit(min_shared), F.ceil(n * share - 1e-9).cast("int"), F.lit(1))  # any partner shares so many
