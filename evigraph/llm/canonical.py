@@ -189,7 +189,8 @@ class Mapper:
             if len(a):
                 a.make_automaton()
 
-    def mention(self, automaton, text: str, bounded: bool) -> str | None:
+    def mention(self, automaton, text: str, bounded: bool) -> tuple[int, str] | None:
+        """(length, canonical) of the longest mention."""
         if not len(automaton):
             return None
         hits = []
@@ -197,7 +198,10 @@ class Mapper:
             start = last - n + 1
             if not bounded or ((start == 0 or text[start - 1] == " ") and (last + 1 == len(text) or text[last + 1] == " ")):
                 hits.append((-n, start, canonical))
-        return min(hits)[2] if hits else None  # the longest never overlaps a longer one, so it is among the winners
+        if not hits:
+            return None
+        n, _, canonical = min(hits)  # the longest never overlaps a longer one, so it is among the winners
+        return -n, canonical
 
     def similar_words(self, word: str) -> list[tuple[str, int]]:
         """(word of a name, errors) that ``word`` may stand for."""
@@ -221,7 +225,8 @@ class Mapper:
             self.met[word] = out
         return self.met[word]
 
-    def similar(self, value: str) -> str:
+    def similar(self, value: str) -> tuple[int, str]:
+        """(letters met, canonical) of the name most alike in words; (0, '') if there is none."""
         best: dict[str, list[int]] = {}  # word of a name -> errors of the value's words for it, fewest first
         for w in words(value):
             for t, d in self.similar_words(w):
@@ -233,8 +238,8 @@ class Mapper:
                 errors = sum(sum(sorted(best[t])[:n]) for t, n in tokens.items())
                 alone = len(tokens) == 1 and errors and next(iter(tokens))[0] not in first  # roughness is not toughness
                 if errors <= 2 + (len(tokens) > 2) and not alone:
-                    found.append((4 * errors - letters, canonical))
-        return min(found)[1] if found else self.near(plain(value).replace(" ", ""))
+                    found.append((4 * errors - letters, canonical, letters))
+        return min(found)[:0:-1] if found else (0, "")
 
     def near(self, tight: str) -> str:
         """A whole value written together, with errors."""
@@ -250,7 +255,11 @@ class Mapper:
             if len(self.seen) > 500_000:
                 self.seen.clear()
             text = flat(value)
-            hit = self.mention(self.spaced, plain(text), True) or self.mention(self.joined, plain(text).replace(" ", ""), False) or self.similar(text)
+            tight = plain(text).replace(" ", "")
+            said = self.mention(self.spaced, plain(text), True) or self.mention(self.joined, tight, False)
+            letters, alike = self.similar(text)
+            # a longer name with an error in it holds over a shorter one that is part of it
+            hit = alike if alike and (not said or letters > said[0] + 3) else said[1] if said else self.near(tight)
             self.seen[value] = hit
         return hit
 
