@@ -4,10 +4,26 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Sends this package to the executors once for each application, so that their Python workers can import it."""
+    context = spark.sparkContext
+    if getattr(context, "_evigraph_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    name = f"{tempfile.mkdtemp(prefix='evigraph-')}/evigraph.zip"
+    with zipfile.ZipFile(name, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    context.addPyFile(name)
+    context._evigraph_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
