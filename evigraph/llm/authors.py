@@ -41,7 +41,6 @@ GROUP = re.compile(r"(?i)\b(institut\w*|inst\.|laborator\w*|lab\.?|labs|consort\
 ACRONYM = re.compile(r"^\s*([A-Z]{2,6})(?:\s*[(,]\s*(\w[\w -]*?)\)?|\s+([A-Z][a-z]{3,}))\s*$")
 _SMALL = frozenset("for of and the".split())
 _DIGITS = str.maketrans("01589", "olsbg")
-_NICK = {look(k): tuple(map(look, v)) for k, v in NICKNAMES.items()}
 
 PARSED = "name string, n bigint, kind string, given string, middle string, particle string, family array<string>, words array<string>, unsure boolean, whole boolean"
 
@@ -123,12 +122,17 @@ def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for name, n in zip(pdf["name"], pdf["n"], strict=True):
             kind, given, middle, particle, family, words, unsure, whole = parse(name)
-            rows.append((name, n, kind, look(given) if kind == "p" else given, middle, particle, [look(w) for w in family], [look(w) for w in words], unsure, whole))
+            rows.append((name, n, kind, given, middle, particle, family, words, unsure, whole))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in PARSED.split(", ")])
 
 
+def _near(a: str, b: str) -> bool:
+    """Equal but for one error, or for forms that are misread for each other."""
+    return distance(a, b, 1) <= 1 or distance(look(a), look(b), 1) <= 1
+
+
 def formal(given: str) -> tuple[str, ...]:
-    return (given, *_NICK.get(given, ()))
+    return (given, *NICKNAMES.get(given, ()))
 
 
 def cost(v: dict, c: dict) -> float | None:
@@ -145,7 +149,7 @@ def cost(v: dict, c: dict) -> float | None:
             fc.remove(w)
     shared = len(v["family"]) - len(fv)
     for w in list(fv):
-        near = [x for x in fc if min(len(w), len(x)) >= 4 and distance(w, x, 1) <= 1]
+        near = [x for x in fc if min(len(w), len(x)) >= 4 and _near(w, x)]
         if near:
             fv.remove(w)
             fc.remove(near[0])
@@ -167,7 +171,7 @@ def cost(v: dict, c: dict) -> float | None:
             if a.rstrip(".") != b:
                 if a.endswith(".") and b.startswith(a[:-1]):
                     total += 0.5
-                elif distance(a.rstrip("."), b, 1) <= 1:
+                elif _near(a.rstrip("."), b):
                     total += 4
                 else:
                     return None
@@ -186,7 +190,7 @@ def cost(v: dict, c: dict) -> float | None:
             total += 2
         elif set(formal(gv)) & set(formal(gc)):
             total += 2
-        elif min(len(gv), len(gc)) >= 4 and v["given_deg"] <= c["given_deg"] and distance(gv, gc, 1) <= 1:
+        elif min(len(gv), len(gc)) >= 4 and v["given_deg"] <= c["given_deg"] and _near(gv, gc):
             total += 4
         else:
             return None
@@ -268,19 +272,22 @@ def link_names(strings: DataFrame, name: str = "name", most: float = 9.0) -> Dat
         (F.col("whole") & ~turn).alias("whole"),
         F.coalesce(F.when(turn, F.col("other_deg")).otherwise(F.col("given_deg")), F.lit(0)).alias("given_deg"),
     )
-    nick = F.create_map(*[x for k, v in _NICK.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    nick = F.create_map(*[x for k, v in NICKNAMES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     names = names.withColumn("formals", F.when(F.col("kind") == "g", F.array().cast("array<string>")).otherwise(F.concat(F.array("given"), F.coalesce(F.element_at(nick, F.col("given")), F.array().cast("array<string>")))))
     complete = F.col("whole") & ((F.col("kind") == "g") | ((F.length("given") > 2) & (F.size("formals") == 1)))
-    names = names.withColumn("complete", complete).withColumn("rank", F.struct(F.col("complete").alias("complete"), ((F.col("kind") == "g") | (F.col("given_deg") > 2)).alias("known"), F.col("n").alias("n"), F.size("family").alias("parts"), F.length("middle").alias("middle"), F.col("name").alias("name")))
-    names = written(names, "read")
+    names = written(names.withColumn("complete", complete), "read")
     family = names.select("name", "n", F.explode(F.array_distinct("family")).alias("word"))
     words = written(family.groupBy("word").agg(F.count("*").alias("types"), F.sum("n").alias("uses")), "words")
+    settled = family.join(words, "word").groupBy("name").agg(F.min("types").alias("types"))
+    rank = F.struct(F.col("complete").alias("complete"), ((F.col("kind") == "g") | (F.col("given_deg") > 2)).alias("known"), F.least("types", F.lit(3)).alias("types"), F.col("n").alias("n"), F.size("family").alias("parts"), F.length("middle").alias("middle"), F.col("name").alias("name"))
+    names = written(names.join(settled, "name", "left").withColumn("types", F.coalesce("types", F.lit(0))).withColumn("rank", rank), "ranked")
     # established words one error away from words of one or two spellings
     cuts = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.concat(F.substring(F.col("word"), F.lit(1), i - 1), F.substring(F.col("word"), i + 1, F.length("word"))))
-    near = words.where(F.length("word") >= 5).select("*", F.explode(F.array_distinct(F.concat(F.array("word"), cuts))).alias("cut"))
+    looked = F.replace(F.replace(F.replace(F.col("word"), F.lit("rn"), F.lit("m")), F.lit("cl"), F.lit("d")), F.lit("vv"), F.lit("w"))
+    near = words.where(F.length("word") >= 5).select("*", F.explode(F.array_distinct(F.concat(F.array(F.col("word"), looked), cuts))).alias("cut"))
     rare = near.where("types <= 2").select("word", "types", "uses", "cut")
     sure = near.select(F.col("word").alias("to"), F.col("types").alias("t"), F.col("uses").alias("u"), "cut")
-    fixes = rare.join(sure, "cut").where("word != to and (t > types or (t = types and (u > uses or (u = uses and to > word))))").select("word", "to").distinct()
+    fixes = rare.join(sure, "cut").where("word != to and t >= types").select("word", "to").distinct()
     links = written(family.select("name", "word").unionByName(family.join(fixes, "word").select("name", F.col("to").alias("word"))), "links")
     first = written(_attach(names, names.where("complete"), links, most), "parents")
     alone = names.join(first, "name", "left_anti")
