@@ -246,6 +246,9 @@ class Mapper:
         if not 7 <= len(tight) <= self.longest + 2:
             return ""
         most = 1 if len(tight) < 10 else 2
+        begun = {canonical for n, same in self.tight.items() if n > len(tight) for name, canonical in same if name.startswith(look(tight))} if len(tight) >= 8 else set()
+        if len(begun) == 1:  # written together and cut short
+            return begun.pop()
         found = [(d, canonical) for n in range(len(look(tight)) - most, len(look(tight)) + most + 1) for name, canonical in self.tight.get(n, ()) if (d := distance(look(tight), name, most)) <= most]
         return min(found)[1] if found else ""
 
