@@ -168,7 +168,7 @@ def _term_relations(spark: SparkSession, d: str) -> DataFrame:
 def q34_soft_keyword(spark: SparkSession, d: str) -> DataFrame:
     p = _items(spark, d, "studied_properties", "property_normalized", "property_raw")
     pairs = similarity.soft_set_pairs(p, "paper_id", "key", _term_relations(spark, d), 0.1)
-    return pairs.select("src", "dst", F.round("weight", 6).alias("weight"))
+    return pairs.select("src", "dst", F.round("weight", 4).alias("weight"))
 
 
 def q35_knowledge_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -245,6 +245,7 @@ SQL = {
     "q29_components": f"WITH RECURSIVE {_CITES}, e AS (SELECT citing AS a, cited AS b FROM cites WHERE citing <> cited AND cited <> '1' AND citing <> '1' UNION SELECT cited, citing FROM cites WHERE citing <> cited AND cited <> '1' AND citing <> '1'), reach AS (SELECT a AS node, a AS other FROM e UNION SELECT reach.node, e.b FROM reach JOIN e ON e.a = reach.other) SELECT node, min(other) AS component FROM reach GROUP BY node",
     "q32_circle_layout": "SELECT project_slug, paper_id, round(850.0 * cos(angle), 3) AS x, round(850.0 * sin(angle), 3) AS y FROM (SELECT project_slug, paper_id, 2 * pi() * (row_number() OVER (PARTITION BY project_slug ORDER BY paper_id) - 1) / count(*) OVER (PARTITION BY project_slug) AS angle FROM (SELECT DISTINCT project_slug, paper_id FROM paper_projects))",
     "q33_statement_pairs": f"WITH {_PROPS}, s AS (SELECT paper_id, concat(inventory_id, ':', i - 1) AS uid, objectives[i].text AS text FROM (SELECT DISTINCT inventory_id, paper_id, objectives FROM inventory), unnest(range(1, len(objectives) + 1)) AS u(i) WHERE objectives[i].text IS NOT NULL), {_tfidf('s', 'uid', 'text', 'tf')}, p AS (SELECT src, dst, round(greatest(weight, CASE WHEN EXISTS (SELECT 1 FROM props x JOIN props y ON x.key = y.key WHERE x.paper_id = a.paper_id AND y.paper_id = b.paper_id) THEN 0.38 ELSE 0 END), 6) AS weight FROM cosine JOIN s a ON a.uid = src JOIN s b ON b.uid = dst WHERE weight >= 0.5 AND a.paper_id <> b.paper_id), " + _topk(5),
+    "q34_soft_keyword": f"WITH {_PROPS}, w0 AS (SELECT DISTINCT key AS node, unnest(string_split(key, ' ')) AS item FROM props), w AS (SELECT min(node) AS node, unnest(items) AS item FROM (SELECT node, list(item ORDER BY item) AS items FROM w0 GROUP BY node) GROUP BY items), wn AS (SELECT node, count(*) AS n FROM w GROUP BY node), lex AS (SELECT src, dst, shared / (x.n + y.n - shared) AS v FROM (SELECT a.node AS src, b.node AS dst, count(*) AS shared FROM w a JOIN w b ON a.item = b.item AND a.node < b.node GROUP BY ALL) JOIN wn x ON src = x.node JOIN wn y ON dst = y.node), rel AS (SELECT src AS l, dst AS r, CASE WHEN v >= 0.82 THEN round(least(0.94, 0.72 + 0.25 * v), 4) ELSE 0.55 * round(least(0.88, 0.58 + 0.25 * v), 4) END AS score FROM lex WHERE v >= 0.45), bothways AS (SELECT l, r, score FROM rel UNION ALL SELECT r, l, score FROM rel), s AS (SELECT DISTINCT paper_id AS node, key AS item FROM props), sn AS (SELECT node, count(*) AS n FROM s GROUP BY node), met AS (SELECT a.node AS src, b.node AS dst, a.item, max(score) AS score FROM s a JOIN bothways ON a.item = l JOIN s b ON b.item = r WHERE a.node <> b.node GROUP BY ALL), d AS (SELECT src, dst, sum(score) / any_value(n) AS m FROM met JOIN sn ON sn.node = src GROUP BY 1, 2) SELECT least(src, dst) AS src, greatest(src, dst) AS dst, round(sum(m) / 2, 4) AS weight FROM d GROUP BY 1, 2 HAVING sum(m) / 2 >= 0.1",
     "q35_knowledge_edges": f"WITH {_PROPS}, {_METHODS}, {_layer('props', 'lp')}, {_CITES}, e AS (SELECT concat('paper:', paper_id) AS source, concat('property:', sha1(key)[1:16]) AS target, 'STUDIES_PROPERTY' AS relation, true AS directed, 1.0::DOUBLE AS weight FROM props UNION ALL SELECT concat('paper:', paper_id), concat('method:', sha1(key)[1:16]), 'USES_METHOD', true, 1.0 FROM meths UNION ALL SELECT concat('paper:', citing), concat('paper:', cited), 'CITES', true, 1.0 FROM cites UNION ALL SELECT concat('paper:', src), concat('paper:', dst), 'SHARES_PROPERTIES', false, weight FROM lp) SELECT source, target, relation, directed, round(max(weight), 6) AS weight FROM e GROUP BY ALL",
     "q44_signature_precedence": f"WITH {_MATCHES}, k AS (SELECT citing_paper_id, ref_id, {_doi('resolved_doi')} AS doi, upper(regexp_extract(rtrim(trim(coalesce(resolved_openalex_id, '')), '/'), '([^/]*)$', 1)) AS oa, {_title('resolved_title')} AS title FROM m) SELECT citing_paper_id, ref_id, CASE WHEN doi <> '' THEN 'doi:' || doi WHEN oa <> '' THEN 'oa:' || oa ELSE 'title:' || title END AS signature FROM k WHERE doi <> '' OR oa <> '' OR length(title) >= 18",
     "q49_set_classes": f"WITH {_PROPS}, c AS (SELECT paper_id AS node, list(DISTINCT key ORDER BY key) AS items FROM props GROUP BY paper_id) SELECT node, min(node) OVER (PARTITION BY items) AS representative FROM c",

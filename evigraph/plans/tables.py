@@ -306,6 +306,7 @@ SQL = {
     "q27_history": f"WITH {_HELD}, c AS (SELECT year, count(*) AS n FROM held WHERE year IS NOT NULL GROUP BY 1) SELECT year, n, sum(n) OVER (ORDER BY year)::BIGINT AS known FROM c",
     "q36_text_search": f"WITH {_HELD} SELECT paper_id, title, year FROM held WHERE contains(lower(concat_ws(' ', title, journal, doi, paper_id)), 'micelle')",
     "q38_excerpts": f"WITH {_PARA}, r AS (SELECT paper_id, block_id, text, coalesce(sum(length(text)) OVER (PARTITION BY paper_id ORDER BY block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER (PARTITION BY paper_id ORDER BY block_id) AS k FROM para) SELECT paper_id, block_id, length(substring(text, 1, (1800 - before)::BIGINT)) AS n_chars, md5(substring(text, 1, (1800 - before)::BIGINT)) AS digest FROM r WHERE k <= 4 AND before < 1800",
+    "q39_reconcile": f"WITH {_HELD}, reg AS (SELECT paper_id, source_relpath AS path, source_sha256 AS sha, active FROM (SELECT DISTINCT * FROM papers WHERE first_seen_at < TIMESTAMP '2025-06-01') QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY last_seen_at DESC, active DESC) = 1), scan AS (SELECT DISTINCT source_relpath AS path, source_sha256 AS sha FROM held WHERE active = 1), kept AS (SELECT reg.sha, paper_id AS kept_id, scan.path IS NOT NULL AS there FROM reg LEFT JOIN scan ON scan.path = reg.path QUALIFY row_number() OVER (PARTITION BY reg.sha ORDER BY active DESC, paper_id, there) = 1), s AS (SELECT scan.path, scan.sha, reg.paper_id AS path_id, reg.sha AS old_sha, kept_id, there, kept_id IS NOT NULL AND coalesce(reg.paper_id, '') <> kept_id AS known FROM scan LEFT JOIN reg ON reg.path = scan.path LEFT JOIN kept ON kept.sha = scan.sha), o AS (SELECT path, sha, CASE WHEN path_id IS NOT NULL AND (coalesce(old_sha = sha, false) OR NOT known) THEN path_id ELSE kept_id END AS paper_id, CASE WHEN old_sha = sha THEN 'unchanged' WHEN known AND there THEN 'duplicate' WHEN known THEN 'renamed' WHEN path_id IS NOT NULL THEN 'changed' ELSE 'added' END AS change FROM s) SELECT path, sha, paper_id, change FROM o UNION ALL SELECT path, sha, paper_id, 'vanished' FROM reg WHERE active = 1 AND NOT EXISTS (SELECT 1 FROM scan WHERE scan.path = reg.path) AND NOT EXISTS (SELECT 1 FROM o WHERE o.change = 'renamed' AND o.paper_id = reg.paper_id)",
     "q40_incremental": f"WITH {_PARA} SELECT block_id, paper_id, sha256(text) AS input_hash FROM para WHERE page IS NULL OR page >= 8",
     "q45_membership_move": f"WITH {_HELD}, {_MEMBERS} SELECT DISTINCT m.paper_id, CASE WHEN m.project_slug = 'hydrogel-survey' AND active = 0 THEN 'archive' ELSE m.project_slug END AS project_slug FROM members m LEFT JOIN held USING (paper_id)",
     "q50_validation_status": f"WITH {_SENT}, {_EVID}, {_OBJ}, x AS ({_MISS} UNION ALL {_DUPS}), c AS (SELECT paper_id, count(*) FILTER (severity = 'error') AS n_errors, count(*) FILTER (severity = 'warning') AS n_warnings FROM x GROUP BY 1) SELECT p.paper_id, coalesce(n_errors, 0) AS n_errors, coalesce(n_warnings, 0) AS n_warnings, CASE WHEN coalesce(n_errors, 0) + coalesce(n_warnings, 0) > 0 THEN 'review_required' ELSE 'pass' END AS overall_status FROM (SELECT DISTINCT paper_id FROM inventory) p LEFT JOIN c USING (paper_id)",
