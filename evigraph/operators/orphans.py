@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import shared_dir, written
+from ..runtime import own_folder, written
 from .joins import lookup_join
 
 PARENTS = "num string, active int, last timestamp_ntz, seen timestamp_ntz"
@@ -74,7 +74,7 @@ class OrphanLedger:
     version: int = 0
 
     def __post_init__(self) -> None:
-        self.path = self.path or f"{shared_dir(self.spark)}/evigraph/ledger-{uuid.uuid4().hex}"
+        self.path = self.path or f"{own_folder(self.spark)}/ledger-{uuid.uuid4().hex}"
 
     def _read(self, name: str, schema: str) -> DataFrame:
         if not self.version:

@@ -246,3 +246,12 @@ def test_services_answer_misses_only(spark):
     cache = req.where("request = 'a'").select("key", F.lit("old").alias("response")).distinct()
     out, grown = answered(req, cache, Echo(">"))
     assert sorted(r["response"] for r in out.collect()) == [">b", "old", "old"] and grown.count() == 2
+
+
+def test_written_tables_survive_and_are_swept(spark):
+    from evigraph import runtime
+
+    df = runtime.written(spark.range(5), "five")
+    assert df.count() == 5 and runtime.cut(df).count() == 5
+    runtime.sweep(spark)
+    assert runtime.written(spark.range(2), "two").count() == 2
