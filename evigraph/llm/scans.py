@@ -17,10 +17,13 @@ nothing is known, a sign that no word has (a digit, ``@``, ``+``) is read as the
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -43,6 +46,11 @@ _HYPHENS = "-‐¬­"
 HEAD = "\1"
 
 
+#: Words whose skeletons a worker keeps; a bound on memory, not on what is worked.
+KEPT = 100_000
+
+
+@lru_cache(KEPT)
 def skeleton(word: str) -> str:
     s = word.translate(_SIGNS)
     for a, b in (("vv", "w"), ("ii", "u"), ("rn", "m"), ("in", "m"), ("cl", "d"), ("li", "h")):
@@ -82,6 +90,7 @@ _PAGED = re.compile(rf"^(?:p|pp|s|pa[g9][ec]|[s5]eite)\.?\s*{_N}(?:\s+\S{{1,3}}\
 _TAIL = re.compile(r"(?:\s*·\s*\S{3,4}\.?\s*\S{1,4}|,\s*\S{4}|\s{2,}\S{1,5}|\s+\S{1,4}\s*\(\S{4}\)\s*\S{1,6}\s*[–-]\s*\S{1,6})$")
 _MARKS = tuple(skeleton(m) for m in ("scanned copy", "downloaded f", "digitized by", "digitised by", "copyright ©"))
 _AUTHORS = re.compile(rf"^(?:{_N}\s{{2,}}\S.{{0,60}}? et a[l1]\.?|\S.{{0,60}}? et a[l1]\.?\s{{2,}}{_N})$")
+_NO_LETTER = re.compile(r"[\W\d_]+")
 _WORKERS = skeleton("co-workers")
 
 
@@ -99,8 +108,7 @@ def head_keys(line: str) -> list[str]:
 
 
 def title_key(title: str) -> str:
-    s = skeleton(title.lower())
-    return "".join(c for c in s if c.isalpha())
+    return _NO_LETTER.sub("", skeleton(title.lower()))
 
 
 def is_furniture(line: str, heads) -> bool:
@@ -146,24 +154,10 @@ def _whole(piece: str) -> bool:
     return piece.lower() == core(piece)
 
 
-_cores: dict[str, str] = {}
-
-
-def word_of(piece: str) -> str:
-    """The word of a piece of text; '' if it is no word. Kept for the pieces seen, up to a bound."""
-    w = _cores.get(piece)
-    if w is None:
-        if len(_cores) > 400_000:
-            _cores.clear()
-        w = core(piece)
-        _cores[piece] = w = w if _wordlike(w) else ""
-    return w
-
-
 def batch_forms(records: list[tuple[str, bool, frozenset]]) -> tuple[Counter, set[str], set[str]]:
     """Of (text, is a page, words never corrected): words with counts, other forms asked for, keys of possible heads."""
     pieces: Counter = Counter()
-    joins: Counter = Counter()
+    left_out: Counter = Counter()
     asked: set[str] = set()
     heads: set[str] = set()
     read = []
@@ -173,26 +167,30 @@ def batch_forms(records: list[tuple[str, bool, frozenset]]) -> tuple[Counter, se
         for i in r.text:
             heads.update(head_keys(r.raw[i]))
             pieces.update(r.pieces[i])
-        joins.update(r.pieces[i][k] for i, k in r.used)
-        if never:
-            joins.update(p for i in r.text for k, p in enumerate(r.pieces[i]) if (i, k) not in r.used and core(p) in never)
+        left_out.update(r.pieces[i][k] for i, k in r.used)
         for _, _, a, b, _ in r.joins:
             asked |= {a + b, f"{a}-{b}", a, b, "-" + b}
+    bare = {p: core(p) for p in pieces}
+    for r, never in read:
+        if never:
+            left_out.update(p for i in r.text for k, p in enumerate(r.pieces[i]) if bare[p] in never and (i, k) not in r.used)
     words: Counter = Counter()
     for piece, n in pieces.items():
-        if n > joins[piece] and (w := word_of(piece)):
-            words[w] += n - joins[piece]
+        w = bare[piece]
+        if n > left_out[piece] and _wordlike(w):
+            words[w] += n - left_out[piece]
             if piece[0] == "(":
                 asked.add("(" + w)
     common = max(3, sum(words.values()) // 8000)
-    rare = {p for p in pieces if words.get(word_of(p) or core(p), 0) < common}
+    rare = {p for p, w in bare.items() if words.get(w, 0) < common}
     for r, never in read:
         for i in r.text:
             line = r.pieces[i]
-            for k in range(len(line) - 1):
-                a, b = line[k], line[k + 1]
+            if rare.isdisjoint(line):
+                continue
+            for a, b in zip(line, line[1:], strict=False):
                 if (a in rare or b in rare) and b[0].islower() and a[-1].isalpha():
-                    v, w = core(a), core(b)
+                    v, w = bare[a], bare[b]
                     if len(v) + len(w) >= 4 and v.isalpha() and v not in never and w not in never:
                         asked.add(v + w)
     for w in [*words, *asked]:
@@ -204,12 +202,10 @@ def batch_forms(records: list[tuple[str, bool, frozenset]]) -> tuple[Counter, se
 class Reader:
     """Decodes records with the dictionary of their batch: word -> (count in clean prose, count in scans)."""
 
-    def __init__(self, entries: dict[str, tuple[int, int]], heads: set[str]):
+    def __init__(self, entries: dict[str, tuple[int, int]], heads: set[str], by: dict[str, list[str]]):
         self.n, self.heads = entries, heads
         self.sure = 20  # clean uses from which a word beside another such word is never taken for a torn part
-        self.by: dict[str, list[str]] = {}
-        for w in entries:
-            self.by.setdefault(skeleton(w), []).append(w)
+        self.by = by  # skeleton -> words
         self.memo: dict[str, str | None] = {}
         self.firm: dict[str, int] = {}
 
@@ -218,8 +214,7 @@ class Reader:
         w = core(piece)
         clean = self.n.get(w, (0, 0))[0]
         sort = 0 if not any(map(str.isalpha, w)) or re.fullmatch(r"[a-z]\d+", w) else 1 if clean else 2
-        # a word that may be half of a torn one is no sure word
-        if sort == 1 and clean < self.sure:
+        if sort == 1 and clean < self.sure and len(w) < 6:  # a short word may be half of a torn one
             sort = 2
         self.firm[piece] = sort
         return sort
@@ -274,6 +269,13 @@ class Reader:
             return False
         return True
 
+    def run_together(self, w: str) -> tuple[str, str] | None:
+        """The two frequent words that an unknown word is made of."""
+        if len(w) < 6 or not w.isalpha() or self.n.get(w, (0, 0))[1] > 2 or self.known(w):
+            return None
+        found = [(min(self.n[a][0], self.n[b][0]), a, b) for k in range(2, len(w) - 1) if (a := w[:k]) in self.n and (b := w[k:]) in self.n and min(self.n[a][0], self.n[b][0]) >= self.sure]
+        return max(found)[1:] if found else None
+
     def joined(self, a: str, b: str, hyphen: str) -> str:
         base, kept = a + b, f"{a}-{b}"
         x, y = self.weight(base), self.weight(kept)
@@ -303,41 +305,62 @@ def findings(text: str, page: bool, never: frozenset, reader: Reader) -> list[tu
     return out
 
 
+#: Costs of the steps over a stretch of pieces that are not all sure words.
+_SURE, _STRANGE, _FIXED, _JOINED = 0.0, 2.0, 1.0, -0.5
+
+
 def _line_words(r: Lines, i: int, never: frozenset, reader: Reader) -> list[tuple[tuple[int, ...], str]]:
-    """((positions of the pieces), right word) of each misread or torn word of line ``i``."""
-    out, pieces, k = [], r.pieces[i], 0
-    firm = reader.firm
-    while k < len(pieces):
-        piece = pieces[k]
-        here = firm.get(piece)
-        if here is None:
-            here = reader.look_at(piece)
-        if here == 0 or here == 1 and (k + 1 == len(pieces) or firm.get(pieces[k + 1], 2) < 2):  # a sure word beside a sure word
-            k += 1
-            continue
-        if (i, k) in r.used:
-            k += 1
-            continue
-        w = core(piece)
-        if w in never:
+    """((positions of the pieces), right word) of each misread or torn word of line ``i``: the cheapest path over each
+    stretch of pieces that holds a piece which is no sure word."""
+    pieces, firm, used = r.pieces[i], reader.firm, r.used
+    n = len(pieces)
+    sorts = []
+    for p in pieces:
+        s = firm.get(p)
+        sorts.append(reader.look_at(p) if s is None else s)
+    if 2 not in sorts:
+        return []
+    out, k = [], 0
+    while k < n:
+        if sorts[k] != 2 and (k + 1 == n or sorts[k + 1] != 2) or sorts[k] == 0:
             k += 1
             continue
-        if k + 1 < len(pieces) and (i, k + 1) not in r.used and w and piece[-1].isalpha() and pieces[k + 1][0].islower():
-            v = core(pieces[k + 1])
-            if len(w) + len(v) >= 4 and v not in never and w.isalpha() and reader.torn(w, v):
-                out.append(((k, k + 1), w + v))
-                k += 2
-                continue
-        if here == 2 and _wordlike(w):
-            right = reader.right(w)
-            if right is None and piece[0] == "(" and not reader.known(w) and (c := "c" + w) and reader.candidate("(" + w) == c:
-                right = c
-            if right:
-                out.append(((k,), right))
-        k += 1
+        stop = k + 1
+        while stop < n and (sorts[stop] == 2 or sorts[stop] == 1 and sorts[stop - 1] == 2):
+            stop += 1
+        out += _cheapest(pieces, k, stop, i, used, never, reader)
+        k = stop
     return out
 
 
+def _cheapest(pieces: list[str], lo: int, hi: int, i: int, used: set, never: frozenset, reader: Reader) -> list[tuple[tuple[int, ...], str]]:
+    cores = [core(p) for p in pieces[lo:hi]]
+    free = [(i, lo + k) not in used and w not in never for k, w in enumerate(cores)]
+    best: list[tuple[float, int, str | None]] = [(0.0, 0, None)]  # cost up to here, pieces of the last step, its right word
+    for k, w in enumerate(cores):
+        cost, right = _SURE, None
+        if free[k] and _wordlike(w) and not reader.known(w):
+            right = reader.right(w)
+            piece = pieces[lo + k]
+            if right is None and piece[0] == "(" and reader.candidate("(" + w) == "c" + w:
+                right = "c" + w
+            cost = _FIXED if right else _STRANGE
+        step = (best[k][0] + cost, 1, right)
+        if k and free[k] and free[k - 1]:
+            v, first, second = cores[k - 1], pieces[lo + k - 1], pieces[lo + k]
+            if v and first[-1].isalpha() and second[0].islower() and len(v) + len(w) >= 4 and v.isalpha() and reader.torn(v, w):
+                joined = (best[k - 1][0] + _JOINED, 2, v + w)
+                step = min(step, joined, key=lambda x: x[0])
+        best.append(step)
+    out, k = [], len(cores)
+    while k:
+        _, size, right = best[k]
+        if right:
+            out.append((tuple(range(lo + k - size, lo + k)), right))
+        k -= size
+    return out[::-1]
+
+
 def _recase(right: str, piece: str) -> str:
     lead = piece[: len(piece) - len(piece.lstrip(_FRONT))]
     rest = piece[len(lead) :]
@@ -355,6 +378,12 @@ def restored(text: str, page: bool, never: frozenset, reader: Reader) -> list[st
         pieces = list(r.pieces[i])
         for at, w in reversed(_line_words(r, i, never, reader)):
             pieces[at[0] : at[-1] + 1] = [_recase(w, pieces[at[0]] if len(at) == 1 else pieces[at[0]] + pieces[at[-1]])]
+        apart = [k for k, p in enumerate(pieces) if core(p) not in never and reader.run_together(core(p))]
+        for k in reversed(apart):
+            if k and k + 1 < len(pieces):  # the ends of a line may be halves of words
+                a, b = reader.run_together(core(pieces[k]))
+                lead = len(pieces[k]) - len(pieces[k].lstrip(_FRONT))
+                pieces[k : k + 1] = [pieces[k][: lead + len(a)], pieces[k][lead + len(a) :]]
         fixed[i] = pieces
     for i, j, a, b, h in reversed(r.joins):
         first, second = fixed[i][-1], fixed[j][0]
@@ -425,6 +454,16 @@ def _title_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"key": [HEAD + title_key(t) for t in pdf["title"]]}).drop_duplicates()
 
 
+@contextmanager
+def _uncollected():
+    """Without pauses for cyclic garbage, of which a batch makes none."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def _once(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.drop_duplicates(["origin", "record_no"])
 
@@ -435,29 +474,32 @@ def _records(pdf: pd.DataFrame) -> list[tuple[str, bool, frozenset]]:
 
 def _ask(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = _once(pdf)
-    words, asked, heads = batch_forms(_records(pdf))
-    keys = {skeleton(w) for w in words} | {skeleton(w) for w in asked} | {HEAD + h for h in heads}
+    with _uncollected():
+        words, asked, heads = batch_forms(_records(pdf))
+        keys = {skeleton(w) for w in words} | {skeleton(w) for w in asked} | {HEAD + h for h in heads}
     a, b = len(words), len(keys)
     return pd.DataFrame({"batch": pdf["batch"].iloc[0], "key": [None] * a + list(keys), "word": [*words, *[None] * b], "n": [*words.values(), *[0] * b]})
 
 
 def _decode(found: bool):
     def run(records: pd.DataFrame, dictionary: pd.DataFrame) -> pd.DataFrame:
-        records = _once(records)
-        entries, heads = {}, set()
-        for key, word, clean, scans in zip(*(dictionary[c].tolist() for c in ("key", "word", "clean", "scans")), strict=True):
-            if key.startswith(HEAD):
-                heads.add(key[len(HEAD) :])
-            else:
-                entries[word] = (clean, scans)
-        reader = Reader(entries, heads)
-        rows = []
-        for (text, page, never), origin, no in zip(_records(records), records["origin"], records["record_no"], strict=True):
-            if found:
-                rows += [(origin, no, *x) for x in dict.fromkeys(findings(text, page, never, reader))]
-            else:
-                rows += [(origin, no, k, p) for k, p in enumerate(restored(text, page, never, reader), 1)]
-        return pd.DataFrame(rows, columns=["origin", "record_no", "line_no", "kind", "word"] if found else ["origin", "record_no", "paragraph_no", "text"])
+        with _uncollected():
+            records = _once(records)
+            entries, heads, by = {}, set(), {}
+            for key, word, clean, scans in zip(*(dictionary[c].tolist() for c in ("key", "word", "clean", "scans")), strict=True):
+                if key.startswith(HEAD):
+                    heads.add(key[len(HEAD) :])
+                else:
+                    entries[word] = (clean, scans)
+                    by.setdefault(key, []).append(word)
+            reader = Reader(entries, heads, by)
+            rows = []
+            for (text, page, never), origin, no in zip(_records(records), records["origin"], records["record_no"], strict=True):
+                if found:
+                    rows += [(origin, no, *x) for x in dict.fromkeys(findings(text, page, never, reader))]
+                else:
+                    rows += [(origin, no, k, p) for k, p in enumerate(restored(text, page, never, reader), 1)]
+            return pd.DataFrame(rows, columns=["origin", "record_no", "line_no", "kind", "word"] if found else ["origin", "record_no", "paragraph_no", "text"])
 
     return run
 
