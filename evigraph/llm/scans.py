@@ -39,6 +39,7 @@ CONFUSIONS: tuple[tuple[str, str], ...] = (
     ("a", "@"), ("c", "("), ("d", "cl"), ("e", "c"), ("g", "9"), ("h", "b"), ("i", "í"), ("i", "1"), ("in", "m"), ("l", "1"), ("li", "h"), ("m", "rn"), ("o", "0"), ("s", "5"), ("s", "ſ"), ("t", "+"), ("t", "f"), ("u", "ii"), ("w", "vv"), ("y", "v"), ("b", "6"), ("b", "8"), ("z", "2"),
 )
 _SIGNS = str.maketrans({"@": "a", "(": "c", "e": "c", "9": "g", "b": "h", "í": "i", "1": "l", "0": "o", "5": "s", "ſ": "s", "+": "t", "f": "t", "y": "v", "6": "h", "8": "h", "2": "z"})
+_SIGN_BYTES = bytes(_SIGNS.get(i, chr(i)).encode()[0] if i < 128 and _SIGNS.get(i, chr(i)).isascii() else i for i in range(256))
 _LIKE = str.maketrans({"@": "a", "(": "c", "9": "g", "1": "l", "0": "o", "5": "s", "ſ": "s", "+": "t", "6": "b", "8": "b"})
 _FRONT = ".,;:!?()[]{}<>\"'“”„«»‘’…·|"
 _BACK = ".,;:!?)]}<>\"'“”„«»‘’…·|"
@@ -52,7 +53,7 @@ KEPT = 100_000
 
 @lru_cache(KEPT)
 def skeleton(word: str) -> str:
-    s = word.translate(_SIGNS)
+    s = word.encode().translate(_SIGN_BYTES).decode() if word.isascii() else word.translate(_SIGNS)
     for a, b in (("vv", "w"), ("ii", "u"), ("rn", "m"), ("in", "m"), ("cl", "d"), ("li", "h")):
         s = s.replace(a, b)
     return s
@@ -141,6 +142,8 @@ class Lines:
 
 
 def _wordlike(w: str) -> bool:
+    if w.isalpha():
+        return len(w) >= 2
     letters = sum(map(str.isalpha, w))
     return letters >= 2 and letters * 2 >= len(w)
 
@@ -213,7 +216,7 @@ class Reader:
         """0: no word and no part of one, 1: a word of clean prose, 2: anything else. Kept for the pieces seen."""
         w = core(piece)
         clean = self.n.get(w, (0, 0))[0]
-        sort = 0 if not any(map(str.isalpha, w)) or re.fullmatch(r"[a-z]\d+", w) else 1 if clean else 2
+        sort = (1 if clean else 2) if w.isalpha() else 0 if not any(map(str.isalpha, w)) or re.fullmatch(r"[a-z]\d+", w) else 1 if clean else 2
         if sort == 1 and clean < self.sure and len(w) < 6:  # a short word may be half of a torn one
             sort = 2
         self.firm[piece] = sort
@@ -314,10 +317,9 @@ def _line_words(r: Lines, i: int, never: frozenset, reader: Reader) -> list[tupl
     stretch of pieces that holds a piece which is no sure word."""
     pieces, firm, used = r.pieces[i], reader.firm, r.used
     n = len(pieces)
-    sorts = []
-    for p in pieces:
-        s = firm.get(p)
-        sorts.append(reader.look_at(p) if s is None else s)
+    sorts = list(map(firm.get, pieces))
+    if None in sorts:
+        sorts = [reader.look_at(p) if s is None else s for p, s in zip(pieces, sorts, strict=True)]
     if 2 not in sorts:
         return []
     out, k = [], 0
