@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import written
 
 #: Code points hashed at a time, so that a worker's arrays stay small.
 BATCH_POINTS = 1 << 19
@@ -230,13 +230,13 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     field = docs.schema[key].dataType
     kind = field.simpleString()
     source = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & (F.length("text") >= k))
-    runs = cut(source.mapInArrow(_scan(k, m, to_arrow_type(field)), f"doc {kind}, start int, n int, h bigint, s bigint"))
+    runs = written(source.mapInArrow(_scan(k, m, to_arrow_type(field)), f"doc {kind}, start int, n int, h bigint, s bigint"), "runs")
     buckets = runs.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), (F.min("s") != F.max("s")).alias("mixed")).where("a < b").select("h", "mixed")
-    recurring = cut(runs.join(buckets, "h"))
+    recurring = written(runs.join(buckets, "h"), "recurring")
     plain = recurring.where(~F.col("mixed")).select("doc", "start", "n")
     # strings of the buckets that must be counted
     wanted = recurring.where("mixed").groupBy("doc").agg(F.collect_list(F.struct("start", "n", "h")).alias("runs"))
-    strings = cut(source.join(wanted, "doc").mapInPandas(lambda it: _cut_strings(it, k), f"h bigint, doc {kind}, start int, n int, packed string").withColumn("sid", F.xxhash64("h", "packed")))
+    strings = written(source.join(wanted, "doc").mapInPandas(lambda it: _cut_strings(it, k), f"h bigint, doc {kind}, start int, n int, packed string").withColumn("sid", F.xxhash64("h", "packed")), "strings")
     distinct = strings.groupBy("h", "sid").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.first("packed").alias("packed"))
     settled = _settle(distinct, k, bucket_strings, kind, k - k // 8, strings.count() // BUCKET_STRINGS + 1)
     counted = strings.select("sid", "doc", "start").join(settled, "sid").select("doc", (F.col("start") + F.col("at")).alias("start"), "n")
