@@ -273,7 +273,7 @@ class Reader:
         return True
 
     def run_together(self, w: str) -> tuple[str, str] | None:
-        """The two frequent words that an unknown word is made of."""
+        """The two frequent words, both in the dictionary of the batch, that an unknown word is made of."""
         if len(w) < 6 or not w.isalpha() or self.n.get(w, (0, 0))[1] > 2 or self.known(w):
             return None
         found = [(min(self.n[a][0], self.n[b][0]), a, b) for k in range(2, len(w) - 1) if (a := w[:k]) in self.n and (b := w[k:]) in self.n and min(self.n[a][0], self.n[b][0]) >= self.sure]

@@ -42,3 +42,10 @@ def test_confusions():
     assert s.misread("abc", "abc") is None and s.misread("abc", "xyz") is None
     assert all(s.skeleton(a) == s.skeleton(b) for a, b in (("scaled", "scalecl"), ("modulus", "modiilus"), ("elemental", "elernental"), ("interface", "interfa(e")))
     assert [s.is_furniture(x, ()) for x in ("- 290 -", "[291]", "l59o", "Page 3 of 9", "p. 12", "117.18", "Experimental", "RESULTS", "It is 5")] == [True] * 5 + [False] * 4
+
+
+def test_words_run_together_are_parted_in_the_text_only(spark):
+    page = "It said that the modulusof the gel was high in brine.\nThe maximum of the modulus and another modulusofx stay so."
+    got = [r["text"] for r in _run(spark, found=False, page=page).where("origin = 'paper_json'").collect()]
+    assert "the modulus of the gel" in " ".join(got) and "modulusofx" in " ".join(got)
+    assert _run(spark, page=page).where("origin = 'paper_json'").count() == 0
