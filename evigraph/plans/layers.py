@@ -99,8 +99,8 @@ def q46_citation_arrows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _citation_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Citations but for those of the most cited paper, which would leave one component."""
-    c = _citations(spark, d).where("citing != cited and cited != '1' and citing != '1'")
+    """All citations between two papers, whichever cites the other."""
+    c = _citations(spark, d).where("citing != cited")
     return c.groupBy(F.least("citing", "cited").alias("src"), F.greatest("citing", "cited").alias("dst")).agg((F.count("*") + F.lit(0.0)).alias("weight"))
 
 
