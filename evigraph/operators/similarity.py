@@ -40,7 +40,8 @@ def set_classes(members: DataFrame, node: str, item: str) -> DataFrame:
 def set_pairs(members: DataFrame, node: str, item: str, measure: str, threshold: float, min_shared: int = 1, plan: str | None = None) -> DataFrame:
     """(src, dst, shared, weight), src < dst, for sets given as rows (node, item).
 
-    Of nodes with equal sets only the least takes part; ``set_classes`` has the others. Copies so never make pairs of all with all.
+    Of nodes with equal sets only the least takes part; ``set_classes`` has the others and ``expand_pairs`` gives the pairs of
+    all nodes. Copies so never make pairs of all with all here.
     ``measure``: ``jaccard`` (shared over union) or ``coupling`` (shared over the geometric mean of the sizes).
     Two exact plans: ``prefix`` joins the rarest items and counts the overlap of the candidates on the whole sets, ``count``
     joins all items and counts the rows. Without ``plan`` one job compares the rows that either would join.
@@ -72,6 +73,18 @@ def set_pairs(members: DataFrame, node: str, item: str, measure: str, threshold:
     return counted.withColumn("weight", weight).where((F.col("shared") >= min_shared) & (F.col("weight") >= threshold)).select("src", "dst", "shared", "weight")
 
 
+def expand_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(src, dst, weight), src < dst, of all nodes: each pair of ``set_pairs`` for all members of both classes, and the members
+    of one class with each other by weight 1. ``classes`` are the ``set_classes`` of the same rows. The result is as long as
+    there are such pairs, so classes of many nodes make many.
+    """
+    a = classes.select(F.col("node").alias("a"), F.col("representative").alias("src"))
+    b = classes.select(F.col("node").alias("b"), F.col("representative").alias("dst"))
+    across = pairs.select("src", "dst", "weight").join(a, "src").join(b, "dst").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "weight")
+    within = a.join(b.withColumnRenamed("dst", "src"), "src").where("a < b").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(1.0).alias("weight"))
+    return across.unionByName(within)
+
+
 def topk_symmetric(pairs: DataFrame, k: int) -> DataFrame:
     """(src, dst, weight), src < dst: pairs that are among the ``k`` heaviest of either end; ties by greater partner."""
     both = pairs.select("src", "dst", "weight").unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))

@@ -60,19 +60,30 @@ def _items(spark: SparkSession, d: str, array: str, norm: str, raw: str) -> Data
     return x.select("inventory_id", "paper_id", "pos", shown.alias("shown")).withColumn("key", plain_key(F.col("shown"))).where("key != ''")
 
 
+def _whole_layer(members: DataFrame, threshold: float) -> DataFrame:
+    """Edges of all papers, those with equal sets too."""
+    pairs = similarity.set_pairs(members, "paper_id", "key", "jaccard", threshold)
+    return similarity.expand_pairs(pairs, similarity.set_classes(members, "paper_id", "key"))
+
+
 def _property_layer(spark: SparkSession, d: str) -> DataFrame:
     p = _items(spark, d, "studied_properties", "property_normalized", "property_raw")
-    return similarity.set_pairs(p, "paper_id", "key", "jaccard", 0.18)
+    return _whole_layer(p, 0.18)
 
 
 def q49_set_classes(spark: SparkSession, d: str) -> DataFrame:
-    """Papers with equal sets of properties, which the property layer holds once."""
+    """Papers with equal sets of properties, which are worked once and share their edges."""
     p = _items(spark, d, "studied_properties", "property_normalized", "property_raw")
     return similarity.set_classes(p, "paper_id", "key")
 
 
 def _method_layer(spark: SparkSession, d: str) -> DataFrame:
-    return similarity.set_pairs(_items(spark, d, "methods", "method_normalized", "method_raw"), "paper_id", "key", "jaccard", 0.18)
+    return _whole_layer(_items(spark, d, "methods", "method_normalized", "method_raw"), 0.18)
+
+
+def q56_customer_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Customers with equal sets of parts, of which q01 and q02 hold the representative only."""
+    return similarity.set_classes(_customer_parts(spark, d), "node", "item")
 
 
 def _combined(spark: SparkSession, d: str) -> DataFrame:
@@ -180,7 +191,7 @@ def q35_knowledge_edges(spark: SparkSession, d: str) -> DataFrame:
     return knowledge.build_edges([p, m, cites, coupled])
 
 
-QUERIES = {f.__name__: f for f in (q01_coupling_topk, q02_jaccard_topk, q03_tfidf_pairs, q04_cosine_topk, q05_combined_edges, q06_weighted_degree, q28_expand_one_hop, q29_components, q30_spanning_forest, q31_clusters, q32_circle_layout, q33_statement_pairs, q34_soft_keyword, q35_knowledge_edges, q44_signature_precedence, q46_citation_arrows, q47_sparsified, q48_layout, q49_set_classes)}
+QUERIES = {f.__name__: f for f in (q01_coupling_topk, q02_jaccard_topk, q03_tfidf_pairs, q04_cosine_topk, q05_combined_edges, q06_weighted_degree, q28_expand_one_hop, q29_components, q30_spanning_forest, q31_clusters, q32_circle_layout, q33_statement_pairs, q34_soft_keyword, q35_knowledge_edges, q44_signature_precedence, q46_citation_arrows, q47_sparsified, q48_layout, q49_set_classes, q56_customer_classes)}
 
 _SETS = "s0 AS (SELECT DISTINCT o_custkey AS node, l_partkey AS item FROM orders JOIN lineitem ON o_orderkey = l_orderkey), s AS (SELECT min(node) AS node, unnest(items) AS item FROM (SELECT node, list(item ORDER BY item) AS items FROM s0 GROUP BY node) GROUP BY items), n AS (SELECT node, count(*) AS n FROM s GROUP BY node), o AS (SELECT a.node AS src, b.node AS dst, count(*) AS shared FROM s a JOIN s b ON a.item = b.item AND a.node < b.node GROUP BY ALL)"
 

@@ -1,6 +1,7 @@
 """Queries do the whole job on small tables, held against brute force."""
 
 import datetime as dt
+import itertools
 
 from evigraph.plans import registry
 
@@ -27,3 +28,33 @@ def test_components_take_all_citations(spark, tmp_path):
             x, y = sorted((find(str(a)), find(str(b))))
             root[y] = x
     assert dict(registry.QUERIES["q29_components"](spark, d).collect()) == {n: find(n) for n in list(root)}
+
+
+def inventory(spark, folder, papers):
+    """The table of papers given as {paper: (properties, methods)}."""
+    rows = [(i, p, [(None, x) for x in props], [(None, x) for x in meths]) for i, (p, (props, meths)) in enumerate(papers.items())]
+    schema = "inventory_id long, paper_id string, studied_properties array<struct<property_raw: string, property_normalized: string>>, methods array<struct<method_raw: string, method_normalized: string>>"
+    return saved(spark, folder, "inventory", rows, schema)
+
+
+def jaccard(papers, part, least):
+    out = {}
+    for (a, x), (b, y) in itertools.combinations(sorted(papers.items()), 2):
+        x, y = set(x[part]), set(y[part])
+        if x & y and len(x & y) / len(x | y) >= least:
+            out[a, b] = len(x & y) / len(x | y)
+    return out
+
+
+def test_combined_edges_of_papers_with_equal_sets(spark, tmp_path):
+    papers = {
+        "P1": (["gel", "flow"], ["nmr"]), "P2": (["gel", "flow"], ["saxs", "nmr"]), "P3": (["flow", "gel"], ["nmr"]), "P4": (["gel", "heat"], ["saxs", "nmr"]),
+        "P5": (["heat", "gel"], ["dsc"]), "P6": (["heat"], []), "P7": ([], ["dsc"]), "P8": (["salt"], ["tem"]), "P9": (["salt"], ["afm"]),
+    }
+    d = inventory(spark, tmp_path, papers)
+    props, meths = jaccard(papers, 0, 0.18), jaccard(papers, 1, 0.18)
+    want = {e: (round(props.get(e, 0), 6), round(meths.get(e, 0), 6), round(0.45 * props.get(e, 0) + 0.35 * meths.get(e, 0), 6)) for e in props.keys() | meths.keys()}
+    got = registry.QUERIES["q05_combined_edges"](spark, d).collect()
+    assert len(got) == len(want) and {(r.src, r.dst): (r.property, r.method, r.weight) for r in got} == want
+    degrees = {n: round(sum(w[2] for e, w in want.items() if n in e), 4) for n in papers if any(n in e for e in want)}
+    assert {r.node: round(r.degree, 4) for r in registry.QUERIES["q06_weighted_degree"](spark, d).collect()} == degrees
