@@ -169,10 +169,10 @@ def q33_statement_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _term_relations(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of property keys that share a word, by the share of words they share."""
+    """Pairs of property keys that share a word, by the share of words they share; keys of the same words in another order share all."""
     keys = _items(spark, d, "studied_properties", "property_normalized", "property_raw").select("key").distinct()
     words = keys.select("key", F.explode(F.split("key", " ")).alias("word"))
-    lex = similarity.set_pairs(words, "key", "word", "jaccard", 0.45)
+    lex = similarity.expand_pairs(similarity.set_pairs(words, "key", "word", "jaccard", 0.45), similarity.set_classes(words, "key", "word"))
     return similarity.relation_scores(lex.select(F.col("src").alias("left"), F.col("dst").alias("right"), F.col("weight").alias("lexical"), F.lit(0.0).alias("context")))
 
 

@@ -58,3 +58,21 @@ def test_combined_edges_of_papers_with_equal_sets(spark, tmp_path):
     assert len(got) == len(want) and {(r.src, r.dst): (r.property, r.method, r.weight) for r in got} == want
     degrees = {n: round(sum(w[2] for e, w in want.items() if n in e), 4) for n in papers if any(n in e for e in want)}
     assert {r.node: round(r.degree, 4) for r in registry.QUERIES["q06_weighted_degree"](spark, d).collect()} == degrees
+
+
+def test_soft_keywords_of_keys_with_equal_words(spark, tmp_path):
+    papers = {"P1": ["loss modulus"], "P2": ["modulus loss", "gel"], "P3": ["loss modulus peak"], "P4": ["osmotic pressures", "salt"], "P5": ["pressures osmotic"], "P6": ["gel"], "P7": ["pressures osmotic", "osmotic pressures"]}
+    d = inventory(spark, tmp_path, {p: (keys, []) for p, keys in papers.items()})
+
+    def related(x, y):
+        a, b = set(x.split()), set(y.split())
+        v = len(a & b) / len(a | b)
+        return 0.0 if x == y or v < 0.45 else round(min(0.94, 0.72 + 0.25 * v), 4) if v >= 0.82 else 0.55 * round(min(0.88, 0.58 + 0.25 * v), 4)
+
+    want = {}
+    for a, b in itertools.combinations(sorted(papers), 2):
+        x, y = papers[a], papers[b]
+        w = (sum(max(related(i, j) for j in y) for i in x) / len(x) + sum(max(related(i, j) for i in x) for j in y) / len(y)) / 2
+        if w >= 0.1:
+            want[a, b] = round(w, 3)
+    assert {(r.src, r.dst): round(r.weight, 3) for r in registry.QUERIES["q34_soft_keyword"](spark, d).collect()} == want
