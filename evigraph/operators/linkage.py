@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import difflib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.arrow import sequence_ratio
 from ..functions.text import surname, title_key, year_score
+from ..runtime import ship_code, written
 
 
 def unique_exact(left: DataFrame, right: DataFrame, key: str, right_id: str) -> DataFrame:
@@ -16,6 +22,53 @@ def unique_exact(left: DataFrame, right: DataFrame, key: str, right_id: str) ->
     return left.join(one.where(F.col(right_id) == F.col("other")).drop("other"), key)
 
 
+def _letters(keys: list[str], most: np.ndarray) -> np.ndarray:
+    """A row of 0 and 1 for each key, so that the product of two rows is the number of characters the keys share."""
+    counts = _counts(keys)
+    return np.concatenate([counts[:, [c]] > np.arange(most[c]) for c in range(counts.shape[1])], axis=1).astype(np.float32)
+
+
+def _counts(keys: list[str]) -> np.ndarray:
+    """How often each key has each character, by its code modulo 64."""
+    out = np.zeros((len(keys), 64), np.int32)
+    for i, k in enumerate(keys):
+        np.add.at(out[i], np.frombuffer(k.encode("utf-32-le"), np.uint32) % 64, 1)
+    return out
+
+
+def near_keys(left: DataFrame, right: DataFrame, key: str, least: float, block_rows: int = 4096) -> DataFrame:
+    """(key, c_key): all pairs of distinct keys whose ``sequence_ratio`` is ``least`` or more, none left out.
+
+    The ratio can't be above twice the characters that two keys share, whatever their places, over the sum of their lengths;
+    only pairs that this bound lets pass are compared. It is a matrix product for each pair of blocks, so the work grows
+    as the distinct keys of one side times those of the other, in blocks of bounded size.
+    """
+    ship_code(left.sparkSession)
+
+    def packed(df: DataFrame, names: str) -> tuple[DataFrame, int]:
+        keys = written(df.select(key).where(F.col(key) != "").distinct(), "keys")
+        blocks = max(1, -(-keys.count() // block_rows))
+        return keys.groupBy(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block")).agg(F.collect_list(key).alias(names)).drop("block"), blocks
+
+    (a, m), (b, n) = packed(left, "xs"), packed(right, "ys")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for xs, ys in zip(pdf["xs"], pdf["ys"], strict=True):
+                xs, ys, out = list(xs), list(ys), []
+                most = np.minimum(_counts(xs).max(axis=0), _counts(ys).max(axis=0))
+                right_letters, right_lengths = _letters(ys, most).T, np.array([len(y) for y in ys])
+                for lo in range(0, len(xs), 512):
+                    part = xs[lo : lo + 512]
+                    lengths = np.array([len(x) for x in part])[:, None] + right_lengths
+                    for i, j in zip(*np.nonzero(2 * (_letters(part, most) @ right_letters) >= least * lengths - 1e-3), strict=True):
+                        if part[i] == ys[j] or difflib.SequenceMatcher(None, part[i], ys[j]).ratio() >= least:
+                            out.append((part[i], ys[j]))
+                yield pd.DataFrame(out, columns=[key, f"c_{key}"])
+
+    return a.crossJoin(b).repartition(min(m * n, 2000)).mapInPandas(run, f"{key} string, c_{key} string")
+
+
 def match_scores(pairs: DataFrame) -> DataFrame:
     """Pairs (title, author, year, journal and c_title, ...) with the parts and the overall score, each rounded to 6."""
     title = sequence_ratio(title_key(F.col("title")), title_key(F.col("c_title")))

@@ -1,8 +1,10 @@
 """Queries do the whole job on small tables, held against brute force."""
 
 import datetime as dt
+import difflib
 import itertools
 
+from evigraph.operators import linkage
 from evigraph.plans import registry
 
 
@@ -76,3 +78,27 @@ def test_soft_keywords_of_keys_with_equal_words(spark, tmp_path):
         if w >= 0.1:
             want[a, b] = round(w, 3)
     assert {(r.src, r.dst): round(r.weight, 3) for r in registry.QUERIES["q34_soft_keyword"](spark, d).collect()} == want
+
+
+def test_near_keys_are_all_pairs_above_the_ratio(spark):
+    base = ["the role of narfuthane in cross linked networks", "why hoduratol oligomers lose their angle", "a common scale for the swelling of gels", "gel"]
+    xs = base + [b.replace("u", "uu", 1) for b in base] + [b.replace("the ", "", 1) for b in base] + [b[::-1] for b in base] + [""]
+    ys = base + [b.replace("rf", "nf").replace("to", "ot") for b in base] + ["the role of zulotetol in cross linked networks", "\u00fc gel \u0451"]
+    left, right = (spark.createDataFrame([(x,) for x in v], "k string") for v in (xs, ys))
+    for least in (0.6, 0.91):
+        want = {(x, y) for x in xs for y in ys if x and y and difflib.SequenceMatcher(None, x, y).ratio() >= least}
+        got = [tuple(r) for r in linkage.near_keys(left, right, "k", least, block_rows=3).collect()]
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_scored_match_takes_altered_titles_and_tests_score_and_margin(spark, tmp_path):
+    at = dt.datetime(2026, 1, 1)
+    titles = {"P1": ("The role of narfuthane in cross linked networks", 2010), "P2": ("A common scale for the swelling of gels", 2011), "P3": ("Why hoduratol oligomers lose their angle", 2012), "P4": ("Why hoduratol oligomers lose their angle", 2012)}
+    saved(spark, tmp_path, "papers", [(p, t, 1, at, y, "J") for p, (t, y) in titles.items()], "paper_id string, title string, active int, last_seen_at timestamp, year int, journal string")
+    refs = [
+        (1, "The role of narfuthane in cross linked networks", 2010), (2, "The role of narufuthane in cross linked networks", 2010), (3, "Role of narfuthane in cross linked networks", 2010),
+        (4, "A common scale for the swelling of gels", 1990), (5, "Why hoduratol oligomers lose their angle", 2012), (6, "Another title of no paper at all", 2010),
+    ]
+    d = saved(spark, tmp_path, "reference", [(n, t, ["X"], "J", y, None) for n, t, y in refs], "reference_no long, title string, authors array<string>, journal string, year int, doi string")
+    got = {r.reference_no: (r.paper_id, r.title_score < 1) for r in registry.QUERIES["q23_scored_match"](spark, d).collect()}
+    assert got == {1: ("P1", False), 2: ("P1", True), 3: ("P1", True)}
