@@ -1,10 +1,11 @@
 r"""Repair of text from scanned pages (problem 3).
 
 A record is read line by line. Page furniture (running heads, page numbers, marks of the scan) is set aside; the words of
-the remaining lines form one stream, over which the cheapest reading is decoded: each step takes a piece as it stands, as a
-misreading of a known word (each confusion at a cost), several pieces as one torn word, one piece as two words run
-together, or two pieces across a line end as one word with or without its hyphen. Costs are negative log frequencies of
-the words in the corpus. Paragraph boundaries are then chosen by dynamic programming over the lines.
+each remaining line are decoded by the cheapest reading: each step takes a piece as it stands, as a misreading of a known
+word (each confusion at a cost), or two pieces as one torn word that the dictionary has. Two pieces across a line end joined
+by a hyphen, and words run together (``p3_text``), are decided outside the decoding. Words torn and misread, torn in three, or torn
+at a line end without a hyphen are not found. Costs are negative log frequencies of the words in the corpus. Paragraph boundaries
+are then chosen by dynamic programming over the lines.
 
 What a piece may stand for is looked up by joins, not by shipping the vocabulary: texts are worked in batches of bounded
 size, a batch asks for the words whose skeleton (confusable signs made equal) equals that of its own pieces and joins, and
