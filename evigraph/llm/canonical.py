@@ -4,11 +4,16 @@
    the longest non-overlapping mentions win, and the longest of those is the value's term. A second automaton without
    spaces finds long names written together.
 2. Values without a mention go to token-set similarity: every word of a name must be met by a word of the value, equal, an
-   abbreviation of it, or within a few typing or reading errors; the name with most letters met, less its errors, wins.
-3. What remains is reported as having no term.
+   abbreviation of it, or within a few typing or reading errors; the name with most letters met, less its errors, wins. A
+   mention that is only a part of such a longer, misspelt name gives way to it.
+3. Values written together or in a related language have no words in common with the list; of these the tokens are the
+   runs of three letters, after letters that European languages write for each other are made equal (k and c, ph and f),
+   and the name of greatest Dice coefficient, rare runs counting more, wins from ``LIKE`` on.
+4. What remains is reported as having no term.
 
-The reference list is read on the driver and must have at most ``MAX_TERMS`` rows; values are never collected. ``LEXICON``
-adds names from general usage (German and French names, symbols, paraphrases) that the list lacks; it is a parameter.
+Distinct values are mapped once and joined back. The reference list is read on the driver and must have at most
+``MAX_TERMS`` rows; values are never collected. Nothing but the list is known of the terms: ``lexicon`` may add names to it
+and is empty unless given.
 
 Defined cases: a null value has no row, an empty or unmatchable value has the canonical ``''``; ties go to the name met
 first in the value, then the canonical in order of code points; repeated rows count once; null or empty arrays have no
@@ -17,6 +22,7 @@ items, null items keep their position; a value of any length is scanned whole.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter
@@ -26,92 +32,30 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import lookup_join
+from ..runtime import written
+
 MAX_TERMS = 10_000
 
-#: General-usage names of the terms, by canonical.
-LEXICON: dict[str, tuple[str, ...]] = {
-    "glass transition temperature": ("T_g", "Glasübergangstemperatur", "température de transition vitreuse"),
-    "melting temperature": ("T_m", "m.p.", "temperature of melting", "Schmelztemperatur", "Schmelzpunkt", "température de fusion"),
-    "crystallization temperature": ("T_c", "Kristallisationstemperatur", "temperature of crystallisation"),
-    "degradation onset temperature": ("T_d (5 %)", "T_d", "temperature at 5 % mass loss", "Zersetzungstemperatur"),
-    "storage modulus": ("G prime", "in-phase shear modulus", "Speichermodul", "module de conservation"),
-    "loss modulus": ("G double prime", "out-of-phase shear modulus", "Verlustmodul", "module de perte"),
-    "loss factor": ("tan δ", "Verlustfaktor", "facteur de perte"),
-    "young's modulus": ("E-Modul", "Elastizitätsmodul", "elasticity modulus in tension", "module de Young"),
-    "tensile strength": ("Zugfestigkeit", "résistance à la traction", "strength in tension"),
-    "elongation at break": ("Bruchdehnung", "ultimate elongation", "allongement à la rupture"),
-    "toughness": ("fracture work", "energy to break", "Zähigkeit", "ténacité"),
-    "intrinsic viscosity": ("[η]", "Staudinger index", "Grenzviskosität", "viscosité intrinsèque"),
-    "zero-shear viscosity": ("η0", "η_0", "Nullviskosität", "viscosity at vanishing shear rate"),
-    "weight-average molar mass": ("M_w", "mass-average molar mass", "Massenmittel der Molmasse"),
-    "number-average molar mass": ("M_n", "Zahlenmittel der Molmasse"),
-    "dispersity": ("Đ", "Mw/Mn", "breadth of the molar mass distribution", "Dispersität", "Polydispersität"),
-    "degree of polymerization": ("number of repeat units", "Polymerisationsgrad", "degré de polymérisation"),
-    "grafting density": ("sigma (chains/nm2)", "Pfropfdichte", "densité de greffage"),
-    "swelling ratio": ("swelling degree", "Quellgrad", "taux de gonflement"),
-    "gel fraction": ("sol-gel insoluble share", "Gelanteil", "fraction de gel"),
-    "crosslink density": ("nu_e", "ν_e", "density of cross links", "cross-link density", "Vernetzungsdichte"),
-    "mesh size": ("correlation length of the mesh", "Maschenweite", "taille de maille"),
-    "water uptake": ("uptake of water", "Wasseraufnahme", "absorption d'eau"),
-    "osmotic pressure": ("Π_osm", "osmotischer Druck", "pression osmotique"),
-    "second virial coefficient": ("A_2", "2nd virial coefficient", "zweiter Virialkoeffizient"),
-    "static contact angle": ("theta_s", "θ_s", "angle of contact (static)", "statischer Kontaktwinkel"),
-    "contact angle hysteresis": ("Δθ hysteresis", "hysteresis of the contact angle", "Kontaktwinkelhysterese"),
-    "surface tension": ("gamma_LV", "γ_LV", "Oberflächenspannung", "tension superficielle"),
-    "zeta potential": ("ζ potential", "Zetapotential"),
-    "refractive index": ("n_D", "Brechungsindex", "indice de réfraction"),
-    "refractive index increment": ("dn dc", "specific index increment", "Brechungsindexinkrement"),
-    "thermal conductivity": ("κ_th", "Wärmeleitfähigkeit", "conductivité thermique"),
-    "ionic conductivity": ("σ_ion", "conductivity of ions", "Ionenleitfähigkeit", "conductivité ionique"),
-    "oxygen permeability": ("P(O2)", "permeability to oxygen", "Sauerstoffdurchlässigkeit"),
-    "diffusion coefficient": ("D_self", "Diffusionskoeffizient", "coefficient de diffusion"),
-    "partition coefficient": ("logP", "Verteilungskoeffizient", "coefficient de partage"),
-    "critical micelle concentration": ("c.m.c.", "kritische Mizellbildungskonzentration"),
-    "aggregation number": ("micellar aggregation number", "Aggregationszahl"),
-    "degree of crystallinity": ("percent crystallinity", "Kristallinitätsgrad", "degré de cristallinité"),
-    "lamellar thickness": ("thickness of lamellae", "l_c lamellae", "Lamellendicke"),
-    "size exclusion chromatography": ("chromatography by size exclusion", "Größenausschlusschromatographie", "Gelpermeationschromatographie"),
-    "static light scattering": ("MALS", "MALLS", "statische Lichtstreuung"),
-    "small-angle x-ray scattering": ("x-ray scattering at small angles", "Kleinwinkelröntgenstreuung", "Röntgenkleinwinkelstreuung"),
-    "small-angle neutron scattering": ("neutron scattering at small angles", "Kleinwinkel-Neutronenstreuung", "Neutronenkleinwinkelstreuung"),
-    "wide-angle x-ray diffraction": ("wide-angle x-ray scattering", "Weitwinkelstreuung", "Röntgenweitwinkelstreuung"),
-    "thermogravimetric analysis": ("weight-loss thermal analysis", "Thermogravimetrie"),
-    "dynamic mechanical analysis": ("oscillatory mechanical analysis", "dynamisch-mechanische Analyse"),
-    "oscillatory rheometry": ("small amplitude oscillatory shear", "Oszillationsrheometrie", "Oszillationsrheologie"),
-    "capillary viscometry": ("viscometry in a capillary", "Kapillarviskosimetrie"),
-    "tensile testing": ("Zugversuch", "essai de traction", "tensile test"),
-    "atomic force microscopy": ("Rasterkraftmikroskopie", "microscopie à force atomique"),
-    "scanning electron microscopy": ("Rasterelektronenmikroskopie",),
-    "transmission electron microscopy": ("Transmissionselektronenmikroskopie",),
-    "confocal fluorescence microscopy": ("LSCM", "konfokale Mikroskopie", "confocal microscopy"),
-    "infrared spectroscopy": ("fourier transform IR", "Infrarotspektroskopie", "FT-IR"),
-    "raman spectroscopy": ("micro-Raman", "Ramanspektroskopie"),
-    "fluorescence correlation spectroscopy": ("Fluoreszenz-Korrelationsspektroskopie",),
-    "mass spectrometry": ("MALDI mass spec", "MALDI", "mass spec", "Massenspektrometrie"),
-    "isothermal titration calorimetry": ("titration calorimetry at constant temperature", "isotherme Titrationskalorimetrie"),
-    "analytical ultracentrifugation": ("analytische Ultrazentrifugation",),
-    "vapor pressure osmometry": ("osmometry by vapour pressure", "Dampfdruckosmometrie"),
-    "pendant drop tensiometry": ("tensiometry of pendant drops", "hängender Tropfen"),
-    "ellipsometry": ("Ellipsometrie",),
-    "quartz crystal microbalance": ("Quarzmikrowaage", "Quarzkristall-Mikrowaage"),
-    "dielectric spectroscopy": ("EIS", "dielektrische Spektroskopie", "Impedanzspektroskopie"),
-    "x-ray photoelectron spectroscopy": ("photoemission (x-ray)", "Röntgenphotoelektronenspektroskopie"),
-    "coarse-grained simulation": ("coarse grain MD", "simulation with beads and springs"),
-    "density functional theory": ("Kohn-Sham calculations", "Dichtefunktionaltheorie"),
-    "elemental analysis": ("combustion analysis", "Elementaranalyse"),
-    "karl fischer titration": ("KF titration", "Karl-Fischer-Titration"),
-}
+#: Dice coefficient of the letter runs from which a value is taken for a name, and its lead over the next term.
+LIKE, LEAD = 0.55, 0.08
 
 # Greek letters by name, and words left out of token sets.
 _GREEK = {"α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "ε": "epsilon", "ζ": "zeta", "η": "eta", "θ": "theta", "κ": "kappa", "λ": "lambda", "μ": "mu", "ν": "nu", "ξ": "xi", "π": "pi", "ρ": "rho", "σ": "sigma", "τ": "tau", "φ": "phi", "χ": "chi", "ψ": "psi", "ω": "omega"}
 _SMALL = frozenset("of the a an in at by to with and for de la le à der die das im mit".split())
 
+_ORDINALS = {"1st": "first", "2nd": "second", "3rd": "third"}
+
 _WORD = re.compile(r"[a-z0-9đß]+\.?")
+_INDEXED = re.compile(r"(?<![^\W_])([^\W\d_])_\{?([^\W_]{1,3})\}?(?![^\W_])")
 
 
 def flat(value: str) -> str:
-    """Lower case without accents, Greek letters by name, single spaces for all signs but the stop of an abbreviation."""
+    """Lower case without accents, Greek letters by name, single spaces for all signs but the stop of an abbreviation; a
+    letter and its index are one word, ordinals are words."""
     s = unicodedata.normalize("NFKC", value).casefold()
+    s = _INDEXED.sub(r"\1\2", s)
+    s = re.sub(r"\b(1st|2nd|3rd)\b", lambda m: _ORDINALS[m[1]], s)
     s = "".join(f" {_GREEK[c]} " if c in _GREEK else c for c in s)
     s = "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)).replace("ß", "ss")
     s = re.sub(r"\bm\.\s?m\.", "molar mass", re.sub(r"\bm\.\s?p\.", "melting point", s))
@@ -155,6 +99,32 @@ def distance(a: str, b: str, most: int) -> int:
     return one[-1]
 
 
+#: What European languages write for each other in words of Greek and Latin origin.
+COGNATES = (("sch", "sh"), ("ph", "f"), ("th", "t"), ("rh", "r"), ("k", "c"), ("qu", "c"), ("z", "c"), ("y", "i"), ("ie", "i"), ("ae", "e"), ("oe", "e"), ("ll", "l"), ("ss", "s"), ("mm", "m"))
+
+
+def runs_of(flat_value: str) -> set[str]:
+    """The runs of three letters of a value written together, cognate letters made equal."""
+    s = plain(flat_value).replace(" ", "")
+    for a, b in COGNATES:
+        s = s.replace(a, b)
+    return {s[i : i + 3] for i in range(len(s) - 2)}
+
+
+def _less(word: str, most: int) -> set[str]:
+    """A word and what it leaves without up to ``most`` letters."""
+    out = level = {word}
+    for _ in range(most):
+        level = {w[:i] + w[i + 1 :] for w in level for i in range(len(w))}
+        out = out | level
+    return out
+
+
+def _errors_of(word: str) -> int:
+    """Errors that a word of this length may have."""
+    return 0 if len(word) < 4 else 1 if len(word) < 9 else 2
+
+
 class Mapper:
     """The terms of one type."""
 
@@ -164,27 +134,40 @@ class Mapper:
         self.spaced, self.joined = ahocorasick.Automaton(), ahocorasick.Automaton()
         self.names: list[tuple[str, Counter, int]] = []
         self.parts: dict[str, list[int]] = {}
-        self.tight: dict[int, list[tuple[str, str]]] = {}
-        self.longest = 0
-        self.seen: dict[str, str] = {}
+        self.begun: dict[str, list[str]] = {}  # beginning -> words of names
+        self.less: dict[str, set[str]] = {}  # what a word leaves with letters left out -> words of names
+        self.tight: dict[str, str] = {}
+        self.runs: dict[str, list[int]] = {}
+        self.sizes: list[tuple[set[str], str, str]] = []
         self.met: dict[str, list[tuple[str, int]]] = {}
         for name, canonical in sorted(names, key=lambda x: (x[1], x[0])):
-            key = plain(flat(name))
+            text = flat(name)
+            key = plain(text)
             if not key:
                 continue
             if key not in self.spaced:
                 self.spaced.add_word(key, (len(key), canonical))
             tight = key.replace(" ", "")
+            self.tight.setdefault(tight, canonical)
             if len(tight) >= 8 and tight not in self.joined:
                 self.joined.add_word(tight, (len(tight), canonical))
-            if len(tight) >= 7:
-                self.tight.setdefault(len(look(tight)), []).append((look(tight), canonical))
-                self.longest = max(self.longest, len(tight))
-            tokens = Counter(plain(w) for w in words(flat(name)))
+            found = runs_of(text)
+            for r in found:
+                self.runs.setdefault(r, []).append(len(self.sizes))
+            self.sizes.append((found, canonical, key))
+            tokens = Counter(plain(w) for w in words(text))
             if tokens and sum(map(len, tokens)) >= 5:
                 for t in tokens:
                     self.parts.setdefault(t, []).append(len(self.names))
                 self.names.append((canonical, tokens, sum(len(t) * n for t, n in tokens.items())))
+        self.weigh = {r: math.log(1 + len(self.sizes) / len(of)) for r, of in self.runs.items()}
+        self.whole = [sum(self.weigh[r] for r in found) for found, *_ in self.sizes]
+        for t in self.parts:
+            for i in range(2, len(t) + 1):
+                self.begun.setdefault(t[:i], []).append(t)
+            for form in {t, look(t)}:
+                for w in _less(form, _errors_of(t)):
+                    self.less.setdefault(w, set()).add(t)
         for a in (self.spaced, self.joined):
             if len(a):
                 a.make_automaton()
@@ -204,25 +187,22 @@ class Mapper:
         return -n, canonical
 
     def similar_words(self, word: str) -> list[tuple[str, int]]:
-        """(word of a name, errors) that ``word`` may stand for."""
+        """(word of a name, errors) that ``word`` may stand for, by the index of what words leave with letters left out."""
         if word not in self.met:
             if len(self.met) > 500_000:
                 self.met.clear()
             bare = word.rstrip(".")
-            out = []
-            for t in self.parts:
-                if t == bare:
-                    out.append((t, 0))
-                elif word.endswith(".") and len(bare) >= 2 and t.startswith(bare):
-                    out.append((t, 0))
-                elif bare == t + "s":
-                    out.append((t, 1))
-                elif min(len(t), len(bare)) >= 4:
-                    most = 1 if min(len(t), len(bare)) < 9 else 2
-                    d = min(distance(bare, t, most), distance(look(bare), look(t), most))
-                    if d <= most:
-                        out.append((t, max(d, 1)))
-            self.met[word] = out
+            out = {t: 0 for t in self.begun.get(bare, ()) if t == bare or word.endswith(".") and len(bare) >= 2}
+            if bare.endswith("s") and bare[:-1] in self.parts:
+                out.setdefault(bare[:-1], 1)
+            if len(bare) >= 4:
+                for t in {t for form in {bare, look(bare)} for w in _less(form, _errors_of(bare)) for t in self.less.get(w, ())}:
+                    if t not in out and len(t) >= 4:
+                        most = min(_errors_of(t), _errors_of(bare))
+                        d = min(distance(bare, t, most), distance(look(bare), look(t), most))
+                        if d <= most:
+                            out[t] = max(d, 1)
+            self.met[word] = sorted(out.items())
         return self.met[word]
 
     def similar(self, value: str) -> tuple[int, str]:
@@ -241,30 +221,39 @@ class Mapper:
                     found.append((4 * errors - letters, canonical, letters))
         return min(found)[:0:-1] if found else (0, "")
 
-    def near(self, tight: str) -> str:
-        """A whole value written together, with errors."""
-        if not 7 <= len(tight) <= self.longest + 2:
-            return ""
-        most = 1 if len(tight) < 10 else 2
-        begun = {canonical for n, same in self.tight.items() if n > len(tight) for name, canonical in same if name.startswith(look(tight))} if len(tight) >= 8 else set()
-        if len(begun) == 1:  # written together and cut short
-            return begun.pop()
-        found = [(d, canonical) for n in range(len(look(tight)) - most, len(look(tight)) + most + 1) for name, canonical in self.tight.get(n, ()) if (d := distance(look(tight), name, most)) <= most]
-        return min(found)[1] if found else ""
+    def _rest(self, text: str, name: str) -> float:
+        """Dice coefficient of what a value and a name have besides the words they share; 1 if they share none."""
+        a, b = plain(text).split(), name.split()
+        if not (same := set(a) & set(b)):
+            return 1.0
+        x, y = (runs_of(" ".join(w for w in ws if w not in same)) for ws in (a, b))
+        return 2 * len(x & y) / (len(x) + len(y)) if x or y else 1.0
+
+    def alike(self, text: str) -> str:
+        """The name whose letter runs are most like the value's."""
+        own, strange = runs_of(text), math.log(1 + len(self.sizes))
+        total = sum(self.weigh.get(r, strange) for r in own)
+        shared: dict[int, float] = {}
+        for r in own:
+            for i in self.runs.get(r, ()):
+                shared[i] = shared.get(i, 0.0) + self.weigh[r]
+        best: dict[str, float] = {}
+        for i, k in shared.items():
+            if (x := 2 * k / (total + self.whole[i])) > 0.5 * LIKE:
+                canonical = self.sizes[i][1]
+                best[canonical] = max(best.get(canonical, 0.0), min(x, self._rest(text, self.sizes[i][2])))
+        first, second, *_ = sorted(((-x, c) for c, x in best.items()), key=lambda x: x) + [(0.0, ""), (0.0, "")]
+        return first[1] if -first[0] >= LIKE and second[0] - first[0] >= LEAD else ""
 
     def canonical(self, value: str) -> str:
-        hit = self.seen.get(value)
-        if hit is None:
-            if len(self.seen) > 500_000:
-                self.seen.clear()
-            text = flat(value)
-            tight = plain(text).replace(" ", "")
-            said = self.mention(self.spaced, plain(text), True) or self.mention(self.joined, tight, False)
-            letters, alike = self.similar(text)
-            # a longer name with an error in it holds over a shorter one that is part of it
-            hit = alike if alike and (not said or letters > said[0] + 3) else said[1] if said else self.near(tight)
-            self.seen[value] = hit
-        return hit
+        text = flat(value)
+        tight = plain(text).replace(" ", "")
+        if tight in self.tight:
+            return self.tight[tight]
+        said = self.mention(self.spaced, plain(text), True) or self.mention(self.joined, tight, False)
+        letters, alike = self.similar(text)
+        # a longer name with an error in it holds over a shorter one that is part of it
+        return alike if alike and (not said or letters > said[0] + 3) else said[1] if said else self.alike(text)
 
 
 def _map_batches(names: dict[str, list[tuple[str, str]]]):
@@ -277,17 +266,25 @@ def _map_batches(names: dict[str, list[tuple[str, str]]]):
     return run
 
 
-def map_terms(values: DataFrame, terms: DataFrame, lexicon: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
-    """``values`` (with term_type and raw, not null) with the column ``canonical``. Collects ``terms``, of bounded size."""
+def map_values(values: DataFrame, terms: DataFrame, lexicon: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """(term_type, raw, n, canonical): the distinct values (term_type and raw, not null), how often each stands there and its
+    term. Collects ``terms``, of bounded size."""
     rows = terms.select("term_type", "canonical", "aliases").where("canonical is not null").limit(MAX_TERMS + 1).collect()
     if len(rows) > MAX_TERMS:
         raise ValueError(f"the reference list has more than {MAX_TERMS} rows")
     names: dict[str, list[tuple[str, str]]] = {}
     for r in rows:
-        own = [r["canonical"], *(r["aliases"] or []), *(LEXICON if lexicon is None else lexicon).get(r["canonical"], ())]
+        own = [r["canonical"], *(r["aliases"] or []), *(lexicon or {}).get(r["canonical"], ())]
         names.setdefault(r["term_type"], []).extend((a, r["canonical"]) for a in own if a)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in values.schema)
-    return values.mapInPandas(_map_batches(names), f"{kinds}, canonical string")
+    counted = values.groupBy("term_type", "raw").agg(F.count("*").alias("n"))
+    return counted.mapInPandas(_map_batches(names), "term_type string, raw string, n bigint, canonical string")
+
+
+def map_terms(values: DataFrame, terms: DataFrame, lexicon: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """``values`` (with term_type and raw, not null) with the column ``canonical``."""
+    own, key = written(values, "values"), F.concat("term_type", F.lit("\1"), "raw")
+    mapped = written(map_values(own, terms, lexicon).select(key.alias("__key"), "canonical"), "mapped")
+    return lookup_join(own.withColumn("__key", key), mapped, "__key").select(*values.columns, F.coalesce("canonical", F.lit("")).alias("canonical"))
 
 
 def _items(array: Column, field: str, kind: str) -> Column:

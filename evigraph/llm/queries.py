@@ -21,7 +21,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
     """The values that have no term, with how often each was entered."""
-    return _mapped(spark, d).where("canonical = ''").groupBy("term_type", "raw").agg(F.count("*").alias("n"))
+    values = canonical.entered_values(table(spark, d, "inventory"))
+    return canonical.map_values(values, table(spark, d, "terms")).where("canonical = ''").select("term_type", "raw", "n")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

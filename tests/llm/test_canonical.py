@@ -15,7 +15,9 @@ def test_mentions_typos_abbreviations_and_strangers(spark):
         ("property", "temp., glass transition"): "glass transition temperature",
         ("property", "glasstransitiontemperature"): "glass transition temperature",
         ("property", "tan δ"): "loss factor",
-        ("property", "Verlustfaktor"): "loss factor",
+        ("property", "Verlustfaktor"): "",
+        ("property", "T_g"): "glass transition temperature",
+        ("method", "Elementaranalyse"): "elemental analysis",
         ("property", "lo5s factor"): "loss factor",
         ("property", "loss of colour"): "",
         ("property", "surface roughness"): "",
@@ -30,7 +32,7 @@ def test_mentions_typos_abbreviations_and_strangers(spark):
         ("other", "Tg"): "",
     }
     assert _map(spark, list(want)) == want
-    assert _map(spark, [("property", "Verlustfaktor")], lexicon={}) == {("property", "Verlustfaktor"): ""}
+    assert _map(spark, [("property", "Verlustfaktor")], lexicon={"loss factor": ("Verlustfaktor",)}) == {("property", "Verlustfaktor"): "loss factor"}
     assert _map(spark, [("property", "x " * 20000 + "toughness")])[("property", "x " * 20000 + "toughness")] == "toughness"
 
 
