@@ -1,7 +1,8 @@
 """Encoding of texts with a byte-level BPE vocabulary (problem 7).
 
 Two tiers: a minimal perfect hash resolves a whole pre-token that is itself in the vocabulary; any other pre-token is
-merged with a heap over linked bytes. Results are kept in a bounded table of the worker process, so a word costs its
+merged with a heap over linked bytes, whose many lookups of pairs go to a dict of the same ranks, which is faster in Python;
+so the hash is the method's first tier, not a saving of memory. The vocabulary file must be at its path on every executor. Results are kept in a bounded table of the worker process, so a word costs its
 merges once and a dictionary lookup after that.
 
 Defined cases: null and empty texts give the empty list; strings that look like special tokens are ordinary text; a

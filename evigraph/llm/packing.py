@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from ..runtime import written
 
-#: Blocks among which the rows of one length are ranked, so that a hot length is not one task.
-RANK_BLOCKS = 64
+#: Rows of a block in which the rows of one length are ranked, so that a hot length is not one task.
+BLOCK_ROWS = 200_000
 
 
 def plan(histogram: dict[int, int], capacity: int) -> tuple[dict[int, np.ndarray], int]:
@@ -88,10 +88,10 @@ def _place(capacity: int, slots: dict[int, np.ndarray], packed: int):
     return run
 
 
-def ranked(sizes: DataFrame, key: str, by: str) -> DataFrame:
-    """``rank`` of each row among the rows of equal ``by``, from 0, in blocks: a row's rank in its block plus the rows of
-    the blocks before it. No task holds all rows of a hot value."""
-    rows = sizes.withColumn("block", F.pmod(F.xxhash64(key), F.lit(RANK_BLOCKS)).cast("int"))
+def ranked(sizes: DataFrame, key: str, by: str, blocks: int) -> DataFrame:
+    """``rank`` of each row among the rows of equal ``by``, from 0, in ``blocks`` blocks: a row's rank in its block plus the
+    rows of the blocks before it. No task holds all rows of a hot value."""
+    rows = sizes.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
     before = W.partitionBy(by).orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     start = rows.groupBy(by, "block").agg(F.count("*").alias("n")).select(by, "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     inner = F.row_number().over(W.partitionBy(by, "block").orderBy(key)) - 1
@@ -107,6 +107,7 @@ def pack(sizes: DataFrame, capacities: dict[int, int], key: str = "doc_id") -> D
         raise ValueError("a capacity must be 1 token at least")
     kind = sizes.schema[key].dataType.simpleString()
     rows = written(sizes.select(F.col(key).alias("key"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")).distinct(), "sizes")
+    blocks = rows.count() // BLOCK_ROWS + 8
     parts = []
     for window_id, capacity in sorted(capacities.items()):
         rest = rows.withColumn("rest", F.col("n_tokens") % capacity).withColumn("rest", F.when((F.col("rest") == 0) & (F.col("n_tokens") > 0), capacity).otherwise(F.col("rest")))
@@ -114,13 +115,13 @@ def pack(sizes: DataFrame, capacities: dict[int, int], key: str = "doc_id") -> D
         counted = rest.groupBy("rest").agg(F.count("*").alias("n")).collect()  # at most capacity + 1 rows
         slots, packed = plan({r["rest"]: r["n"] for r in counted}, capacity)
         packed = max(packed, 1)
-        placed = ranked(rest, "key", "rest").mapInPandas(_place(capacity, slots, packed), f"key {kind}, n_tokens int, window_no bigint, rest int, rank bigint")
+        placed = ranked(rest, "key", "rest", blocks).mapInPandas(_place(capacity, slots, packed), f"key {kind}, n_tokens int, window_no bigint, rest int, rank bigint")
         last = F.floor((F.col("n_tokens") - F.col("rest")) / capacity).cast("int")
         one = placed.select(F.lit(window_id).alias("window_id"), F.col("key").alias(key), (last + 1).alias("piece_no"), (last * capacity).alias("first_token"), F.col("rest").alias("n_tokens"), F.col("window_no").cast("bigint").alias("window_no"))
         long = rest.where(F.col("n_tokens") > capacity).withColumn("full", F.floor((F.col("n_tokens") - F.col("rest")) / capacity).cast("int"))
-        block = F.pmod(F.xxhash64("key"), F.lit(RANK_BLOCKS)).cast("int")
+        block = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")
         long = long.withColumn("block", block)
-        start = long.groupBy("block").agg(F.sum("full").alias("n")).select("block", F.coalesce(F.sum("n").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))  # RANK_BLOCKS rows
+        start = long.groupBy("block").agg(F.sum("full").alias("n")).select("block", F.coalesce(F.sum("n").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))  # as many rows as blocks
         own = F.sum("full").over(W.partitionBy("block").orderBy("key").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("full")
         cut = long.withColumn("own", own).join(F.broadcast(start), "block").select("*", F.explode(F.sequence(F.lit(1), F.col("full"))).alias("piece_no"))
         whole = cut.select(F.lit(window_id).alias("window_id"), F.col("key").alias(key), "piece_no", ((F.col("piece_no") - 1) * capacity).alias("first_token"), F.lit(capacity).alias("n_tokens"), (F.col("start") + F.col("own") + F.col("piece_no") + packed).cast("bigint").alias("window_no"))
