@@ -40,8 +40,9 @@ MASKS: tuple[tuple[str, str], ...] = (
     (r"„([^„“”]*)“", f"„$1{CLOSE}"),
     (r"(?<=\d)\.(?=\d)", STOP),  # decimals and versions
     (r"(?<![\p{L}\d])\.(?=\d)", STOP),
-    (r"(?=[.?!])(?<=(?:https?://|www\.|doi:|10\.\d{4,9}/)[^\s<>]{0,200})[.?!](?=[\w/])", STOP),  # addresses
-    (r"(?=\.)(?<=[\w-]@[\w-]{1,60})\.(?=\w)", STOP),
+    # addresses: a stop within one, each match going on where the last ended
+    (rf"((?:https?://|www\.|doi:|10[.{STOP}]\d{{4,9}}/)|\G(?<!^))((?:[^\s<>.?!]|[.?!](?![\w/]))*)[.?!](?=[\w/])", f"$1$2{STOP}"),
+    (r"([\w-]@[\w-]+)\.(?=\w)", f"$1{STOP}"),
     (rf"(?=\.)(?<=\d)\.(?=\s(?:{MONTHS})\b)", STOP),
     (r"(?<=(?<!\p{L})\p{L})\.(?=\p{L}\.)", STOP),  # inside e.g., U.S., p.m.
     (rf"(?=\.)(?<=(?<![\p{{L}}\p{{M}}])(?:{INNER}))\.", STOP),
@@ -49,9 +50,6 @@ MASKS: tuple[tuple[str, str], ...] = (
     (r"(?<=\d\s)г\.(?=\s\p{Ll})", f"г{STOP}"),
     (rf"(?=\.)(?<=(?<!\p{{L}})(?:{EITHER}))\.(?=[,;:)\]]|\s+\d|{_ON})", STOP),
     (rf"(?=\.)(?<=(?<![\p{{L}}\p{{M}}\d°µμΩ%/·])(?<!\d\s)(?<!U{STOP})(?<![ap]{STOP})\p{{L}})\.(?=[\s,]|\p{{L}}|{STOP})", STOP),  # initials
-    # the inside of a quotation that begins within a sentence, or that the sentence goes on after
-    (rf"(?=[.?!…。！？])(?<=[\p{{L}}\p{{N}},:;：，、]\s{{0,2}}[“„«「『‘][^“”„«»「」『』{CLOSE}]{{0,600}})[.?!…。！？](?!\s?[”’»」』{CLOSE}.?!…。！？])", STOP),
-    (r"[.?!…。！？](?![”’»」』])(?=[^“”„«»「」『』]{0,600},[”’»」』])(?<=[“„«「『‘][^“”„«»「」『』]{0,600}[.?!…。！？])", STOP),
 )
 
 #: Where a sentence ends; each match takes the stop with its closing marks.
@@ -67,10 +65,42 @@ ENDS: tuple[str, ...] = (
 )
 
 
+#: Marks at which a text is cut to find its quotations, and those that open one.
+_CUT, _OPEN, _SHUT = r"(?=[“”„«»‘「」『』" + CLOSE + "])", "“„«「『‘", f"”»」』{CLOSE}"
+_STOPS = "[.?!…。！？]"
+
+
+def _unquoted(text: Column) -> Column:
+    """``text`` with the stops masked inside a quotation that begins within a sentence, or that its sentence goes on after
+    (it ends with a comma). The text is cut at all quotation marks and the parts are read in order, so a quotation may be of
+    any length."""
+    parts = F.split(text, _CUT)
+    behind = F.concat(F.slice(parts, F.lit(2), F.size(parts)), F.array(F.lit("")))
+    pairs = F.zip_with(parts, behind, lambda x, y: F.struct(x.alias("x"), F.substring(y, 1, 1).alias("follows")))
+    start = F.struct(F.lit(False).alias("within"), F.lit("").alias("before"), F.array().cast("array<string>").alias("done"))
+
+    def step(acc: Column, pair: Column) -> Column:
+        x, follows = pair["x"], pair["follows"]
+        mark = F.substring(x, 1, 1)
+        inside = F.regexp_like(acc["before"], F.lit(r"(?U)[\p{L}\p{N},:;：，、]\s{0,2}$"))
+        within = F.when(F.regexp_like(mark, F.lit(f"[{_SHUT}]")), False).when(mark == "‘", acc["within"] | inside).when(F.regexp_like(mark, F.lit(f"[{_OPEN}]")), inside).otherwise(acc["within"])
+        # stops before a closing mark end the sentence; such a mark may begin the next part
+        last = F.when(F.regexp_like(follows, F.lit(f"^[{_SHUT}]")), r"(?!\s?$)").otherwise("")
+        whole = F.concat(F.lit(rf"(?U){_STOPS}(?!\s?[’.?!…。！？])"), last)
+        first = F.when(within, F.regexp_replace(x, whole, F.lit(STOP))).otherwise(x)
+        quoted = F.regexp_like(mark, F.lit("[“«「『‘]"))
+        goes_on = F.regexp_like(x, F.lit(",$")) & F.regexp_like(follows, F.lit("^[”»」』]"))
+        second = F.when(quoted & goes_on, F.regexp_replace(first, F.lit(f"{_STOPS}(?!’)"), F.lit(STOP))).when(quoted, F.regexp_replace(first, F.lit(f"{_STOPS}(?!’)(?=.*,’)"), F.lit(STOP))).otherwise(first)
+        return F.struct(within.alias("within"), F.right(x, F.lit(3)).alias("before"), F.array_append(acc["done"], second).alias("done"))
+
+    walked = F.aggregate(pairs, start, step, lambda acc: F.array_join(acc["done"], ""))
+    return F.when(F.regexp_like(text, F.lit("[“„«「『‘]")), walked).otherwise(text)
+
+
 def masked(text: Column) -> Column:
     for pattern, to in MASKS:
         text = F.regexp_replace(text, F.lit("(?U)" + pattern), F.lit(to))
-    return text
+    return _unquoted(text)
 
 
 def sentence_ends(text: Column) -> Column:

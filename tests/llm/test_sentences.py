@@ -47,3 +47,13 @@ def test_a_very_long_text_is_split_whole(spark):
     df = spark.createDataFrame([("It is so. " * 20000 + "“Open. quote " * 50,)], "text string")
     assert split_sentences(df).count() >= 20000
     assert time.time() - began < 60
+
+
+def test_quotations_of_any_length(spark):
+    inner = "It holds. " * 400
+    text = f"They wrote, “{inner}so far,” and left. Then more."
+    df = spark.createDataFrame([(1, text)], "block_id long, text string")
+    assert [r["end_char"] for r in split_sentences(df).orderBy("end_char").collect()] == [text.index(" Then"), len(text)]
+    url = "See https://example.org/" + "a.b" * 300 + " now. Next."
+    df = spark.createDataFrame([(1, url)], "block_id long, text string")
+    assert [r["end_char"] for r in split_sentences(df).orderBy("end_char").collect()] == [url.index(" Next"), len(url)]
