@@ -277,6 +277,7 @@ def map_values(values: DataFrame, terms: DataFrame, lexicon: dict[str, tuple[str
         own = [r["canonical"], *(r["aliases"] or []), *(lexicon or {}).get(r["canonical"], ())]
         names.setdefault(r["term_type"], []).extend((a, r["canonical"]) for a in own if a)
     counted = values.groupBy("term_type", "raw").agg(F.count("*").alias("n"))
+    counted = counted.repartition(2 * values.sparkSession.sparkContext.defaultParallelism)  # few bytes, much work: else one task
     return counted.mapInPandas(_map_batches(names), "term_type string, raw string, n bigint, canonical string")
 
 
