@@ -72,7 +72,7 @@ def surname(c: Column) -> Column:
 
 
 def initials(c: Column) -> Column:
-    words = F.regexp_extract_all(_s(c), F.lit(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)"), F.lit(1))
+    words = F.regexp_extract_all(_s(c), F.lit(r"(\p{L}+)"), F.lit(1))
     return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lit("."))), " ")
 
 
@@ -108,7 +108,7 @@ def year_in(c: Column) -> Column:
 
 
 def publication_year(c: Column) -> Column:
-    """A year from 1000 to 2100, else null."""
+    """A year from 1000 to 2100, else null; ``year_error`` says why."""
     y = F.expr("1") * F.when(F.trim(_s(c)).rlike(r"^\d{4}$"), F.trim(_s(c))).cast("int")
     return F.when(y.between(1000, 2100), y)
 
@@ -186,3 +186,97 @@ def record_uid(paper: Column, kind: Column, value: Column, evidence: Column) ->
 
 def resolution_band(r: Column) -> Column:
     return F.when(r < 0.7, "broad").when(r <= 1.3, "balanced").otherwise("fine")
+
+
+def year_error(c: Column) -> Column:
+    """What is wrong with an entered year; null for a good or an empty one."""
+    own = F.trim(_s(c))
+    return F.when(own == "", None).when(~own.rlike(r"^[+-]?\d+$"), "not a number").when(publication_year(c).isNull(), "out of range")
+
+
+def legacy_doi(c: Column) -> Column:
+    """The older DOI key: resolver prefixes off, marks off the right end only."""
+    s = F.regexp_replace(F.lower(F.trim(_s(c))), r"^https?://doi\.org/", "")
+    return F.rtrim(F.trim(F.regexp_replace(s, "^doi:", "")), F.lit(".,; "))
+
+
+def first_surname(authors: Column) -> Column:
+    """Surname key of the first of an array of author structs (family, full_name)."""
+    a = F.get(authors, F.lit(0))
+    return surname(F.coalesce(F.nullif(a["family"], F.lit("")), a["full_name"]))
+
+
+def first_family(authors: Column) -> Column:
+    """Family name of the first author as it is written in the full name; the last word of the full name if none is given."""
+    a = F.get(authors, F.lit(0))
+    family, full = F.trim(_s(a["family"])), F.trim(_s(a["full_name"]))
+    written = F.trim(F.right(full, F.length(family)))
+    last = F.btrim(F.element_at(F.split(full, r"\s+"), -1), F.lit(" ,.;"))
+    return F.when((family != "") & (full != "") & F.lower(full).endswith(F.lower(family)), written).when(family != "", family).otherwise(last)
+
+
+def author_display(a: Column) -> Column:
+    """'Family, Given' of an author struct, else what it has."""
+    family, given, full = (F.trim(_s(a[f])) for f in ("family", "given", "full_name"))
+    return F.when((family != "") & (given != ""), F.concat(family, F.lit(", "), given)).otherwise(F.coalesce(F.nullif(full, F.lit("")), F.nullif(family, F.lit("")), given))
+
+
+def authors_text(authors: Column) -> Column:
+    """Full names joined by '; ', from given and family names where there is no full one; blank ones left out."""
+    name = lambda a: F.trim(F.coalesce(F.nullif(_s(a["full_name"]), F.lit("")), F.concat_ws(" ", F.nullif(F.trim(_s(a["given"])), F.lit("")), F.nullif(F.trim(_s(a["family"])), F.lit("")))))
+    return F.array_join(F.filter(F.transform(F.coalesce(authors, F.array().cast("array<struct<full_name:string,given:string,family:string>>")), name), lambda x: x != ""), "; ")
+
+
+def authors_of(c: Column) -> Column:
+    """array<struct<full_name, given, family>> from lines 'Family, Given' or 'Given Family'; blank lines left out."""
+    lines = F.filter(F.transform(F.split(_s(c), r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
+
+    def one(x: Column) -> Column:
+        at = F.instr(x, ",")
+        family, given = F.trim(F.substring(x, F.lit(1), at - 1)), F.trim(F.substring(x, at + 1, F.length(x)))
+        words = F.split(x, r"\s+")
+        ahead = F.array_join(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), " ")
+        turned = F.struct(F.trim(F.concat(given, F.lit(" "), family)).alias("full_name"), F.nullif(given, F.lit("")).alias("given"), family.alias("family"))
+        return F.when(at > 0, turned).otherwise(F.struct(x.alias("full_name"), F.nullif(ahead, F.lit("")).alias("given"), F.element_at(words, -1).alias("family")))
+
+    return F.transform(lines, one)
+
+
+def listed_authors(c: Column) -> Column:
+    """array<string> from a text of names divided by semicolons."""
+    return F.filter(F.transform(F.split(_s(c), ";"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def searched_text(error: Column) -> Column:
+    """The search text in the address that a provider's error message ends with."""
+    at = F.element_at(F.split(_s(error), " for url: "), -1)
+    found = F.coalesce(F.nullif(F.regexp_extract(at, r"[?&]search=([^&#]*)", 1), F.lit("")), F.regexp_extract(at, r"[?&]query\.bibliographic=([^&#]*)", 1))
+    return F.when(_s(error).contains(" for url: "), collapse(F.coalesce(F.try_url_decode(found), F.lit("")))).otherwise("")
+
+
+def claim_text(c: dict[str, Column], tags: Column | None = None) -> Column:
+    """Statement, subject, relation, object and conditions of a claim, and its tags if given, blanks left out."""
+    parts = [F.nullif(F.trim(_s(c[k])), F.lit("")) for k in ("statement", "subject", "relation", "object", "conditions_text")]
+    if tags is not None:
+        parts.append(F.nullif(F.array_join(F.filter(tags, lambda t: F.trim(_s(t)) != ""), " "), F.lit("")))
+    return F.concat_ws(" ", *parts)
+
+
+def distinct_in_order(a: Column) -> Column:
+    """An array without later repeats and nulls."""
+    return F.array_distinct(F.array_compact(a))
+
+
+def seconds_between(start: Column, stop: Column) -> Column:
+    """Whole and part seconds from one time to another, never below 0."""
+    return F.greatest(F.lit(0.0), (F.unix_micros(stop.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 1e6)
+
+
+def now_text() -> Column:
+    """This moment in UTC, to the second, as ISO text."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def palette(n: Column, colours: tuple[str, ...]) -> Column:
+    """The colour of a number, from the beginning again past the last."""
+    return F.element_at(F.array(*map(F.lit, colours)), (F.pmod(n, F.lit(len(colours))) + 1).cast("int"))

@@ -50,3 +50,43 @@ def resolve(values: DataFrame, aliases: DataFrame, term_type: str, value: str) -
     hit = aliases.where(F.col("term_type") == term_type).select("key", F.col("canonical").alias("hit"))
     out = keyed.join(hit, "key", "left")
     return out.select(*values.columns, F.coalesce("hit", shown).alias("canonical"), F.when(F.col("key") == "", "empty").when(F.col("hit").isNotNull(), "alias").otherwise("passthrough").alias("canonical_source"))
+
+
+def apply_terms(items: DataFrame, events: DataFrame, aliases: DataFrame, kind: str, key=surface_key) -> DataFrame:
+    """Terms of papers after all decisions about them: items (paper_id, uid, raw, norm) with canonical and canonical_source.
+
+    ``events`` (event_id, created_at, paper_id, event_type, uid, canonical, value) are of one ``kind`` of term. An override
+    holds over the alias list, the last one if several; a deletion is final; a term added by an event has the uid
+    ``kind:user:event_id`` and may be overridden and deleted like others. Added terms with a blank value are left out.
+    ``aliases`` has (key, canonical); ``key`` makes the key of a value. Raw values are never changed.
+    """
+    said = collapse(F.col("canonical"))
+    override = F.when((F.col("event_type") == "term_override") & (said != ""), said)
+    at = F.struct("created_at", "event_id")
+    patches = events.where("event_type in ('term_override', 'term_delete')").groupBy("paper_id", "uid").agg(F.max_by(override, F.when(override.isNotNull(), at)).alias("override"), F.max(F.col("event_type") == "term_delete").alias("gone"))
+    base = items.select("paper_id", "uid", "raw", F.coalesce(F.nullif(collapse(F.col("norm")), F.lit("")), collapse(F.col("raw"))).alias("shown"), F.lit(False).alias("user"))
+    value = collapse(F.col("value"))
+    added = events.where("event_type = 'term_add'").select("paper_id", F.concat(F.lit(f"{kind}:user:"), F.col("event_id").cast("string")).alias("uid"), value.alias("raw"), value.alias("shown"), F.lit(True).alias("user")).where("raw != ''").distinct()
+    rows = base.unionByName(added).withColumn("key", key(F.col("shown")))
+    hit = rows.join(aliases.where("key != ''").select("key", F.col("canonical").alias("hit")), "key", "left").join(patches, ["paper_id", "uid"], "left").where(~F.coalesce("gone", F.lit(False)))
+    source = F.when(F.col("override").isNotNull(), "paper_override").when(F.col("user"), "user_added").when(F.col("key") == "", "empty").when(F.col("hit").isNotNull(), "alias").otherwise("passthrough")
+    return hit.select("paper_id", "uid", "raw", F.coalesce("override", "hit", "shown").alias("canonical"), source.alias("canonical_source"))
+
+
+#: Fields that an edit of a claim may set.
+CLAIM_FIELDS = ("statement", "claim_type", "subject", "relation", "object", "conditions_text", "review_status", "review_notes")
+
+
+def apply_claims(claims: DataFrame, events: DataFrame) -> DataFrame:
+    """Claims (paper_id, uid and CLAIM_FIELDS) after their events (event_id, created_at, paper_id, event_type, uid, patch map of the
+    fields set, null values included): edits apply field by field, a deletion is final, claim_add appends claims with a
+    statement under the uid ``claim:user:event_id``, which later events may edit and delete. Raw values as <field>_original."""
+    new = events.where("event_type = 'claim_add'").select("paper_id", F.concat(F.lit("claim:user:"), F.col("event_id").cast("string")).alias("uid"), F.lit("user_added").alias("curation_origin"), *[(collapse(F.col("patch")["statement"]) if f == "statement" else F.coalesce(F.col("patch")[f], F.lit({"claim_type": "user_curated", "review_status": "edited"}.get(f)).cast("string"))).alias(f) for f in CLAIM_FIELDS]).where("statement != ''")
+    rows = claims.select("paper_id", "uid", F.lit(None).cast("string").alias("curation_origin"), *CLAIM_FIELDS).unionByName(new)
+    at = F.struct("created_at", "event_id")
+    edit = lambda f: (F.col("event_type") == "claim_edit") & F.map_contains_key("patch", F.lit(f))
+    last = [F.max(F.when(edit(f), F.struct(at.alias("at"), F.col("patch")[f].alias("v")))).alias(f"e_{f}") for f in CLAIM_FIELDS]
+    patches = events.where("event_type in ('claim_edit', 'claim_delete')").groupBy("paper_id", "uid").agg(*last, F.max(F.col("event_type") == "claim_delete").alias("gone"), F.max(F.col("event_type") == "claim_edit").alias("edited"))
+    out = rows.join(patches, ["paper_id", "uid"], "left").where(~F.coalesce("gone", F.lit(False)))
+    kept = [F.when(F.col(f"e_{f}").isNotNull(), F.col(f"e_{f}.v")).otherwise(F.col(f)).alias(f) for f in CLAIM_FIELDS]
+    return out.select("paper_id", "uid", *kept, *[F.col(f).alias(f"{f}_original") for f in CLAIM_FIELDS], F.when(F.coalesce("edited", F.lit(False)), "user_edited").otherwise(F.col("curation_origin")).alias("curation_origin"))

@@ -99,10 +99,11 @@ def terms_of(texts: DataFrame, node: str, text: str, n_max: int = 1, stop: tuple
     if stop:
         words = F.filter(words, lambda w: ~w.isin(*stop))
     base = texts.select(F.col(node).alias("node"), words.alias("w"))
-    grams = F.col("w")
-    for n in range(2, n_max + 1):
-        more = F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i, n=n: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>"))
-        grams = F.concat(grams, more)
+
+    def runs(n: int) -> Column:
+        return F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    grams = F.concat(F.col("w"), *[runs(n) for n in range(2, n_max + 1)])
     return base.select("node", F.explode(grams).alias("term")).groupBy("node", "term").agg(F.count("*").alias("tf"))
 
 
@@ -171,6 +172,35 @@ def dense_topk(vectors: DataFrame, node: str, vector: str, k: int, threshold: fl
     return kept.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.max("weight").alias("weight")).select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight")
 
 
+def dense_pairs(vectors: DataFrame, node: str, vector: str, threshold: float, block_rows: int = 2048) -> DataFrame:
+    """(src, dst, weight), src < dst: all pairs of unit vectors whose cosine is ``threshold`` or more.
+
+    Blocks of bounded size are multiplied, each pair of blocks once, so the work grows as the square of the rows: meant for
+    vocabularies, which grow slowly, not for documents; those use ``dense_search`` with a stated query set."""
+    blocks = max(1, -(-vectors.count() // block_rows))
+    rows = vectors.select(F.col(node).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(node), F.lit(blocks)).cast("int").alias("b"))
+    packed = rows.groupBy("b").agg(F.collect_list("id").alias("ids"), F.collect_list("v").alias("vs"))
+    grid = packed.select(F.col("b").alias("qb"), F.col("ids").alias("q_ids"), F.col("vs").alias("q_vs"), F.explode(F.sequence(F.col("b"), F.lit(blocks - 1))).alias("b"))
+    kind = vectors.schema[node].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                x, y = (np.array([np.asarray(v, float) for v in vs]) for vs in (r.q_vs, r.vs))
+                a, b = np.asarray(r.q_ids, object), np.asarray(r.ids, object)
+                for lo in range(0, len(a), 256):
+                    s = x[lo : lo + 256] @ y.T
+                    i, j = np.nonzero(s >= threshold)
+                    p, q = a[lo : lo + 256][i], b[j]
+                    keep = p < q if r.same else p != q
+                    low = [min(u, w) for u, w in zip(p[keep], q[keep], strict=True)]
+                    high = [max(u, w) for u, w in zip(p[keep], q[keep], strict=True)]
+                    yield pd.DataFrame({"src": low, "dst": high, "weight": s[i, j][keep]})
+
+    met = grid.join(packed, "b").select("q_ids", "q_vs", "ids", "vs", (F.col("qb") == F.col("b")).alias("same"))
+    return met.mapInPandas(run, f"src {kind}, dst {kind}, weight double")
+
+
 def soft_set_pairs(members: DataFrame, node: str, item: str, relations: DataFrame, threshold: float) -> DataFrame:
     """(src, dst, weight): mean over both directions of the best relation of each item to the other set's items.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.orphans import OrphanLedger, parent_rows
+from ..operators.orphans import RECORDS, OrphanLedger, parent_rows
 from ..operators.records import upsert
 from ..sources.files import EVENT_SCHEMA
 
@@ -41,11 +41,12 @@ def replay(events: DataFrame, log: str, rebuild: Callable[[DataFrame, DataFrame]
     return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def orphan_stream(papers: DataFrame, ledger: OrphanLedger, no_references: DataFrame, checkpoint: str) -> StreamingQuery:
-    """Arriving parents resolve the orphans of a ledger that wait for them."""
+def orphan_stream(papers: DataFrame, ledger: OrphanLedger, checkpoint: str, source: str = "papers") -> StreamingQuery:
+    """Arriving parents resolve the orphans of a ledger that wait for them. A batch that was committed before a failure is not
+    applied again: the ledger keeps the number of its last batch of each source."""
 
     def batch(df: DataFrame, n: int) -> None:
-        ledger.apply(parent_rows(df), no_references)
+        ledger.apply(parent_rows(df), ledger.spark.createDataFrame([], RECORDS), source, n)
 
     return papers.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

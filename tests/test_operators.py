@@ -128,6 +128,41 @@ def test_orphan_ledger_in_any_order(spark):
     assert empty.open().count() == 0
 
 
+def test_orphan_ledger_with_deletions_restarts_and_repeated_batches(spark):
+    t = lambda d: dt.datetime(2024, 1, 1) + dt.timedelta(days=d)
+    rng = random.Random(5)
+    parents, refs = [], []
+    for k in range(60):
+        n = rng.randrange(12)
+        seen, last = sorted((rng.randrange(40), rng.randrange(40)))
+        parents.append((f"P{n:04}", rng.randrange(2), t(seen), t(last), rng.random() < 0.2))
+        refs.append((rng.choice([f"P{rng.randrange(15)}", "X1", None]), f"r{rng.randrange(25)}", t(rng.randrange(40)), rng.random() < 0.15))
+    held: dict = {}
+    for pid, r, at, gone in refs:
+        n = None if pid in (None, "X1") else pid[1:]
+        held[r] = max(held.get(r, (t(-1), False, "", "")), (at, gone or pid is None, n or "", f"{pid or ''}|{r}"))
+    index: dict = {}
+    for pid, active, seen, last, gone in parents:
+        top, first = index.get(pid.lstrip("P0") or "0", ((t(-1), False, 0), seen))
+        index[pid.lstrip("P0") or "0"] = max(top, (last, gone, active)), min(first, seen)
+    want = []
+    for at, gone, n, key in held.values():
+        (_, away, active), seen = index.get(n, ((None, True, 0), None))
+        kind = "missing" if away else "inactive" if not active else "late" if seen > at else None
+        if not gone and kind:
+            want.append(("c", "pid", key, kind, "2024-01" if at < t(31) else "2024-02"))
+    p = spark.createDataFrame(parents, "paper_id string, active int, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz, gone boolean").withColumn("k", F.monotonically_increasing_id() % 7)
+    c = spark.createDataFrame(refs, "pid string, r string, at timestamp_ntz, gone boolean").withColumn("k", F.monotonically_increasing_id() % 5)
+    p_rows = lambda df: parent_rows(df.where("not gone")).unionByName(parent_rows(df.where("gone"), True))
+    c_rows = lambda df: reference_rows(df.where("not gone"), "c", "pid", ["r"], [F.col("pid"), F.col("r")], "at").unionByName(reference_rows(df.where("gone"), "c", "pid", ["r"], [F.col("pid"), F.col("r")], "at", True))
+    ledger = OrphanLedger(spark, buckets=4)
+    for batch, (i, j) in enumerate([(3, 4), (0, 9), (9, 2), (6, 0), (1, 3), (5, 1), (2, 9), (4, 9)]):
+        assert ledger.apply(p_rows(p.where(f"k = {i}")), c_rows(c.where(f"k = {j}")), "both", batch)
+        ledger = OrphanLedger(spark, ledger.path)  # as after a restart
+        assert not ledger.apply(p_rows(p), c_rows(c), "both", batch)
+    assert rows(ledger.open()) == sorted(want, key=str)
+
+
 def test_paper_numbers(spark):
     ids = ["P0042", " p-0042", "Ｐ0042", "#P0042\t", "P 42", "P00042", "TMP-42", "", None, "P", "42"]
     got = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "s string").select(paper_number(F.col("s"))).collect()]

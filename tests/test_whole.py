@@ -4,7 +4,6 @@ import datetime as dt
 import difflib
 import itertools
 
-from evigraph.llm import matching
 from evigraph.operators import linkage
 from evigraph.plans import registry
 
@@ -103,16 +102,3 @@ def test_scored_match_takes_altered_titles_and_tests_score_and_margin(spark, tmp
     d = saved(spark, tmp_path, "reference", [(n, t, ["X"], "J", y, None) for n, t, y in refs], "reference_no long, title string, authors array<string>, journal string, year int, doi string")
     got = {r.reference_no: (r.paper_id, r.title_score < 1) for r in registry.QUERIES["q23_scored_match"](spark, d).collect()}
     assert got == {1: ("P1", False), 2: ("P1", True), 3: ("P1", True)}
-
-
-def test_titles_meet_when_their_only_rare_word_is_misread(spark):
-    names = ["trahbithane", "kanupuhde", "ladomelide", "zorimulane"]
-    entities = [(f"P{i}", f"Molecular weight control of viscosity {n} networks", None, 2010, None) for i, n in enumerate(names)]
-    # the other words are in more papers than may share a rare one
-    entities += [(f"Q{i}", f"{w} measured {'abcdefghijklmnopqrstuvwxyzabcdefghijklmn'[i % 40] * 6}{i:03}", None, 2000, None) for w in ("molecular", "weight", "control", "viscosity", "networks") for i in range(40)]
-    records = [("A", str(i), "1", f"Molecular weight control of viscosity {n} networks", None, 2010, None) for i, n in enumerate(["tralibithane", "kanupulide", "ladornehde", "zonmulame"])]
-    r = spark.createDataFrame(records, "cid string, rid string, citing string, title string, doi string, year int, journal string")
-    e = spark.createDataFrame(entities, "entity string, title string, doi string, year int, journal string")
-    got = {x["rid"]: x["entity"] for x in matching.match(r, e, ["cid", "rid"], "citing").collect()}
-    assert got["0"] == "P0" and got["1"] == "P1"
-    assert all(v == f"P{k}" for k, v in got.items())
