@@ -2,14 +2,17 @@
 
 Noisy-channel attribution over distinct spellings, counted before anything else. A spelling is read as given name, middle
 initial, particle and family words (people) or as a place and the words of its kind (groups). Frequent complete spellings
-are the candidate canonical forms; a variant meets its candidates through its family word, and through more established
-words one typing error away; each candidate's posterior is its frequency times the likelihood of the differences
-(order, initials, nickname, dropped part, abbreviation, error), and the variant joins the greatest. Attachments always
-go up a total order, so they form trees; their roots name the entities, found by pointer jumping.
-
-Whether "A B" is written family name first is decided by how often each word is the given and the family name of
-spellings that leave no doubt (a comma, an initial, a particle). Words of one or two spellings only count as errors of
-others.
+are the candidate canonical forms; a variant meets its candidates through a family word, or a more established word one
+typing error away, and its given name, one error, a short form or the initial of it; each candidate's posterior is its
+frequency times the likelihood of the differences (order, initials, short form, dropped part, abbreviation, error), and the
+variant joins the greatest. Attachments always go up a total order, so they form trees; their roots name the entities,
+found by pointer jumping.
+
+What the channel knows of names is counted in the corpus. Whether "A B" is written family name first is decided by how often
+each word is the given and the family name of spellings that leave no doubt (a comma, an initial, a particle). A word is
+doubted beside one an error away that has more spellings, in proportion to these, so that the rule means the same at any
+size. Short forms of given names are those which are a part of the full name, but for a diminutive ending, and stand beside
+the full name in families far more often than chance would have it; a short list has forms that no rule derives.
 
 Defined cases: null and blank strings name nobody and are left out; a string stands for one entity; a spelling with no
 candidate is an entity of its own; equal posteriors go to the more frequent, then the greater string; repeated rows only
@@ -24,17 +27,20 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import lookup_join
 from ..runtime import cut, written
 from .canonical import distance, look
 
-# Short forms of given names, particles, titles and nouns of groups.
-NICKNAMES: dict[str, tuple[str, ...]] = {
-    "alex": ("alexander", "alexandra"), "sasha": ("alexander",), "asi": ("asmund",), "ben": ("benjamin",), "benny": ("benjamin",), "benji": ("benjamin",), "lotte": ("charlotte",), "charlie": ("charlotte", "charles"), "lottie": ("charlotte",), "dagi": ("dagmar",), "dasha": ("dagmar",), "katya": ("ekaterina",), "katja": ("ekaterina",), "katia": ("ekaterina",), "liesl": ("elisabeth",), "lisa": ("elisabeth",), "liz": ("elisabeth",), "beth": ("elisabeth",), "lisbeth": ("elisabeth",), "elsa": ("elisabeth",), "paco": ("francisco",), "pancho": ("francisco",), "curro": ("francisco",), "beppe": ("giuseppe",), "peppe": ("giuseppe",), "pino": ("giuseppe",), "nacho": ("ignacio",), "nesi": ("ines",), "hans": ("johannes",), "hannes": ("johannes",), "jan": ("johannes",), "jon": ("jonathan",), "jonny": ("jonathan",), "kate": ("katherine",), "kathy": ("katherine",), "katie": ("katherine",), "kitty": ("katherine",), "lucy": ("lucja",), "lusia": ("lucja",), "greta": ("margareta",), "gretel": ("margareta",), "grete": ("margareta",), "rita": ("margareta",), "maggie": ("margareta",), "kolya": ("nikolai",), "kolja": ("nikolai",), "nick": ("nikolai", "nicholas"), "seun": ("oluwaseun",), "olu": ("oluwaseun",), "perry": ("peregrine",), "pippin": ("peregrine",), "raj": ("rajendra",), "raju": ("rajendra",), "bob": ("robert",), "rob": ("robert",), "bobby": ("robert",), "bert": ("robert",), "sanna": ("susanna",), "susi": ("susanna",), "sue": ("susanna",), "sanne": ("susanna",), "theo": ("theodora", "theodor"), "dora": ("theodora",), "thea": ("theodora",), "ulli": ("ulrike",), "uli": ("ulrike",), "rike": ("ulrike",), "volodya": ("vladimir",), "vova": ("vladimir",), "vlad": ("vladimir",), "mina": ("wilhelmina",), "minna": ("wilhelmina",), "willa": ("wilhelmina",), "bill": ("william",), "will": ("william",), "billy": ("william",), "liam": ("william",), "xiao": ("xiaoming",), "ming": ("xiaoming",), "yoshi": ("yoshihiro",), "hiro": ("yoshihiro",), "zsofi": ("zsofia",), "zsofka": ("zsofia",), "jim": ("james",), "jack": ("john",), "mike": ("michael",), "tom": ("thomas",), "dick": ("richard",), "tony": ("anthony",), "meg": ("margaret",), "peggy": ("margaret",), "cas": ("casimir",), "otti": ("ottoline",),
+# Short forms of given names that no rule derives, particles, titles and nouns of groups.
+IRREGULAR: dict[str, tuple[str, ...]] = {
+    "bill": ("william",), "billy": ("william",), "bob": ("robert",), "bobby": ("robert",), "dick": ("richard",), "jim": ("james",), "jack": ("john",), "hans": ("johannes",), "jan": ("johannes",), "kitty": ("katherine",), "liz": ("elisabeth",), "elsa": ("elisabeth",), "liesl": ("elisabeth",), "maggie": ("margareta", "margaret"), "peggy": ("margaret",), "meg": ("margaret",),
+    "rita": ("margareta",), "greta": ("margareta",), "grete": ("margareta",), "gretel": ("margareta",), "nacho": ("ignacio",), "uli": ("ulrike", "ulrich"), "ulli": ("ulrike", "ulrich"), "kate": ("katherine",), "katie": ("katherine",), "mike": ("michael",), "nick": ("nikolai", "nicholas"), "ned": ("edward",), "ted": ("edward", "theodore"), "paco": ("francisco",), "pancho": ("francisco",), "pepe": ("jose",), "peppe": ("giuseppe",), "beppe": ("giuseppe",), "sasha": ("alexander", "alexandra"), "vova": ("vladimir",), "volodya": ("vladimir",), "misha": ("mikhail",), "chuck": ("charles",), "molly": ("mary",), "polly": ("mary",), "nell": ("helen",), "hank": ("henry",), "harry": ("henry",),
 }
+#: Endings of short forms.
+ENDINGS = re.compile(r"(?:chen|lein|inka|ya|ja|ie|ey|ji|ko|ka|li|sy|sl|i|y|e|a|o|u)$")
 PARTICLES = frozenset("van von de der den la le del della di da dos du ter ten el al bin ibn zu zum".split())
 TITLES = frozenset("dr prof professor mr mrs ms miss sir phd md jr sr the dipl ing".split())
 GROUP = re.compile(r"(?i)\b(institut\w*|inst\.|laborator\w*|lab\.?|labs|consort\w*|cons\.|collaborat\w*|collab\.?|network|group|universit\w*|univ\.|cent(?:er|re)|society|soc\.|academy|department|dept\.|team|project|council|agency|commission)(?!\w)")
@@ -131,8 +137,11 @@ def _near(a: str, b: str) -> bool:
     return distance(a, b, 1) <= 1 or distance(look(a), look(b), 1) <= 1
 
 
-def formal(given: str) -> tuple[str, ...]:
-    return (given, *NICKNAMES.get(given, ()))
+def stems(given: str) -> list[str]:
+    """What a short form may have of the full name: itself, and without its ending and the letter doubled before that."""
+    short = ENDINGS.sub("", given)
+    cut_short = short[:-1] if len(short) > 2 and short[-1] == short[-2] else short
+    return [s for s in dict.fromkeys((given, short, cut_short)) if len(s) >= 2]
 
 
 def cost(v: dict, c: dict) -> float | None:
@@ -181,14 +190,14 @@ def cost(v: dict, c: dict) -> float | None:
     gv, gc = v["given"], c["given"]
     if gv and gc and gv != gc:
         if len(gv) == 1:
-            if not any(g[0] == gv for g in formal(gc)):
+            if not any(g[0] == gv for g in c["formals"]):
                 return None
             total += 2
         elif len(gc) == 1:
-            if not any(g[0] == gc for g in formal(gv)):
+            if not any(g[0] == gc for g in v["formals"]):
                 return None
             total += 2
-        elif set(formal(gv)) & set(formal(gc)):
+        elif set(v["formals"]) & set(c["formals"]):
             total += 2
         elif min(len(gv), len(gc)) >= 4 and v["given_deg"] <= c["given_deg"] and _near(gv, gc):
             total += 4
@@ -204,7 +213,7 @@ def cost(v: dict, c: dict) -> float | None:
     return total
 
 
-_FIELDS = ("kind", "given", "middle", "particle", "family", "given_deg")
+_FIELDS = ("kind", "given", "middle", "particle", "family", "given_deg", "formals")
 
 
 def _score_batches(most: float):
@@ -220,23 +229,77 @@ def _score_batches(most: float):
     return run
 
 
-def _attach(variants: DataFrame, forms: DataFrame, links: DataFrame, most: float) -> DataFrame:
+def _cuts(word: str) -> Column:
+    """A word, what it leaves without one letter, and the form of what is misread alike."""
+    less = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(F.col(word), F.lit(1), i - 1), F.substring(F.col(word), i + 1, F.length(word))))
+    looked = F.replace(F.replace(F.replace(F.col(word), F.lit("rn"), F.lit("m")), F.lit("cl"), F.lit("d")), F.lit("vv"), F.lit("w"))
+    return F.when(F.length(word) >= 4, F.array_distinct(F.concat(F.array(F.col(word), looked), less))).otherwise(F.array(F.col(word)))
+
+
+def _attach(variants: DataFrame, forms: DataFrame, links: DataFrame, most: float, initials: bool) -> DataFrame:
     """(name, parent): the form of greatest posterior for each variant that has one of higher rank.
 
-    ``links`` has the family words through which a spelling may be met: (name, word)."""
-    initials = F.array_distinct(F.transform("formals", lambda g: F.substring(g, 1, 1)))
-    lasts = F.array_distinct(F.transform(F.filter("formals", lambda g: F.length(g) > 3), lambda g: F.concat(F.lit("$"), F.substring(g, -2, 2))))
-    keys = F.when(F.col("kind") == "g", F.array(F.lit("#"))).otherwise(F.concat(initials, lasts))
-    keyed = lambda df: df.withColumn("key", F.explode(keys))
-    left = keyed(variants.join(links, "name"))
+    ``links`` has the family words through which a spelling may be met: (name, word). Beside the word both sides must share
+    the given name, a form of it with one error, or a full form. A variant that has an initial only costs the same for all
+    forms of equal family, particle and middle initial, so of these it meets the most frequent alone. ``initials``: forms may
+    have initials only, too."""
+    group = F.col("kind") == "g"
+    first = F.array_distinct(F.transform("formals", lambda g: F.concat(F.lit("^"), F.substring(g, 1, 1))))
+    whole = F.array_distinct(F.concat(_cuts("given"), F.transform("formals", lambda g: F.concat(F.lit("="), g))))
+    short = F.length("given") <= 1
+    keys = F.when(group, F.array(F.lit("#"))).when(short, F.when(F.col("given") == "", F.array(F.lit("^"))).otherwise(first)).otherwise(F.concat(whole, first) if initials else whole)
+    named = [F.col(c).alias(f"c_{c}") for c in ("name", "n", "rank", *_FIELDS)]
+    left = variants.join(links, "name")
     own = forms.select("*", F.explode(F.array_distinct("family")).alias("word"))
-    right = keyed(own).select("word", "key", *[F.col(c).alias(f"c_{c}") for c in ("name", "n", "rank", *_FIELDS)])
-    pairs = left.join(right, ["word", "key"]).where("c_rank > rank")
-    pairs = pairs.select("name", *_FIELDS, "c_name", "c_n", *[f"c_{f}" for f in _FIELDS]).dropDuplicates(["name", "c_name"])
+    full = left.where(F.lit(initials) | group | ~short).withColumn("key", F.explode(keys))
+    right = own.withColumn("key", F.explode(F.when(group, F.array(F.lit("#"))).otherwise(F.concat(whole, first, F.array(F.lit("^"))) if initials else whole))).select("word", "key", *named)
+    pairs = full.join(right, ["word", "key"]).where("c_rank > rank").select("name", *_FIELDS, *[c for c in right.columns if c not in ("word", "key", "c_rank")])
+    if not initials:
+        top = own.where(~group).withColumn("key", F.explode(F.concat(first, F.array(F.lit("^"))))).groupBy("word", "key", "middle", "particle", "family").agg(F.max(F.struct("n", "name", "rank", "kind", "given", "given_deg", "formals")).alias("t"))
+        few = top.select("word", "key", *[(F.col(c) if c in ("middle", "particle", "family") else F.col(f"t.{c}")).alias(f"c_{c}") for c in ("name", "n", "rank", *_FIELDS)])
+        brief = left.where(~group & short).withColumn("key", F.explode(keys)).join(few, ["word", "key"]).where("c_rank > rank")
+        pairs = pairs.unionByName(brief.select(*pairs.columns))
+    pairs = pairs.dropDuplicates(["name", "c_name"])
     scored = pairs.mapInPandas(_score_batches(most), "name string, parent string, score double, c_n bigint")
     return scored.groupBy("name").agg(F.max_by("parent", F.struct("score", "c_n", "parent")).alias("parent"))
 
 
+def _doubts(words: DataFrame) -> DataFrame:
+    """(word, to): for words (word, types) those one error away that have more spellings: as many at least, and so many more
+    that the word's own are two and an eighth of theirs at most. A person's misspelt name has few spellings at any size; what
+    is misspelt often is so in proportion."""
+    near = words.where(F.length("word") >= 5).select("word", "types", F.explode(_cuts("word")).alias("cut"))
+    sure = near.select(F.col("word").alias("to"), F.col("types").alias("t"), "cut")
+    return near.join(sure, "cut").where("word != to and t >= types and types <= 2 + t / 8").select("word", "to", "types", "t").distinct()
+
+
+def _stem_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = []
+        for g in pdf["given"]:
+            rows += [(g, "s", x) for x in stems(g)]
+            rows += [(g, "p", g[i:j]) for i in range(len(g)) for j in range(i + 2, min(len(g), i + 9) + 1) if (i, j) != (0, len(g))]
+        yield pd.DataFrame(rows, columns=["given", "side", "part"])
+
+
+def short_forms(names: DataFrame) -> DataFrame:
+    """(given, formals): short forms of given names, from spellings (given, key) where ``key`` is the rest of the name.
+
+    A pair is proposed where a stem of the short form stands in the full name, and kept where the two stand beside each other
+    with equal rests in at least a fifth of the short form's rests and ten times as often as their frequencies would give."""
+    held = names.where(F.length("given") >= 2).select("given", "key").distinct()
+    n = written(held.groupBy("given").agg(F.count("*").alias("n")), "givens")
+    total = held.select("key").distinct().count()
+    parts = written(n.select("given").mapInPandas(_stem_batches, "given string, side string, part string").distinct(), "stems")
+    full = parts.where("side = 'p'").select("part", F.col("given").alias("formal"))
+    proposed = parts.where("side = 's'").select("part", "given").join(full, "part").where("given != formal and length(given) <= length(formal) + 1").select("given", "formal").distinct()
+    both = proposed.join(held, "given").join(held.withColumnRenamed("given", "formal"), ["formal", "key"]).groupBy("given", "formal").agg(F.count("*").alias("k"))
+    rated = both.join(n, "given").join(n.select(F.col("given").alias("formal"), F.col("n").alias("m")), "formal")
+    kept = rated.where(F.col("k") >= F.greatest(0.2 * F.col("n"), 10.0 * F.col("n") * F.col("m") / F.lit(max(total, 1)))).where("k > 1 or n = 1").where("m >= k and (m > n or length(formal) > length(given))")
+    # of a chain of forms the most frequent full one counts
+    return kept.groupBy("given").agg(F.array_sort(F.collect_set("formal")).alias("found"))
+
+
 def _roots(parents: DataFrame) -> DataFrame:
     """(name, parent) with every parent replaced by the root of its tree, by doubling the steps."""
     now = cut(parents)
@@ -250,7 +313,7 @@ def _roots(parents: DataFrame) -> DataFrame:
 
 
 def link_names(strings: DataFrame, name: str = "name", most: float = 9.0) -> DataFrame:
-    """(name, entity): each distinct spelling with the canonical spelling of its entity."""
+    """(name, entity, n): each distinct spelling with the canonical spelling of its entity and how often it stands there."""
     counted = strings.select(F.col(name).alias("name")).where(F.trim(F.regexp_replace("name", r"(?U)\s+", " ")) != "").groupBy("name").agg(F.count("*").alias("n"))
     parsed = written(counted.mapInPandas(_parse_batches, PARSED), "names")
     # how often each word is a given and a family name where the spelling leaves no doubt
@@ -272,29 +335,34 @@ def link_names(strings: DataFrame, name: str = "name", most: float = 9.0) -> Dat
         (F.col("whole") & ~turn).alias("whole"),
         F.coalesce(F.when(turn, F.col("other_deg")).otherwise(F.col("given_deg")), F.lit(0)).alias("given_deg"),
     )
-    nick = F.create_map(*[x for k, v in NICKNAMES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    names = names.withColumn("formals", F.when(F.col("kind") == "g", F.array().cast("array<string>")).otherwise(F.concat(F.array("given"), F.coalesce(F.element_at(nick, F.col("given")), F.array().cast("array<string>")))))
+    rest = F.concat_ws(" ", "family", "particle", "middle")
+    found = written(short_forms(names.where("kind = 'p' and whole").select("given", rest.alias("key"))), "short")
+    listed = F.create_map(*[x for k, v in IRREGULAR.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    nothing = F.array().cast("array<string>")
+    formals = F.concat(F.array("given"), F.coalesce("found", nothing), F.coalesce(F.element_at(listed, F.col("given")), nothing))
+    names = lookup_join(names, found, "given").withColumn("formals", F.when(F.col("kind") == "g", nothing).otherwise(F.array_distinct(formals))).drop("found")
     complete = F.col("whole") & ((F.col("kind") == "g") | ((F.length("given") > 2) & (F.size("formals") == 1)))
     names = written(names.withColumn("complete", complete), "read")
-    family = names.select("name", "n", F.explode(F.array_distinct("family")).alias("word"))
-    words = written(family.groupBy("word").agg(F.count("*").alias("types"), F.sum("n").alias("uses")), "words")
-    settled = family.join(words, "word").groupBy("name").agg(F.min("types").alias("types"))
-    rank = F.struct(F.col("complete").alias("complete"), ((F.col("kind") == "g") | (F.col("given_deg") > 2)).alias("known"), F.least("types", F.lit(3)).alias("types"), F.col("n").alias("n"), F.size("family").alias("parts"), F.length("middle").alias("middle"), F.col("name").alias("name"))
-    names = written(names.join(settled, "name", "left").withColumn("types", F.coalesce("types", F.lit(0))).withColumn("rank", rank), "ranked")
-    # established words one error away from words of one or two spellings
-    cuts = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.concat(F.substring(F.col("word"), F.lit(1), i - 1), F.substring(F.col("word"), i + 1, F.length("word"))))
-    looked = F.replace(F.replace(F.replace(F.col("word"), F.lit("rn"), F.lit("m")), F.lit("cl"), F.lit("d")), F.lit("vv"), F.lit("w"))
-    near = words.where(F.length("word") >= 5).select("*", F.explode(F.array_distinct(F.concat(F.array(F.col("word"), looked), cuts))).alias("cut"))
-    rare = near.where("types <= 2").select("word", "types", "uses", "cut")
-    sure = near.select(F.col("word").alias("to"), F.col("types").alias("t"), F.col("uses").alias("u"), "cut")
-    fixes = rare.join(sure, "cut").where("word != to and t >= types").select("word", "to").distinct()
-    links = written(family.select("name", "word").unionByName(family.join(fixes, "word").select("name", F.col("to").alias("word"))), "links")
-    first = written(_attach(names, names.where("complete"), links, most), "parents")
+    family = names.select("name", F.explode(F.array_distinct("family")).alias("word"))
+    fixes = written(_doubts(written(family.groupBy("word").agg(F.count("*").alias("types")), "words")), "fixes")
+    givens = degree.where("deg > 0").select("word", F.col("deg").alias("types"))
+    misheard = _doubts(givens).where("t > types").select(F.col("word").alias("given"), F.lit(True).alias("doubted")).distinct()
+    unsettled = family.join(fixes.where("t > types").select("word").distinct(), "word", "left_semi").select("name", F.lit(True).alias("unsettled")).distinct()
+    rank = F.struct(F.col("complete").alias("complete"), ((F.col("kind") == "g") | (F.col("doubted").isNull() & (F.col("given_deg") > 0))).alias("known"), F.col("unsettled").isNull().alias("settled"), F.col("n").alias("n"), F.size("family").alias("parts"), F.length("middle").alias("middle"), F.col("name").alias("name"))
+    names = written(lookup_join(names.join(unsettled, "name", "left"), misheard, "given").withColumn("rank", rank).drop("unsettled", "doubted"), "ranked")
+    links = written(family.unionByName(family.join(fixes.select("word", "to"), "word").select("name", F.col("to").alias("word"))).distinct(), "links")
+    first = written(_attach(names, names.where("complete"), links, most, False), "parents")
     alone = names.join(first, "name", "left_anti")
     rest = alone.where("not complete")
-    second = _attach(rest, rest, links, most)
+    second = _attach(rest, rest, links, most, True)
     roots = _roots(first.unionByName(second))
-    return names.select("name").join(roots, "name", "left").select("name", F.coalesce("parent", "name").alias("entity"))
+    return names.select("name", "n").join(roots, "name", "left").select("name", F.coalesce("parent", "name").alias("entity"), "n")
+
+
+def classes(entities: DataFrame) -> DataFrame:
+    """(name, entity, n_links): each spelling with its entity's canonical spelling and the number of other spellings it has."""
+    size = entities.groupBy("entity").agg(F.count("*").alias("k"))
+    return entities.join(size, "entity").select("name", "entity", (F.col("k") - 1).alias("n_links"))
 
 
 def variant_pairs(entities: DataFrame) -> DataFrame:

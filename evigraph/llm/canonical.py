@@ -82,21 +82,30 @@ def look(word: str) -> str:
 
 
 def distance(a: str, b: str, most: int) -> int:
-    """Edits between a and b (insert, delete, replace, swap of neighbours); more than ``most`` may be any such number."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    two, one = None, list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        now = [i]
-        for j, y in enumerate(b, 1):
-            d = min(one[j] + 1, now[-1] + 1, one[j - 1] + (x != y))
+    """Edits between a and b (insert, delete, replace, swap of neighbours); ``most`` + 1 stands for any greater number. Only the
+    band of ``most`` letters about the diagonal is worked, so long strings cost in proportion to their length."""
+    n, m, far = len(a), len(b), most + 1
+    if abs(n - m) > most:
+        return far
+    two: list[int] = []
+    one = [j if j <= most else far for j in range(m + 1)]
+    for i in range(1, n + 1):
+        x, lo, hi = a[i - 1], max(1, i - most), min(m, i + most)
+        now = [far] * (m + 1)
+        if i <= most:
+            now[0] = i
+        least = now[0]
+        for j in range(lo, hi + 1):
+            y = b[j - 1]
+            d = min(one[j] + 1, now[j - 1] + 1, one[j - 1] + (x != y))
             if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
                 d = min(d, two[j - 2] + 1)
-            now.append(d)
-        if min(now) > most:
-            return most + 1
+            now[j] = d = min(d, far)
+            least = min(least, d)
+        if least > most:
+            return far
         two, one = one, now
-    return one[-1]
+    return one[m]
 
 
 #: What European languages write for each other in words of Greek and Latin origin.

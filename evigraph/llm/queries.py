@@ -25,8 +25,17 @@ def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return canonical.map_values(values, table(spark, d, "terms")).where("canonical = ''").select("term_type", "raw", "n")
 
 
+def _linked(spark: SparkSession, d: str) -> DataFrame:
+    return authors.link_names(authors.author_strings(table(spark, d, "reference"), table(spark, d, "paper_metadata_v4")))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return authors.variant_pairs(authors.link_names(authors.author_strings(table(spark, d, "reference"), table(spark, d, "paper_metadata_v4"))))
+    return authors.variant_pairs(_linked(spark, d))
+
+
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each spelling with its entity and the number of its links."""
+    return authors.classes(_linked(spark, d))
 
 
 def _repaired(spark: SparkSession, d: str, found: bool) -> DataFrame:
@@ -77,6 +86,6 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_chars(table(spark, d, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p3_found": p3_found, "p3_text": p3_text, "p5_found": p5_found, "p5_confidence": p5_confidence, "p6_found": p6_found, "p7_ids": p7_ids, "p8_windows": p8_windows, "p9_found": p9_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_text": p3_text, "p5_found": p5_found, "p5_confidence": p5_confidence, "p6_found": p6_found, "p7_ids": p7_ids, "p8_windows": p8_windows, "p9_found": p9_found}
 
 SQL: dict[str, str] = {}
