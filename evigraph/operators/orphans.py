@@ -73,7 +73,7 @@ class OrphanLedger:
 
     spark: SparkSession
     path: str | None = None
-    buckets: int = 32
+    buckets: int = 16
     version: int = 0
     folders: dict[str, dict[int, int]] = field(default_factory=dict)
     applied: dict[str, int] = field(default_factory=dict)
@@ -152,10 +152,10 @@ class OrphanLedger:
         old = self._read("records", RECORDS, mine).withColumn("bucket", self._bucket("record"))
         both = old.withColumn("held", F.lit(True)).unionByName(new.withColumn("held", F.lit(False)))
         merged = both.groupBy("bucket", *_RECORD).agg(top.alias("top"), F.max(F.when(F.col("held"), F.struct("at", "gone", "num", "record_key"))).alias("was"))
-        merged = written(merged, "merged")
-        self._write("records", merged.select(*_RECORD, "top.record_key", "top.num", "top.at", "top.gone", "bucket"), mine)
-        moved = merged.where(~F.col("top").eqNullSafe(F.col("was")))
-        added = moved.where(~F.col("top.gone")).select(*_RECORD, "top.record_key", "top.num", "top.at").withColumn("bucket", self._bucket("num", "record"))
+        told = merged.select(*_RECORD, "top.record_key", "top.num", "top.at", "top.gone", "was", (~F.col("top").eqNullSafe(F.col("was"))).alias("moved"), "bucket")
+        self._write("records", told, mine)
+        moved = self._read("records", RECORDS + ", was struct<at timestamp_ntz, gone boolean, num string, record_key string>, moved boolean", mine).where("moved")
+        added = moved.where("not gone").select(*_RECORD, "record_key", "num", "at").withColumn("bucket", self._bucket("num", "record"))
         left = moved.where("was is not null and not was.gone").select(*_RECORD, "was.num").withColumn("bucket", self._bucket("num", "record"))
         # the index, then the references of all buckets that a reference entered or left, or a parent changed
         theirs = self._touched(came)
@@ -182,22 +182,18 @@ class OrphanLedger:
         return self.open().groupBy("child_table", "child_column", "kind", "year_month").agg(F.count("*").alias("n_orphans"))
 
 
-def half_year(at: Column) -> Column:
-    """The half year of a time, as a number that grows with time; that of no time is 0."""
-    return F.coalesce(2 * F.year(at) + F.floor((F.month(at) - 1) / 6), F.lit(0)).cast("int")
-
-
 def orphan_ledger(papers: DataFrame, matches: DataFrame, projects: DataFrame, snapshots: bool = False) -> tuple[OrphanLedger, DataFrame | None]:
-    """A ledger fed with the rows of the three tables half year by half year, as they arrived, updates of records included.
+    """A ledger fed with the rows of the three tables year by year, as they arrived, updates of records included.
 
-    Also, if asked for, the snapshots: orphans open after each half year, by table, column and kind. As many batches as there
-    are half years."""
+    Also, if asked for, the snapshots: orphans open after each year, by table, column and kind. As many batches as there are
+    years; a row without a time comes before all."""
     match_key, record = [F.col("citing_paper_id"), F.col("ref_id")], ["citing_paper_id", "ref_id"]
     rows = matches.select("citing_paper_id", "ref_id", "target_paper_id", "updated_at")
-    # of a record's rows of one half year the latest holds before it becomes references, one for each column
-    own = rows.withColumn("period", half_year(F.col("updated_at")))
+    year = lambda at: F.coalesce(F.year(at), F.lit(0))
+    # of a record's rows of one year the latest holds before it becomes references, one for each column
+    own = rows.withColumn("period", year(F.col("updated_at")))
     held = own.groupBy("period", *record).agg(F.max(F.struct("updated_at", "target_paper_id")).alias("top")).select("period", *record, "top.*")
-    mine = projects.select("paper_id", "project_slug", "assigned_at").withColumn("period", half_year(F.col("assigned_at")))
+    mine = projects.select("paper_id", "project_slug", "assigned_at").withColumn("period", year(F.col("assigned_at")))
     mine = mine.groupBy("period", "paper_id", "project_slug").agg(F.max("assigned_at").alias("assigned_at"))
     parts = [
         (held, "reference_matches_v4", "citing_paper_id", record, match_key, "updated_at"),
@@ -208,14 +204,13 @@ def orphan_ledger(papers: DataFrame, matches: DataFrame, projects: DataFrame, sn
     for df, *how in parts:
         one = reference_rows(df, *how)
         refs = one if refs is None else refs.unionByName(one)
-    refs = written(refs.withColumn("period", half_year(F.col("at"))), "references")
-    parents = written(parent_rows(papers).withColumn("period", half_year(F.col("last"))), "parents")
-    periods = sorted({r[0] for df in (refs, parents) for r in df.select("period").distinct().collect()})  # one for each half year
+    refs = written(refs.withColumn("period", year(F.col("at"))), "references")
+    parents = written(parent_rows(papers).withColumn("period", year(F.col("last"))), "parents")
+    periods = sorted({r[0] for df in (refs, parents) for r in df.select("period").distinct().collect()})  # one for each year
     ledger, taken = OrphanLedger(papers.sparkSession), None
     for period in periods:
         ledger.apply(parents.where(F.col("period") == period).drop("period"), refs.where(F.col("period") == period).drop("period"))
         if snapshots:
-            name = f"{period // 2}-{1 + period % 2}" if period else ""
-            now = ledger.open().groupBy("child_table", "child_column", "kind").agg(F.count("*").alias("n_open")).select(F.lit(name).alias("half_year"), "child_table", "child_column", "kind", "n_open")
+            now = ledger.open().groupBy("child_table", "child_column", "kind").agg(F.count("*").alias("n_open")).select(F.lit(period).alias("year"), "child_table", "child_column", "kind", "n_open")
             taken = now if taken is None else taken.unionByName(now)
     return ledger, taken

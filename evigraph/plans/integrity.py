@@ -21,7 +21,7 @@ def p4_snapshot(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_history(spark: SparkSession, d: str) -> DataFrame:
-    """Orphans open after each half year, as the ledger stood then."""
+    """Orphans open after each year, as the ledger stood then."""
     return _ledger(spark, d, True)[1]
 
 
@@ -45,15 +45,14 @@ judged AS (
 opened AS (SELECT child_table, child_column, record_key, kind, strftime(tm, '%Y-%m') AS year_month FROM judged WHERE kind IS NOT NULL)
 """
 
-_HALF = "(2 * year({t}) + (month({t}) - 1) // 6)"
 _HISTORY = f"""
-WITH pr AS (SELECT *, {_number("paper_id")} AS num, coalesce({_HALF.format(t="last_seen_at")}, 0) AS h FROM papers),
-mr AS (SELECT *, coalesce({_HALF.format(t="updated_at")}, 0) AS h FROM reference_matches_v4),
-jr AS (SELECT *, coalesce({_HALF.format(t="assigned_at")}, 0) AS h FROM paper_projects),
-halves AS (SELECT h AS now FROM pr WHERE num IS NOT NULL UNION SELECT h FROM mr UNION SELECT h FROM jr),
-parent AS (SELECT now, num, arg_max(active, (last_seen_at, active)) AS active, min(first_seen_at) AS seen FROM halves JOIN pr ON h <= now WHERE num IS NOT NULL GROUP BY ALL),
-m AS (SELECT * FROM halves JOIN mr ON h <= now QUALIFY row_number() OVER (PARTITION BY now, citing_paper_id, ref_id ORDER BY updated_at DESC, target_paper_id DESC NULLS LAST) = 1),
-p AS (SELECT now, paper_id, project_slug, max(assigned_at) AS assigned_at FROM halves JOIN jr ON h <= now GROUP BY ALL),
+WITH pr AS (SELECT *, {_number("paper_id")} AS num, coalesce(year(last_seen_at), 0) AS h FROM papers),
+mr AS (SELECT *, coalesce(year(updated_at), 0) AS h FROM reference_matches_v4),
+jr AS (SELECT *, coalesce(year(assigned_at), 0) AS h FROM paper_projects),
+years AS (SELECT h AS now FROM pr WHERE num IS NOT NULL UNION SELECT h FROM mr UNION SELECT h FROM jr),
+parent AS (SELECT now, num, arg_max(active, (last_seen_at, active)) AS active, min(first_seen_at) AS seen FROM years JOIN pr ON h <= now WHERE num IS NOT NULL GROUP BY ALL),
+m AS (SELECT * FROM years JOIN mr ON h <= now QUALIFY row_number() OVER (PARTITION BY now, citing_paper_id, ref_id ORDER BY updated_at DESC, target_paper_id DESC NULLS LAST) = 1),
+p AS (SELECT now, paper_id, project_slug, max(assigned_at) AS assigned_at FROM years JOIN jr ON h <= now GROUP BY ALL),
 refs AS (
   SELECT now, 'reference_matches_v4' AS child_table, 'citing_paper_id' AS child_column, citing_paper_id AS id, updated_at AS tm FROM m
   UNION ALL SELECT now, 'reference_matches_v4', 'target_paper_id', target_paper_id, updated_at FROM m
@@ -61,7 +60,7 @@ refs AS (
 judged AS (
   SELECT r.*, CASE WHEN q.num IS NULL THEN 'missing' WHEN q.active = 0 THEN 'inactive' WHEN q.seen > r.tm THEN 'late' END AS kind
   FROM (SELECT *, {_number("id")} AS num FROM refs WHERE id IS NOT NULL) r LEFT JOIN parent q ON r.num = q.num AND r.now = q.now)
-SELECT CASE WHEN now = 0 THEN '' ELSE concat(now // 2, '-', 1 + now % 2) END AS half_year, child_table, child_column, kind, count(*) AS n_open FROM judged WHERE kind IS NOT NULL GROUP BY ALL
+SELECT now::INT AS year, child_table, child_column, kind, count(*) AS n_open FROM judged WHERE kind IS NOT NULL GROUP BY ALL
 """
 
 QUERIES = {"p4_found": p4_found, "p4_snapshot": p4_snapshot, "p4_history": p4_history}
