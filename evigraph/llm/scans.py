@@ -1,15 +1,18 @@
 r"""Repair of text from scanned pages (problem 3).
 
-A record is read line by line. Page furniture (running heads, page numbers, marks of the scan) is set aside; the words of
-each remaining line are decoded by the cheapest reading: each step takes a piece as it stands, as a misreading of a known
-word (each confusion at a cost), or two pieces as one torn word that the dictionary has. Two pieces across a line end joined
-by a hyphen, and words run together (``p3_text``), are decided outside the decoding. Words torn and misread, torn in three, or torn
-at a line end without a hyphen are not found. Costs are negative log frequencies of the words in the corpus. Paragraph boundaries
-are then chosen by dynamic programming over the lines.
+Page furniture (running heads, page numbers, marks of the scan) is set aside; the pieces of all other lines of a record are
+read as one stream, line ends gone, by the cheapest path through a lattice: a step takes a piece as it stands, as a
+misreading of a known word, as two words run together, two or three pieces as one torn word, whole or misread, or the two
+sides of a line end as one word, with or without its hyphen. A step's cost is fixed by its kind; among the words that a step
+may mean the one of greatest log frequency in the corpus, less its confusions, is taken. Stretches in which every piece is
+a word that leaves no doubt have one path and are not worked. Paragraph boundaries are then chosen by dynamic programming
+over the lines.
 
 What a piece may stand for is looked up by joins, not by shipping the vocabulary: texts are worked in batches of bounded
 size, a batch asks for the words whose skeleton (confusable signs made equal) equals that of its own pieces and joins, and
-gets only those. Word counts cover the whole corpus; words of clean prose count as certain.
+gets only those. Word counts cover the whole corpus; words of clean prose count as certain. The words that make up a
+``SHARE`` of the prose or more, which are one in ``SHARE`` at most, are known to all workers; nothing else that is decided
+depends on the rest of a batch, so the batches may be cut in any way.
 
 Defined cases: null texts have no rows, blank ones no lines; a text of any length is one record of its batch; lines are
 divided at ``\n`` and counted from 1, blank ones included; words of the record's own authors are never corrected; where
@@ -34,6 +37,8 @@ from ..runtime import written
 
 #: Code points of text a batch holds on average.
 BATCH_POINTS = 1_500_000
+#: A word is common if it is at least one in so many words of clean prose; there can be no more such words than that.
+SHARE = 8_000
 
 # What scanners read (right -> misread).
 CONFUSIONS: tuple[tuple[str, str], ...] = (
@@ -60,8 +65,9 @@ def skeleton(word: str) -> str:
     return s
 
 
-def misread(right: str, seen: str, most: int = 2) -> int | None:
-    """Confusions that turn ``right`` into ``seen``; None if more than ``most`` or impossible."""
+def misread(right: str, seen: str) -> int | None:
+    """Confusions that turn ``right`` into ``seen``; None if it is impossible or more than two and one for each eight letters."""
+    most = 2 + len(right) // 8
     states = {(0, 0): 0}
     best = None
     while states:
@@ -91,7 +97,8 @@ _PAGE_SIGNS = str.maketrans("@", "a")
 _PAGED = re.compile(rf"^(?:p|pp|s|pa[g9][ec]|[s5]eite)\.?\s*{_N}(?:\s+\S{{1,3}}\s+{_N})?$", re.I)
 _TAIL = re.compile(r"(?:\s*·\s*\S{3,4}\.?\s*\S{1,4}|,\s*\S{4}|\s{2,}\S{1,5}|\s+\S{1,4}\s*\(\S{4}\)\s*\S{1,6}\s*[–-]\s*\S{1,6})$")
 _MARKS = tuple(skeleton(m) for m in ("scanned copy", "downloaded f", "digitized by", "digitised by", "copyright ©"))
-_AUTHORS = re.compile(rf"^(?:{_N}\s{{2,}}\S.{{0,60}}? et a[l1]\.?|\S.{{0,60}}? et a[l1]\.?\s{{2,}}{_N})$")
+_AUTHORS = re.compile(rf"^(?:{_N}\s{{2,}}\S.*? et a[l1]\.?|\S.*? et a[l1]\.?\s{{2,}}{_N})$")
+_NUMBER_FIRST = frozenset("0123456789lIOo-–—[")
 _NO_LETTER = re.compile(r"[\W\d_]+")
 _WORKERS = skeleton("co-workers")
 
@@ -99,7 +106,7 @@ _WORKERS = skeleton("co-workers")
 def head_keys(line: str) -> list[str]:
     """The letters of what may be a running title in ``line``, as skeletons."""
     s = line.strip()
-    if not (6 <= len(s) <= 110 and (s[-1] in "0123456789lOIo" and any(c.isdigit() for c in s[-4:]) or " / " in s or s.isupper())):
+    if not (s[-1] in "0123456789lOIo" and any(c.isdigit() for c in s[-4:]) or " / " in s or s.isupper()):
         return []
     parts = [s, _TAIL.sub("", s)]
     if re.match(rf"^{_N}\s{{2,}}", s):
@@ -115,16 +122,15 @@ def title_key(title: str) -> str:
 
 def is_furniture(line: str, heads) -> bool:
     s = line.strip()
-    n = len(s)
-    if n <= 14 and _NUMBER.match(s) or n <= 40 and _PAGED.match(s.lower().translate(_PAGE_SIGNS)):
+    if s[0] in _NUMBER_FIRST and _NUMBER.match(s) or s[0] in "pPsS5" and _PAGED.match(s.lower().translate(_PAGE_SIGNS)):
         return True
-    if n < 80 and (" et a" in s and _AUTHORS.match(s) or s[0] in "SDCsdc5ſ(" and skeleton(s[:14].lower()).startswith(_MARKS) or s.isupper() and skeleton(s[-12:].lower()).endswith(_WORKERS)):
+    if (" et a" in s and _AUTHORS.match(s) or s[0] in "SDCsdc5ſ(" and skeleton(s[:14].lower()).startswith(_MARKS) or s.isupper() and skeleton(s[-12:].lower()).endswith(_WORKERS)):
         return True
     return any(k in heads for k in head_keys(s))
 
 
 class Lines:
-    """The lines of a record: which are furniture, the pieces of the others, and the joins across line ends."""
+    """The lines of a record: which are furniture, the pieces of the others as one stream, and where hyphens end lines."""
 
     def __init__(self, text: str, heads, single_ok: bool):
         self.raw = [x.rstrip("\r") for x in text.split("\n")]
@@ -132,14 +138,17 @@ class Lines:
         skip = set(self.furniture)
         self.text = [i for i, x in enumerate(self.raw) if x.strip() and i not in skip]
         self.pieces = {i: self.raw[i].split() for i in self.text}
-        self.joins: list[tuple[int, int, str, str, str]] = []  # line, next line, first part, second part, hyphen
+        self.at = [(i, k) for i in self.text for k in range(len(self.pieces[i]))]  # line and place of each piece of the stream
+        self.joins: dict[int, tuple[str, str, str]] = {}  # place in the stream -> first part, second part, hyphen
+        end = -1
         for i, j in zip(self.text, self.text[1:], strict=False):
+            end += len(self.pieces[i])
             last = self.pieces[i][-1]
             if len(last) > 1 and last[-1] in _HYPHENS and (last[-2].isalpha() or last[-2] in "@+(1059"):
                 a, b = last[:-1].lower().lstrip(_FRONT), core(self.pieces[j][0])
                 if a and b and b[0].isalpha() | (b[0] in "@+(1059"):
-                    self.joins.append((i, j, a, b, last[-1]))
-        self.used = {(i, len(self.pieces[i]) - 1) for i, *_ in self.joins} | {(j, 0) for _, j, *_ in self.joins}
+                    self.joins[end] = (a, b, last[-1])
+        self.stream = [p for i in self.text for p in self.pieces[i]]
 
 
 def _wordlike(w: str) -> bool:
@@ -158,7 +167,12 @@ def _whole(piece: str) -> bool:
     return piece.lower() == core(piece)
 
 
-def batch_forms(records: list[tuple[str, bool, frozenset]]) -> tuple[Counter, set[str], set[str]]:
+def _torn_parts(v: str, w: str, first: str, second: str, never, common) -> bool:
+    """Whether two neighbours may be parts of one word: not both of them common."""
+    return second[0].islower() and first[-1].isalpha() and len(v) + len(w) >= 4 and v.isalpha() and not (v in common and w in common) and v not in never and w not in never
+
+
+def batch_forms(records: list[tuple[str, bool, frozenset]], common: frozenset) -> tuple[Counter, set[str], set[str]]:
     """Of (text, is a page, words never corrected): words with counts, other forms asked for, keys of possible heads."""
     pieces: Counter = Counter()
     left_out: Counter = Counter()
@@ -170,14 +184,15 @@ def batch_forms(records: list[tuple[str, bool, frozenset]]) -> tuple[Counter, se
         read.append((r, never))
         for i in r.text:
             heads.update(head_keys(r.raw[i]))
-            pieces.update(r.pieces[i])
-        left_out.update(r.pieces[i][k] for i, k in r.used)
-        for _, _, a, b, _ in r.joins:
+        pieces.update(r.stream)
+        left_out.update(r.stream[k + d] for k in r.joins for d in (0, 1))
+        for a, b, _ in r.joins.values():
             asked |= {a + b, f"{a}-{b}", a, b, "-" + b}
     bare = {p: core(p) for p in pieces}
     for r, never in read:
         if never:
-            left_out.update(p for i in r.text for k, p in enumerate(r.pieces[i]) if bare[p] in never and (i, k) not in r.used)
+            used = {k + d for k in r.joins for d in (0, 1)}
+            left_out.update(p for k, p in enumerate(r.stream) if bare[p] in never and k not in used)
     words: Counter = Counter()
     for piece, n in pieces.items():
         w = bare[piece]
@@ -185,18 +200,19 @@ def batch_forms(records: list[tuple[str, bool, frozenset]]) -> tuple[Counter, se
             words[w] += n - left_out[piece]
             if piece[0] == "(":
                 asked.add("(" + w)
-    common = max(3, sum(words.values()) // 8000)
-    rare = {p for p, w in bare.items() if words.get(w, 0) < common}
+    rare = {p for p, w in bare.items() if w not in common}
     for r, never in read:
-        for i in r.text:
-            line = r.pieces[i]
-            if rare.isdisjoint(line):
-                continue
-            for a, b in zip(line, line[1:], strict=False):
-                if (a in rare or b in rare) and b[0].islower() and a[-1].isalpha():
-                    v, w = bare[a], bare[b]
-                    if len(v) + len(w) >= 4 and v.isalpha() and v not in never and w not in never:
-                        asked.add(v + w)
+        before = ""
+        for a, b in zip(r.stream, r.stream[1:], strict=False):
+            if a in rare or b in rare:
+                v, w = bare[a], bare[b]
+                if _torn_parts(v, w, a, b, never, common):
+                    asked.add(v + w)
+                    if before and a in rare and b in rare and len(v) < 5:  # a middle part is short
+                        asked.add(before + v + w)
+                before = v if a in rare and v.isalpha() and v not in never and len(v) < 8 else ""
+            else:
+                before = ""
     for w in [*words, *asked]:
         if "-" in w:
             asked.update(_compound(w))
@@ -204,11 +220,10 @@ def batch_forms(records: list[tuple[str, bool, frozenset]]) -> tuple[Counter, se
 
 
 class Reader:
-    """Decodes records with the dictionary of their batch: word -> (count in clean prose, count in scans)."""
+    """Decodes records with the dictionary of their batch: word -> (count in clean prose, count in scans), and the common words."""
 
-    def __init__(self, entries: dict[str, tuple[int, int]], heads: set[str], by: dict[str, list[str]]):
-        self.n, self.heads = entries, heads
-        self.sure = 20  # clean uses from which a word beside another such word is never taken for a torn part
+    def __init__(self, entries: dict[str, tuple[int, int]], heads: set[str], by: dict[str, list[str]], common: frozenset = frozenset()):
+        self.n, self.heads, self.common = entries, heads, common
         self.by = by  # skeleton -> words
         self.memo: dict[str, str | None] = {}
         self.firm: dict[str, int] = {}
@@ -218,7 +233,7 @@ class Reader:
         w = core(piece)
         clean = self.n.get(w, (0, 0))[0]
         sort = (1 if clean else 2) if w.isalpha() else 0 if not any(map(str.isalpha, w)) or re.fullmatch(r"[a-z]\d+", w) else 1 if clean else 2
-        if sort == 1 and clean < self.sure and len(w) < 6:  # a short word may be half of a torn one
+        if sort == 1 and w not in self.common and len(w) < 6:  # a short word may be half of a torn one
             sort = 2
         self.firm[piece] = sort
         return sort
@@ -268,16 +283,16 @@ class Reader:
             return False
         na, nb = self.n.get(a, (0, 0)), self.n.get(b, (0, 0))
         if na[0] and nb[0]:
-            return min(na[0], nb[0]) < self.sure and clean >= 20 and 50 * min(na[0], nb[0]) < clean
+            return 50 * min(na[0], nb[0]) < clean
         if not clean and (na[1] >= scans and nb[1] >= scans):
             return False
         return True
 
     def run_together(self, w: str) -> tuple[str, str] | None:
-        """The two frequent words, both in the dictionary of the batch, that an unknown word is made of."""
+        """The two common words that an unknown word is made of."""
         if len(w) < 6 or not w.isalpha() or self.n.get(w, (0, 0))[1] > 2 or self.known(w):
             return None
-        found = [(min(self.n[a][0], self.n[b][0]), a, b) for k in range(2, len(w) - 1) if (a := w[:k]) in self.n and (b := w[k:]) in self.n and min(self.n[a][0], self.n[b][0]) >= self.sure]
+        found = [(min(k, len(w) - k), w[:k], w[k:]) for k in range(2, len(w) - 1) if w[:k] in self.common and w[k:] in self.common]
         return max(found)[1:] if found else None
 
     def joined(self, a: str, b: str, hyphen: str) -> str:
@@ -302,25 +317,28 @@ def findings(text: str, page: bool, never: frozenset, reader: Reader) -> list[tu
     """(line number, kind, word) of a record."""
     r = Lines(text, reader.heads, page)
     out = [(i + 1, "furniture", "") for i in r.furniture]
-    out += [(i + 1, "hyphen", reader.joined(a, b, h)) for i, _, a, b, h in r.joins]
-    for i in r.text:
-        for _, w in _line_words(r, i, never, reader):
-            out.append((i + 1, "ocr", w))
+    for places, words in decode(r, never, reader):
+        if len(words) == 1:
+            first, last = r.at[places[0]][0], r.at[places[-1]][0]
+            out.append((first + 1, "ocr" if first == last else "hyphen", words[0]))
     return out
 
 
-#: Costs of the steps over a stretch of pieces that are not all sure words.
-_SURE, _STRANGE, _FIXED, _JOINED = 0.0, 2.0, 1.0, -0.5
+#: Costs of the steps: a known word, a strange piece, a misreading, a torn word, one in three parts, a torn and misread word, words
+#: run together, a word over a hyphen at a line end.
+_SURE, _STRANGE, _FIXED, _JOINED, _THREE, _BOTH, _APART, _HYPHEN = 0.0, 2.0, 1.0, -0.5, -0.4, 1.5, 1.2, -9.0
 
 
-def _line_words(r: Lines, i: int, never: frozenset, reader: Reader) -> list[tuple[tuple[int, ...], str]]:
-    """((positions of the pieces), right word) of each misread or torn word of line ``i``: the cheapest path over each
-    stretch of pieces that holds a piece which is no sure word."""
-    pieces, firm, used = r.pieces[i], reader.firm, r.used
+def decode(r: Lines, never: frozenset, reader: Reader) -> list[tuple[range, tuple[str, ...]]]:
+    """(places in the stream, right words) of what is not read as it stands, in order: the cheapest path over each stretch that
+    holds a piece which is no sure word."""
+    pieces, firm, joins = r.stream, reader.firm, r.joins
     n = len(pieces)
     sorts = list(map(firm.get, pieces))
     if None in sorts:
         sorts = [reader.look_at(p) if s is None else s for p, s in zip(pieces, sorts, strict=True)]
+    for k in joins:
+        sorts[k] = sorts[k + 1] = 2
     if 2 not in sorts:
         return []
     out, k = [], 0
@@ -331,35 +349,48 @@ def _line_words(r: Lines, i: int, never: frozenset, reader: Reader) -> list[tupl
         stop = k + 1
         while stop < n and (sorts[stop] == 2 or sorts[stop] == 1 and sorts[stop - 1] == 2):
             stop += 1
-        out += _cheapest(pieces, k, stop, i, used, never, reader)
+        out += _cheapest(r, k, stop, never, reader)
         k = stop
     return out
 
 
-def _cheapest(pieces: list[str], lo: int, hi: int, i: int, used: set, never: frozenset, reader: Reader) -> list[tuple[tuple[int, ...], str]]:
+def _cheapest(r: Lines, lo: int, hi: int, never: frozenset, reader: Reader) -> list[tuple[range, tuple[str, ...]]]:
+    pieces, joins, common, n = r.stream, r.joins, reader.common, reader.n
     cores = [core(p) for p in pieces[lo:hi]]
-    free = [(i, lo + k) not in used and w not in never for k, w in enumerate(cores)]
-    best: list[tuple[float, int, str | None]] = [(0.0, 0, None)]  # cost up to here, pieces of the last step, its right word
+    taken = [lo + k in joins or lo + k - 1 in joins for k in range(hi - lo)]
+    best: list[tuple[float, int, tuple[str, ...]]] = [(0.0, 0, ())]  # cost up to here, pieces of the last step, its right words
     for k, w in enumerate(cores):
-        cost, right = _SURE, None
-        if free[k] and _wordlike(w) and not reader.known(w):
-            right = reader.right(w)
-            piece = pieces[lo + k]
-            if right is None and piece[0] == "(" and reader.candidate("(" + w) == "c" + w:
-                right = "c" + w
-            cost = _FIXED if right else _STRANGE
+        piece, at = pieces[lo + k], lo + k
+        cost, right = _SURE, ()
+        free = not taken[k] and w not in never
+        if free and _wordlike(w) and not reader.known(w):
+            one = reader.right(w)
+            if one is None and piece[0] == "(" and reader.candidate("(" + w) == "c" + w:
+                one = "c" + w
+            cost, right = (_FIXED, (one,)) if one else (_STRANGE, ())
+            if not one and (apart := reader.run_together(w)) and 0 < r.at[at][1] and at + 1 < len(pieces) and r.at[at + 1][0] == r.at[at][0]:  # ends of lines may be halves
+                cost, right = _APART, apart
         step = (best[k][0] + cost, 1, right)
-        if k and free[k] and free[k - 1]:
-            v, first, second = cores[k - 1], pieces[lo + k - 1], pieces[lo + k]
-            if v and first[-1].isalpha() and second[0].islower() and len(v) + len(w) >= 4 and v.isalpha() and reader.torn(v, w):
-                joined = (best[k - 1][0] + _JOINED, 2, v + w)
-                step = min(step, joined, key=lambda x: x[0])
+        if k and at - 1 in joins:
+            step = min(step, (best[k - 1][0] + _HYPHEN, 2, (reader.joined(*joins[at - 1]),)), key=lambda x: x[0])
+        elif k and free and not taken[k - 1]:
+            v, first = cores[k - 1], pieces[at - 1]
+            if v and _torn_parts(v, w, first, piece, never, common):
+                over = r.at[at - 1][0] != r.at[at][0]
+                bare = not reader.known(v) and not reader.known(w)
+                if reader.torn(v, w) and (not over or bare and reader.known(v + w)):
+                    step = min(step, (best[k - 1][0] + _JOINED, 2, (v + w,)), key=lambda x: x[0])
+                elif bare and not over and v + w not in n and (both := reader.candidate(v + w)) and reader.known(both):
+                    step = min(step, (best[k - 1][0] + _BOTH, 2, (both,)), key=lambda x: x[0])
+                u = cores[k - 2] if k > 1 and not taken[k - 2] else ""
+                if u and bare and not over and r.at[at - 2][0] == r.at[at][0] and len(v) < 5 and len(u) < 8 and u not in common and not reader.known(u) and u.isalpha() and u not in never and reader.known(u + v + w):
+                    step = min(step, (best[k - 2][0] + _THREE, 3, (u + v + w,)), key=lambda x: x[0])
         best.append(step)
     out, k = [], len(cores)
     while k:
         _, size, right = best[k]
         if right:
-            out.append((tuple(range(lo + k - size, lo + k)), right))
+            out.append((range(lo + k - size, lo + k), right))
         k -= size
     return out[::-1]
 
@@ -376,24 +407,27 @@ def restored(text: str, page: bool, never: frozenset, reader: Reader) -> list[st
     r = Lines(text, reader.heads, page)
     if not r.text:
         return []
-    fixed: dict[int, list[str]] = {}
-    for i in r.text:
-        pieces = list(r.pieces[i])
-        for at, w in reversed(_line_words(r, i, never, reader)):
-            pieces[at[0] : at[-1] + 1] = [_recase(w, pieces[at[0]] if len(at) == 1 else pieces[at[0]] + pieces[at[-1]])]
-        apart = [k for k, p in enumerate(pieces) if core(p) not in never and reader.run_together(core(p))]
-        for k in reversed(apart):
-            if k and k + 1 < len(pieces):  # the ends of a line may be halves of words
-                a, b = reader.run_together(core(pieces[k]))
-                lead = len(pieces[k]) - len(pieces[k].lstrip(_FRONT))
-                pieces[k : k + 1] = [pieces[k][: lead + len(a)], pieces[k][lead + len(a) :]]
-        fixed[i] = pieces
-    for i, j, a, b, h in reversed(r.joins):
-        first, second = fixed[i][-1], fixed[j][0]
-        fixed[i][-1] = _recase(reader.joined(a, b, h), first[:-1] + second)
-        fixed[j] = fixed[j][1:]
+    fixed: dict[int, list[str]] = {i: [] for i in r.text}
+    steps = {places[0]: (places, words) for places, words in decode(r, never, reader)}
+    k, over = 0, set()
+    while k < len(r.stream):
+        places, words = steps.get(k, (range(k, k + 1), ()))
+        i = r.at[k][0]
+        pieces = [r.stream[p] for p in places]
+        if len(words) == 2:
+            lead = len(pieces[0]) - len(pieces[0].lstrip(_FRONT))
+            cut_at = lead + len(words[0])
+            fixed[i] += [pieces[0][:cut_at], pieces[0][cut_at:]]
+        elif words:
+            whole = "".join(p[:-1] if q in r.joins else p for q, p in zip(places, pieces, strict=True))
+            fixed[i].append(_recase(words[0], whole))
+            if r.at[places[-1]][0] != i:
+                over.add(i)
+        else:
+            fixed[i] += pieces
+        k += len(places)
     # paragraph boundaries: the cheapest labelling of the gaps between lines; states are paragraphs of one line and longer ones
-    joined = {i for i, *_ in r.joins}
+    joined = over
     width = sorted(len(r.raw[i]) for i in r.text)[len(r.text) * 3 // 4]
 
     def title(i: int) -> bool:
@@ -475,16 +509,19 @@ def _records(pdf: pd.DataFrame) -> list[tuple[str, bool, frozenset]]:
     return [(t, o == "paper_json", frozenset(map(core, v.split())) if v else frozenset()) for t, o, v in zip(pdf["text"], pdf["origin"], pdf["never"], strict=True)]
 
 
-def _ask(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = _once(pdf)
-    with _uncollected():
-        words, asked, heads = batch_forms(_records(pdf))
-        keys = {skeleton(w) for w in words} | {skeleton(w) for w in asked} | {HEAD + h for h in heads}
-    a, b = len(words), len(keys)
-    return pd.DataFrame({"batch": pdf["batch"].iloc[0], "key": [None] * a + list(keys), "word": [*words, *[None] * b], "n": [*words.values(), *[0] * b]})
+def _ask(common: frozenset):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = _once(pdf)
+        with _uncollected():
+            words, asked, heads = batch_forms(_records(pdf), common)
+            keys = {skeleton(w) for w in words} | {skeleton(w) for w in asked} | {HEAD + h for h in heads}
+        a, b = len(words), len(keys)
+        return pd.DataFrame({"batch": pdf["batch"].iloc[0], "key": [None] * a + list(keys), "word": [*words, *[None] * b], "n": [*words.values(), *[0] * b]})
+
+    return run
 
 
-def _decode(found: bool):
+def _decode(found: bool, common: frozenset):
     def run(records: pd.DataFrame, dictionary: pd.DataFrame) -> pd.DataFrame:
         with _uncollected():
             records = _once(records)
@@ -495,7 +532,7 @@ def _decode(found: bool):
                 else:
                     entries[word] = (clean, scans)
                     by.setdefault(key, []).append(word)
-            reader = Reader(entries, heads, by)
+            reader = Reader(entries, heads, by, common)
             rows = []
             for (text, page, never), origin, no in zip(_records(records), records["origin"], records["record_no"], strict=True):
                 if found:
@@ -510,17 +547,20 @@ def _decode(found: bool):
 def repair(records: DataFrame, prose: DataFrame, titles: DataFrame, found: bool = True) -> DataFrame:
     """Findings (origin, record_no, line_no, kind, word) or, with ``found`` false, paragraphs (origin, record_no,
     paragraph_no, text). ``prose`` has clean ``text``, ``titles`` the running titles as ``title``. Runs one job that sums lengths
-    and one that writes the forms asked for."""
+    one that counts the words of the prose and one that writes the forms asked for; what is collected are the common words."""
     total = records.agg(F.sum(F.length("text"))).first()[0] or 0
     batches = int(total // BATCH_POINTS) + 1
     batched = records.withColumn("batch", F.pmod(F.xxhash64("origin", "record_no"), F.lit(batches)).cast("int"))
-    forms = written(batched.groupBy("batch").applyInPandas(_ask, "batch int, key string, word string, n bigint"), "forms")
+    clean = written(_clean_counts(prose), "clean")
+    uses = clean.agg(F.sum("clean")).first()[0] or 0
+    common = frozenset(r[0] for r in clean.where(F.col("clean") * SHARE >= uses).where("length(word) > 1 and not startswith(word, '-')").limit(2 * SHARE).collect())  # each form of a word counts: 2 SHARE at most
+    forms = written(batched.groupBy("batch").applyInPandas(_ask(common), "batch int, key string, word string, n bigint"), "forms")
     scans = forms.where("word is not null").groupBy("word").agg(F.sum("n").alias("scans"))
-    counts = _clean_counts(prose).select("word", "clean", F.lit(0).cast("bigint").alias("scans")).unionByName(scans.select("word", F.lit(0).cast("bigint").alias("clean"), "scans"))
+    counts = clean.select("word", "clean", F.lit(0).cast("bigint").alias("scans")).unionByName(scans.select("word", F.lit(0).cast("bigint").alias("clean"), "scans"))
     lexicon = counts.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("scans").alias("scans")).where("clean > 0 or scans > 1")
     lexicon = lexicon.mapInPandas(_keyed, "word string, clean bigint, scans bigint, key string")
     heads = titles.where("title is not null").select("title").distinct().mapInPandas(_title_keys, "key string").distinct().select(F.lit("").alias("word"), F.lit(0).cast("bigint").alias("clean"), F.lit(0).cast("bigint").alias("scans"), "key")
     asked = forms.where("key is not null").select("batch", "key")
     dictionary = asked.join(lexicon.unionByName(heads), "key").select("batch", "key", "word", "clean", "scans")
     schema = "origin string, record_no bigint, line_no int, kind string, word string" if found else "origin string, record_no bigint, paragraph_no int, text string"
-    return batched.groupBy("batch").cogroup(dictionary.groupBy("batch")).applyInPandas(_decode(found), schema)
+    return batched.groupBy("batch").cogroup(dictionary.groupBy("batch")).applyInPandas(_decode(found, common), schema)

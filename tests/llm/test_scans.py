@@ -1,3 +1,5 @@
+import random
+
 from evigraph.llm import scans as s
 
 PROSE = "The storage modulus of the gel reached a maximum after annealing and the cross-linked network was examined by static light scattering in dilute brine. " * 30 + "The zero-shear viscosity of brotadexene remained unchanged without stirring. " * 25
@@ -49,3 +51,38 @@ def test_words_run_together_are_parted_in_the_text_only(spark):
     got = [r["text"] for r in _run(spark, found=False, page=page).where("origin = 'paper_json'").collect()]
     assert "the modulus of the gel" in " ".join(got) and "modulusofx" in " ".join(got)
     assert _run(spark, page=page).where("origin = 'paper_json'").count() == 0
+
+
+def test_words_torn_in_three_and_torn_and_misread(spark):
+    page = "The gel reached a max imu m after annealing in brine.\nThe ne tw0rk remained un\nchanged without stirring."
+    got = {(r["line_no"], r["kind"], r["word"]) for r in _run(spark, page=page).where("origin = 'paper_json'").collect()}
+    assert got == {(1, "ocr", "maximum"), (2, "ocr", "network"), (2, "hyphen", "unchanged")}
+
+
+def test_batches_do_not_matter(spark, monkeypatch):
+    words = "storage modulus gel maximum annealing network static light scattering brine zero-shear viscosity brotadexene remained unchanged stirring examined".split()
+    rng = random.Random(3)
+
+    def page():
+        out = []
+        for _ in range(8):
+            line = []
+            for _ in range(9):
+                w = rng.choice(words)
+                if rng.random() < 0.15:
+                    w = w.replace("m", "rn", 1)
+                elif rng.random() < 0.15:
+                    w = w[:3] + " " + w[3:]
+                line.append(w)
+            out.append(" ".join(line) + rng.choice(["", "", "-"]))
+        return "\n".join(out)
+
+    rows = [(i, "page_text", page()) for i in range(40)] + [(99, "paragraph", PROSE)]
+    blocks = spark.createDataFrame(rows, "block_id long, kind string, text string")
+    refs = spark.createDataFrame([], "reference_no long, authors array<string>, raw_reference string")
+    titles = spark.createDataFrame([("Acta",)], "title string")
+    found = []
+    for points in (10_000_000, 500):
+        monkeypatch.setattr(s, "BATCH_POINTS", points)
+        found.append(sorted(map(tuple, s.repair(s.scan_records(blocks, refs), blocks.where("kind = 'paragraph'"), titles).collect())))
+    assert found[0] == found[1] and len(found[0]) > 300
