@@ -54,13 +54,20 @@ def call_models(calls: DataFrame, phase: str, ok: Column, seconds: Column) -> Da
     return g.select(phase, "sample_count", each.alias("seconds_per_chunk"), sigma.alias("sigma_per_chunk"), retry.alias("retry_factor"))
 
 
-def remaining(backlog: DataFrame, models: DataFrame, phase: str, step: int, steps: dict[int, float] | None = None, provider_errors: bool = False) -> DataFrame:
-    """(estimate_seconds, uncertainty_seconds, low_seconds, high_seconds) for pending chunks (phase, chunks) and the steps from
-    ``step`` on."""
+def remaining(backlog: DataFrame, models: DataFrame, phase: str, step: int, steps: dict[int, float] | None = None, provider_errors: bool = False, typical: dict[str, float] | None = None) -> DataFrame:
+    """(estimate_seconds, uncertainty_seconds, low_seconds, high_seconds) for pending work (phase, chunks, papers) and the steps
+    from ``step`` on. A phase without a call model or without chunks counts its papers at their ``typical`` seconds, with a
+    spread of 35 percent of each."""
     fixed = sum(v for k, v in (STEP_SECONDS | (steps or {})).items() if k >= step and k in STEP_SECONDS)
     spread = sum((v * 0.30) ** 2 for k, v in (STEP_SECONDS | (steps or {})).items() if k >= step and k in STEP_SECONDS)
     j = backlog.join(models, phase, "left")
-    s = j.agg(F.coalesce(F.sum(F.col("chunks") * F.col("seconds_per_chunk")), F.lit(0.0)).alias("chunks"), F.coalesce(F.sum(F.col("chunks") * F.col("sigma_per_chunk") * F.col("sigma_per_chunk")), F.lit(0.0)).alias("var"))
+    usual = F.create_map(*[x for k, v in (PHASE_SECONDS | (typical or {})).items() for x in (F.lit(k), F.lit(float(v)))])
+    each = F.coalesce(F.element_at(usual, F.col(phase)), F.lit(0.0))
+    papers = F.col("papers") if "papers" in backlog.columns else F.lit(0)
+    modelled = F.col("seconds_per_chunk").isNotNull() & (F.col("chunks") > 0)
+    seconds = F.when(modelled, F.col("chunks") * F.col("seconds_per_chunk")).otherwise(papers * each)
+    var = F.when(modelled, F.col("chunks") * F.col("sigma_per_chunk") * F.col("sigma_per_chunk")).otherwise(papers * (each * 0.35) * (each * 0.35))
+    s = j.agg(F.coalesce(F.sum(seconds), F.lit(0.0)).alias("chunks"), F.coalesce(F.sum(var), F.lit(0.0)).alias("var"))
     total = F.col("chunks") + F.lit(fixed + 60.0)
     doubt = F.greatest(F.lit(120.0), F.sqrt(F.col("var") + F.lit(spread + 900.0)), total * (0.30 if provider_errors else 0.10))
     low = F.greatest(F.lit(30.0), total - doubt)

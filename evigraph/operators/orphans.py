@@ -82,7 +82,7 @@ class OrphanLedger:
         self.path = self.path or f"{own_folder(self.spark)}/ledger-{uuid.uuid4().hex}"
         names = self._names("commits")
         if names:
-            text = "".join(r[0] for r in self.spark.read.option("wholetext", True).text(f"{self.path}/commits/{max(names)}").collect())
+            text = "".join(r[0] for r in self.spark.read.text(f"{self.path}/commits/{max(names)}", wholetext=True).collect())
             last = json.loads(text)
             self.version, self.buckets, self.applied = last["version"], last["buckets"], last["applied"]
             self.folders = {t: {int(b): v for b, v in f.items()} for t, f in last["folders"].items()}

@@ -139,36 +139,49 @@ def sparse_cosine_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "src").join(right, "dst").select("src", "dst", dot.alias("weight")).where(F.col("weight") >= threshold)
 
 
-def dense_topk(vectors: DataFrame, node: str, vector: str, k: int, threshold: float, block_rows: int = 4096) -> DataFrame:
-    """(src, dst, weight), src < dst: symmetric top k of the cosines of unit vectors.
+def dense_search(vectors: DataFrame, queries: DataFrame, node: str, vector: str, k: int, threshold: float, block_rows: int = 4096) -> DataFrame:
+    """(src, dst, weight): for each query (src) the ``k`` nearest other rows (dst) by the cosine of unit vectors, from ``threshold``
+    on; ties by greater id.
 
-    Queries are a stated set against all rows, in blocks: each pair of blocks is one matrix product; of a block pair only
-    the top k of each query leave the worker. Blocks are of bounded size, the number of block pairs is what it costs.
+    Queries are a stated set against all rows, in blocks of bounded size: a pair of blocks is one matrix product, and only the
+    best ``k`` of each query leave the worker. The work grows as queries times rows, so the set should be small beside them.
     """
-    total = vectors.count()
-    blocks = max(1, -(-total // block_rows))
-    rows = vectors.select(F.col(node).alias("id"), F.col(vector).cast("array<float>").alias("v"), F.pmod(F.xxhash64(node), F.lit(blocks)).cast("int").alias("block"))
-    packed = rows.groupBy("block").agg(F.collect_list("id").alias("ids"), F.collect_list("v").alias("vs"))
-    grid = packed.select(F.col("block").alias("qb"), F.col("ids").alias("q_ids"), F.col("vs").alias("q_vs"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     kind = vectors.schema[node].dataType.simpleString()
 
+    def packed(df: DataFrame, names: tuple[str, str]) -> tuple[DataFrame, int]:
+        blocks = max(1, -(-df.count() // block_rows))
+        rows = df.select(F.col(node).alias("id"), F.col(vector).cast("array<float>").alias("v"), F.pmod(F.xxhash64(node), F.lit(blocks)).cast("int").alias("block"))
+        return rows.groupBy("block").agg(F.collect_list(F.struct("id", "v")).alias("r")).select("block", F.transform("r", lambda x: x["id"]).alias(names[0]), F.transform("r", lambda x: x["v"]).alias(names[1])), blocks
+
+    q, _ = packed(queries, ("q_ids", "q_vs"))
+    c, blocks = packed(vectors, ("ids", "vs"))
+    grid = q.drop("block").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                q, c = (np.array([np.asarray(x, np.float32) for x in v]) for v in (r.q_vs, r.vs))
+                x, y = (np.array([np.asarray(v, np.float32) for v in vs]) for vs in (r.q_vs, r.vs))
                 qi, ci = np.asarray(r.q_ids), np.asarray(r.ids)
-                s = (q @ c.T).astype(np.float64)
-                s[qi[:, None] == ci[None, :]] = -2
+                order = np.argsort(ci, kind="stable")[::-1]  # of equal cosines the greater id is first
+                ci, y = ci[order], y[order]
                 out = []
-                for i in range(len(qi)):
-                    ok = np.flatnonzero(s[i] >= threshold)
-                    best = ok[np.lexsort((-ci[ok], -s[i, ok]))][:k] if ci.dtype.kind in "iu" else sorted(ok, key=lambda j: (-s[i, j], tuple(-ord(ch) for ch in str(ci[j]))))[:k]
-                    out += [(qi[i], ci[j], s[i, j]) for j in best]
+                for lo in range(0, len(qi), 512):
+                    s = (x[lo : lo + 512] @ y.T).astype(np.float64)
+                    for i, row in enumerate(s):
+                        ok = np.flatnonzero((row >= threshold) & (ci != qi[lo + i]))
+                        best = ok[np.argsort(-row[ok], kind="stable")][:k]
+                        out += [(qi[lo + i], ci[j], row[j]) for j in best]
                 yield pd.DataFrame(out, columns=["src", "dst", "weight"])
 
-    near = grid.join(packed, "block").select("q_ids", "q_vs", "ids", "vs").mapInPandas(run, f"src {kind}, dst {kind}, weight double")
+    near = grid.join(c, "block").select("q_ids", "q_vs", "ids", "vs").mapInPandas(run, f"src {kind}, dst {kind}, weight double")
     w = W.partitionBy("src").orderBy(F.desc("weight"), F.desc("dst"))
-    kept = near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
+    return near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("src", "dst", "weight")
+
+
+def dense_topk(vectors: DataFrame, node: str, vector: str, k: int, threshold: float, block_rows: int = 4096) -> DataFrame:
+    """(src, dst, weight), src < dst: symmetric top k with all rows as queries: for a layer over a library whose size is known to
+    be small; the work grows as the square of the rows."""
+    kept = dense_search(vectors, vectors, node, vector, k, threshold, block_rows)
     return kept.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.max("weight").alias("weight")).select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import citations, text
-from ..operators import chunks, curation, estimate, linkage, ranking, records, registry, validation
+from ..operators import chunks, curation, estimate, linkage, ranking, records, registry, resolution, validation
 from ..runtime import table
 from .layers import _HELD, _PROPS, _doi, _flat, _held, _items, _key, _title
 
@@ -88,7 +88,7 @@ def q50_validation_status(spark: SparkSession, d: str) -> DataFrame:
 def q51_citation_contexts(spark: SparkSession, d: str) -> DataFrame:
     s = _sentences(spark, d).where("sid is not null")
     contexts = s.where(F.size("citation_ref_ids") > 0).select("paper_id", F.concat_ws(":", "block_id", "sid").alias("item_id"), "sid", F.col("citation_ref_ids").alias("ref_ids")).distinct()
-    one = s.groupBy("paper_id", "sid").agg(F.min("citation_ref_ids").alias("citation_ref_ids"))
+    one = s.groupBy("paper_id", "sid").agg(F.array_distinct(F.flatten(F.collect_list(F.coalesce("citation_ref_ids", F.array().cast("array<string>"))))).alias("citation_ref_ids"))
     return validation.citation_contexts(contexts, one, table(spark, d, "reference").select("paper_id", "ref_id"))
 
 
@@ -150,13 +150,11 @@ def q21_unique_exact(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q22_best_and_margin(spark: SparkSession, d: str) -> DataFrame:
-    """Journals of the references against those of the papers that begin alike, by edit distance."""
-    a = table(spark, d, "reference").select(F.col("journal").alias("name")).where("name is not null and name != ''").distinct()
-    b = _held(spark, d).select(F.col("journal").alias("candidate")).where("candidate is not null and candidate != ''").distinct()
-    met = a.withColumn("k", F.substring("name", 1, 1)).join(b.withColumn("k", F.substring("candidate", 1, 1)), "k")
-    x, y = text.plain_key(F.col("name")), text.plain_key(F.col("candidate"))
-    score = F.round(1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y)), 6)
-    return linkage.best_with_margin(met.select("name", "candidate", score.alias("score")), ["name"], "score", "candidate").select("name", "candidate", "score", F.round("margin", 6).alias("margin"))
+    """Journals of the references against those of the papers of an edit ratio of .6 or more; no such next one counts as 0."""
+    a = table(spark, d, "reference").select(F.col("journal").alias("name"), text.plain_key(F.col("journal")).alias("k")).where("k != ''").distinct()
+    b = _held(spark, d).select(F.col("journal").alias("candidate"), text.plain_key(F.col("journal")).alias("k")).where("k != ''").distinct()
+    met = a.join(resolution.near_titles(a, b, "k", 0.6, q=2), "k").join(b.withColumnRenamed("k", "c_k"), "c_k")
+    return linkage.best_with_margin(met.select("name", "candidate", F.round("ratio", 6).alias("score")), ["name"], "score", "candidate").select("name", "candidate", "score", F.round("margin", 6).alias("margin"))
 
 
 #: A paper of a lower title score neither is accepted nor comes within the margin of one that is: without authors the other
@@ -189,8 +187,11 @@ def q25_call_model(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q26_remaining(spark: SparkSession, d: str) -> DataFrame:
-    backlog = table(spark, d, "lineitem").where("l_linestatus = 'O'").groupBy(F.col("l_returnflag").alias("phase")).agg(F.count_distinct("l_suppkey").alias("chunks"))
-    return estimate.remaining(backlog, _models(spark, d), "phase", 6)
+    line = table(spark, d, "lineitem").where("l_linestatus = 'O'")
+    backlog = line.groupBy(F.col("l_returnflag").alias("phase")).agg(F.count_distinct("l_suppkey").alias("chunks"), F.count_distinct("l_suppkey").alias("papers"))
+    known = _models(spark, d).where("phase != 'A'")
+    waiting = spark.createDataFrame([("memory", 0, 7), ("inventory", 5, 3)], "phase string, chunks bigint, papers bigint")
+    return estimate.remaining(backlog.unionByName(waiting), known, "phase", 6)
 
 
 def q27_history(spark: SparkSession, d: str) -> DataFrame:
@@ -306,10 +307,10 @@ SQL = {
     "q19_project_rollup": f"WITH {_HELD}, {_MEMBERS} SELECT project_slug, count(DISTINCT members.paper_id) AS n_papers, count(DISTINCT members.paper_id) FILTER (active = 1) AS n_active FROM members LEFT JOIN held USING (paper_id) GROUP BY 1",
     "q20_manifest": f"WITH {_HELD} SELECT held.paper_id, source_relpath, CASE WHEN len(string_split(source_relpath, '/')) >= 3 AND string_split(source_relpath, '/')[1] = 'projects' THEN string_split(source_relpath, '/')[2] ELSE 'default' END AS project, coalesce(held.title, '') AS title, coalesce(match_status, '') AS match_status, round(coalesce(confidence, 0), 6) AS confidence, coalesce(nullif(trim(regexp_replace(original_filename, '[^A-Za-z0-9._-]+', '_', 'g'), '._')[1:120], ''), 'download') AS file_name FROM held LEFT JOIN (SELECT DISTINCT paper_id, match_status, confidence FROM paper_metadata_v4) m USING (paper_id)",
     "q21_unique_exact": f"WITH {_HELD}, r AS (SELECT DISTINCT reference_no, title, authors[1] AS author, journal, year, {_doi('doi')} AS doi FROM reference), p AS (SELECT {_doi('doi')} AS doi, min(paper_id) AS paper_id FROM held GROUP BY 1 HAVING count(DISTINCT paper_id) = 1) SELECT reference_no, doi, p.paper_id FROM r JOIN p USING (doi) WHERE doi <> ''",
-    "q22_best_and_margin": f"WITH {_HELD}, a AS (SELECT DISTINCT journal AS name FROM reference WHERE journal <> ''), b AS (SELECT DISTINCT journal AS candidate FROM held WHERE journal <> ''), s AS (SELECT name, candidate, round(1 - levenshtein(x, y) / greatest(length(x), length(y)), 6) AS score FROM (SELECT name, candidate, {_key('name')} AS x, {_key('candidate')} AS y FROM a JOIN b ON name[1] = candidate[1])), r AS (SELECT *, row_number() OVER w AS k, lead(score) OVER w AS next FROM s WINDOW w AS (PARTITION BY name ORDER BY score DESC, candidate)) SELECT name, candidate, score, round(score - coalesce(next, 0), 6) AS margin FROM r WHERE k = 1",
+    "q22_best_and_margin": f"WITH {_HELD}, a AS (SELECT DISTINCT journal AS name, {_key('journal')} AS x FROM reference WHERE {_key('coalesce(journal, $$$$)')} <> ''), b AS (SELECT DISTINCT journal AS candidate, {_key('journal')} AS y FROM held WHERE {_key('coalesce(journal, $$$$)')} <> ''), s AS (SELECT name, candidate, round(1 - levenshtein(x, y) / greatest(length(x), length(y)), 6) AS score FROM a JOIN b ON 1 - levenshtein(x, y) / greatest(length(x), length(y)) >= 0.6), r AS (SELECT *, row_number() OVER w AS k, lead(score) OVER w AS next FROM s WINDOW w AS (PARTITION BY name ORDER BY score DESC, candidate)) SELECT name, candidate, score, round(score - coalesce(next, 0), 6) AS margin FROM r WHERE k = 1",
     "q24_median_seconds": "SELECT event_type, round(median(value), 6) AS median_value, count(*) AS n FROM events GROUP BY 1",
     "q25_call_model": f"WITH {_MODEL} SELECT phase, sample_count, round(seconds_per_chunk, 6) AS seconds_per_chunk, round(sigma_per_chunk, 6) AS sigma_per_chunk, round(retry_factor, 6) AS retry_factor FROM model",
-    "q26_remaining": f"WITH {_MODEL}, b AS (SELECT l_returnflag AS phase, count(DISTINCT l_suppkey) AS chunks FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1), s AS (SELECT coalesce(sum(chunks * seconds_per_chunk), 0) + 210.0 AS total, coalesce(sum(chunks * sigma_per_chunk * sigma_per_chunk), 0) + (18.0 * 18.0 * 2 + 9.0 * 9.0) + 900.0 AS var FROM b LEFT JOIN model USING (phase)), t AS (SELECT total, greatest(120.0, sqrt(var), total * 0.1) AS doubt FROM s) SELECT round(total, 3) AS estimate_seconds, round(doubt, 3) AS uncertainty_seconds, round(greatest(30.0, total - doubt), 3) AS low_seconds, round(greatest(greatest(30.0, total - doubt) + 30, total + doubt), 3) AS high_seconds FROM t",
+    "q26_remaining": f"WITH {_MODEL}, b AS (SELECT l_returnflag AS phase, count(DISTINCT l_suppkey) AS chunks FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1), s AS (SELECT coalesce(sum(chunks * seconds_per_chunk), 0) + 7 * 75.0 + 3 * 105.0 + 210.0 AS total, coalesce(sum(chunks * sigma_per_chunk * sigma_per_chunk), 0) + 7 * 26.25 * 26.25 + 3 * 36.75 * 36.75 + (18.0 * 18.0 * 2 + 9.0 * 9.0) + 900.0 AS var FROM b JOIN (SELECT * FROM model WHERE phase <> 'A') USING (phase)), t AS (SELECT total, greatest(120.0, sqrt(var), total * 0.1) AS doubt FROM s) SELECT round(total, 3) AS estimate_seconds, round(doubt, 3) AS uncertainty_seconds, round(greatest(30.0, total - doubt), 3) AS low_seconds, round(greatest(greatest(30.0, total - doubt) + 30, total + doubt), 3) AS high_seconds FROM t",
     "q27_history": f"WITH {_HELD}, c AS (SELECT year, count(*) AS n FROM held WHERE year IS NOT NULL GROUP BY 1) SELECT year, n, sum(n) OVER (ORDER BY year)::BIGINT AS known FROM c",
     "q36_text_search": f"WITH {_HELD} SELECT paper_id, title, year FROM held WHERE contains(lower(concat_ws(' ', title, journal, doi, paper_id)), 'micelle')",
     "q38_excerpts": f"WITH {_PARA}, r AS (SELECT paper_id, block_id, text, coalesce(sum(length(text)) OVER (PARTITION BY paper_id ORDER BY block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER (PARTITION BY paper_id ORDER BY block_id) AS k FROM para) SELECT paper_id, block_id, length(substring(text, 1, (1800 - before)::BIGINT)) AS n_chars, md5(substring(text, 1, (1800 - before)::BIGINT)) AS digest FROM r WHERE k <= 4 AND before < 1800",
@@ -317,7 +318,7 @@ SQL = {
     "q40_incremental": f"WITH {_PARA} SELECT block_id, paper_id, sha256(text) AS input_hash FROM para WHERE page IS NULL OR page >= 8",
     "q45_membership_move": f"WITH {_HELD}, {_MEMBERS} SELECT DISTINCT m.paper_id, CASE WHEN m.project_slug = 'hydrogel-survey' AND active = 0 THEN 'archive' ELSE m.project_slug END AS project_slug FROM members m LEFT JOIN held USING (paper_id)",
     "q50_validation_status": f"WITH {_SENT}, {_EVID}, {_OBJ}, x AS ({_MISS} UNION ALL {_DUPS}), c AS (SELECT paper_id, count(*) FILTER (severity = 'error') AS n_errors, count(*) FILTER (severity = 'warning') AS n_warnings FROM x GROUP BY 1) SELECT p.paper_id, coalesce(n_errors, 0) AS n_errors, coalesce(n_warnings, 0) AS n_warnings, CASE WHEN coalesce(n_errors, 0) + coalesce(n_warnings, 0) > 0 THEN 'review_required' ELSE 'pass' END AS overall_status FROM (SELECT DISTINCT paper_id FROM inventory) p LEFT JOIN c USING (paper_id)",
-    "q51_citation_contexts": f"WITH {_SENT}, s AS (SELECT paper_id, sid, min(citation_ref_ids) AS own FROM sent WHERE sid IS NOT NULL GROUP BY 1, 2), c AS (SELECT DISTINCT paper_id, concat(block_id, ':', sid) AS item_id, sid, citation_ref_ids AS refs FROM sent WHERE sid IS NOT NULL AND len(citation_ref_ids) > 0), e AS (SELECT c.paper_id, item_id, own, unnest(refs) AS ref_id FROM c JOIN s USING (paper_id, sid)) SELECT paper_id, 'warning' AS severity, 'citation_ref_not_in_reference_list' AS issue, item_id, ref_id AS detail FROM e WHERE NOT EXISTS (SELECT 1 FROM reference r WHERE r.paper_id = e.paper_id AND r.ref_id = e.ref_id) UNION ALL SELECT paper_id, 'error', 'citation_ref_not_present_in_evidence_sentence', item_id, ref_id FROM e WHERE NOT coalesce(list_contains(own, ref_id), false)",
+    "q51_citation_contexts": f"WITH {_SENT}, s AS (SELECT paper_id, sid, flatten(list(coalesce(citation_ref_ids, []))) AS own FROM sent WHERE sid IS NOT NULL GROUP BY 1, 2), c AS (SELECT DISTINCT paper_id, concat(block_id, ':', sid) AS item_id, sid, citation_ref_ids AS refs FROM sent WHERE sid IS NOT NULL AND len(citation_ref_ids) > 0), e AS (SELECT c.paper_id, item_id, own, unnest(refs) AS ref_id FROM c JOIN s USING (paper_id, sid)) SELECT paper_id, 'warning' AS severity, 'citation_ref_not_in_reference_list' AS issue, item_id, ref_id AS detail FROM e WHERE NOT EXISTS (SELECT 1 FROM reference r WHERE r.paper_id = e.paper_id AND r.ref_id = e.ref_id) UNION ALL SELECT paper_id, 'error', 'citation_ref_not_present_in_evidence_sentence', item_id, ref_id FROM e WHERE NOT coalesce(list_contains(own, ref_id), false)",
     "q52_numbers_not_found": f"WITH {_SENT}, c AS (SELECT paper_id, concat(inventory_id, ':', i - 1) AS item_id, {_NUM.format(x='global_conditions[i].value_raw')} AS want FROM (SELECT DISTINCT inventory_id, paper_id, global_conditions FROM inventory), unnest(range(1, len(global_conditions) + 1)) AS u(i)), n AS (SELECT paper_id, flatten(list({_NUM.format(x='text')})) AS have FROM sent WHERE text IS NOT NULL GROUP BY 1), f AS (SELECT c.paper_id, item_id, list_filter(want, lambda x: NOT list_contains(coalesce(have, []), x)) AS missing FROM c LEFT JOIN n USING (paper_id)) SELECT paper_id, 'warning' AS severity, 'measurement_number_not_found_verbatim' AS issue, item_id, array_to_string(missing, ',') AS detail FROM f WHERE len(missing) > 0",
     "q54_merged_systems": f"WITH s AS (SELECT paper_id, inventory_id, i, systems[i] AS s FROM (SELECT DISTINCT inventory_id, paper_id, systems FROM inventory), unnest(range(1, len(systems) + 1)) AS u(i)), k AS (SELECT *, {_key('coalesce(coalesce(nullif(s.normalized_name, $$$$), s.system_name_raw), $$$$)')} AS key FROM s), g AS (SELECT paper_id, key, array_to_string(list_sort(list_distinct(flatten(list(list_filter(coalesce(s.evidence_sids, []), lambda x: x IS NOT NULL))))), ',') AS sids, arg_min(s.system_name_raw, (inventory_id, i)) FILTER (coalesce(s.system_name_raw, '') <> '') AS raw, arg_min(s.system_type, (inventory_id, i)) FILTER (coalesce(s.system_type, '') <> '') AS kind FROM k WHERE key <> '' GROUP BY 1, 2) SELECT * FROM g",
     "q53_master_library": f"WITH {_HELD}, {_MEMBERS} SELECT held.paper_id, title, year, coalesce(string_agg(DISTINCT project_slug, ',' ORDER BY project_slug), '') AS projects FROM held LEFT JOIN members USING (paper_id) GROUP BY 1, 2, 3",
