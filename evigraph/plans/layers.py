@@ -246,6 +246,9 @@ def _tfidf(source: str, node: str, text: str, tf: str) -> str:
     return f"w AS (SELECT {node} AS node, unnest(regexp_extract_all(lower(coalesce({text}, '')), '\\b[a-z0-9_]{{2,}}\\b')) AS term FROM {source}), t AS (SELECT node, term, count(*) AS tf FROM w GROUP BY ALL), nd AS (SELECT count(DISTINCT node) AS n FROM t), df AS (SELECT term, count(*) AS df FROM t GROUP BY term), raw AS (SELECT node, term, {tf} * (ln((1 + n) / (1 + df)) + 1) AS w FROM t JOIN df USING (term), nd), len AS (SELECT node, sqrt(sum(w * w)) AS len FROM raw GROUP BY node), v AS (SELECT node, term, w / len AS w FROM raw JOIN len USING (node)), cosine AS (SELECT a.node AS src, b.node AS dst, sum(a.w * b.w) AS weight FROM v a JOIN v b ON a.term = b.term AND a.node < b.node GROUP BY ALL)"
 
 
+#: An edge is in the forest unless its ends are joined by heavier edges.
+_FOREST = "ranked AS (SELECT src, dst, round(weight, 6) AS weight, row_number() OVER (ORDER BY round(weight, 6) DESC, src DESC, dst DESC) AS id FROM combined), ways AS (SELECT src AS a, dst AS b, id FROM ranked UNION ALL SELECT dst, src, id FROM ranked), reach AS (SELECT id, src AS node FROM ranked UNION SELECT reach.id, ways.b FROM reach JOIN ways ON ways.a = reach.node AND ways.id < reach.id), forest AS (SELECT src, dst, weight FROM ranked WHERE NOT EXISTS (SELECT 1 FROM reach WHERE reach.id = ranked.id AND reach.node = ranked.dst))"
+
 SQL = {
     "q01_coupling_topk": f"WITH {_SETS}, p AS (SELECT src, dst, shared / sqrt(x.n * y.n) AS weight FROM o JOIN n x ON src = x.node JOIN n y ON dst = y.node WHERE shared >= 2 AND shared / sqrt(x.n * y.n) >= 0.08), " + _topk(6).replace("max(weight)", "round(max(weight), 6)"),
     "q02_jaccard_topk": f"WITH {_SETS}, p AS (SELECT src, dst, shared / (x.n + y.n - shared) AS weight FROM o JOIN n x ON src = x.node JOIN n y ON dst = y.node WHERE shared / (x.n + y.n - shared) >= 0.04), " + _topk(6).replace("max(weight)", "round(max(weight), 6)"),
@@ -255,6 +258,8 @@ SQL = {
     "q06_weighted_degree": f"WITH {_COMBINED}, e AS (SELECT src AS node, weight FROM combined UNION ALL SELECT dst, weight FROM combined) SELECT node, round(sum(weight), 5) AS degree, count(*) AS n_edges, round(8 + least(24.0, 6 * ln(1 + sum(weight))), 5) AS size FROM e GROUP BY node",
     "q28_expand_one_hop": f"WITH {_COMBINED}, {_HELD}, e AS (SELECT src AS seed, dst AS node, round(weight, 6) AS weight FROM combined UNION ALL SELECT dst, src, round(weight, 6) FROM combined) SELECT seed, node, weight, row_number() OVER (PARTITION BY seed ORDER BY weight DESC, node) AS rank FROM e WHERE seed IN (SELECT paper_id FROM held WHERE active = 1) QUALIFY rank <= 5",
     "q29_components": f"WITH RECURSIVE {_CITES}, e AS (SELECT citing AS a, cited AS b FROM cites WHERE citing <> cited UNION SELECT cited, citing FROM cites WHERE citing <> cited), reach AS (SELECT a AS node, a AS other FROM e UNION SELECT reach.node, e.b FROM reach JOIN e ON e.a = reach.other) SELECT node, min(other) AS component FROM reach GROUP BY node",
+    "q30_spanning_forest": f"WITH RECURSIVE {_COMBINED}, {_FOREST} SELECT src, dst, weight FROM forest",
+    "q47_sparsified": f"WITH RECURSIVE {_COMBINED}, {_FOREST}, near AS (SELECT src, dst FROM (SELECT node, src, dst, row_number() OVER (PARTITION BY node ORDER BY weight DESC, src DESC, dst DESC) AS r FROM (SELECT unnest([src, dst]) AS node, src, dst, weight FROM ranked)) WHERE r <= 6), keep AS (SELECT src, dst FROM near UNION SELECT src, dst FROM forest), rest AS (SELECT src, dst, weight, row_number() OVER (ORDER BY weight DESC, src, dst) AS r FROM ranked WHERE (src, dst) NOT IN (SELECT (src, dst) FROM keep)) SELECT src, dst, weight FROM ranked WHERE (src, dst) IN (SELECT (src, dst) FROM keep) UNION ALL SELECT src, dst, weight FROM rest WHERE r <= greatest(0, 2000 - (SELECT count(*) FROM keep))",
     "q32_circle_layout": "SELECT project_slug, paper_id, round(850.0 * cos(angle), 3) AS x, round(850.0 * sin(angle), 3) AS y FROM (SELECT project_slug, paper_id, 2 * pi() * (row_number() OVER (PARTITION BY project_slug ORDER BY paper_id) - 1) / count(*) OVER (PARTITION BY project_slug) AS angle FROM (SELECT DISTINCT project_slug, paper_id FROM paper_projects))",
     "q33_statement_pairs": f"WITH {_PROPS}, s AS (SELECT paper_id, concat(inventory_id, ':', i - 1) AS uid, objectives[i].text AS text FROM (SELECT DISTINCT inventory_id, paper_id, objectives FROM inventory), unnest(range(1, len(objectives) + 1)) AS u(i) WHERE objectives[i].text IS NOT NULL), {_tfidf('s', 'uid', 'text', 'tf')}, p AS (SELECT src, dst, round(greatest(weight, CASE WHEN EXISTS (SELECT 1 FROM props x JOIN props y ON x.key = y.key WHERE x.paper_id = a.paper_id AND y.paper_id = b.paper_id) THEN 0.38 ELSE 0 END), 6) AS weight FROM cosine JOIN s a ON a.uid = src JOIN s b ON b.uid = dst WHERE weight >= 0.5 AND a.paper_id <> b.paper_id), " + _topk(5),
     "q34_soft_keyword": f"WITH {_PROPS}, w AS (SELECT DISTINCT key AS node, unnest(string_split(key, ' ')) AS item FROM props), wn AS (SELECT node, count(*) AS n FROM w GROUP BY node), lex AS (SELECT src, dst, shared / (x.n + y.n - shared) AS v FROM (SELECT a.node AS src, b.node AS dst, count(*) AS shared FROM w a JOIN w b ON a.item = b.item AND a.node < b.node GROUP BY ALL) JOIN wn x ON src = x.node JOIN wn y ON dst = y.node), rel AS (SELECT src AS l, dst AS r, CASE WHEN v >= 0.82 THEN round(least(0.94, 0.72 + 0.25 * v), 4) ELSE 0.55 * round(least(0.88, 0.58 + 0.25 * v), 4) END AS score FROM lex WHERE v >= 0.45), bothways AS (SELECT l, r, score FROM rel UNION ALL SELECT r, l, score FROM rel), s AS (SELECT DISTINCT paper_id AS node, key AS item FROM props), sn AS (SELECT node, count(*) AS n FROM s GROUP BY node), met AS (SELECT a.node AS src, b.node AS dst, a.item, max(score) AS score FROM s a JOIN bothways ON a.item = l JOIN s b ON b.item = r WHERE a.node <> b.node GROUP BY ALL), d AS (SELECT src, dst, sum(score) / any_value(n) AS m FROM met JOIN sn ON sn.node = src GROUP BY 1, 2) SELECT least(src, dst) AS src, greatest(src, dst) AS dst, round(sum(m) / 2, 4) AS weight FROM d GROUP BY 1, 2 HAVING sum(m) / 2 >= 0.1",

@@ -291,7 +291,30 @@ _LATEST = "m AS (SELECT * FROM (SELECT DISTINCT citing_paper_id, ref_id, updated
 _MODEL = "model AS (SELECT phase, ok AS sample_count, total / ok AS seconds_per_chunk, greatest(1.0, CASE WHEN n > 1 THEN spread ELSE total / ok * 0.25 END * sqrt(n / ok)) AS sigma_per_chunk, n / ok AS retry_factor FROM (SELECT l_returnflag AS phase, count(*) AS n, count(*) FILTER (l_linestatus = 'F') AS ok, sum(l_quantity) AS total, stddev_pop(l_quantity) AS spread FROM lineitem WHERE l_quantity BETWEEN 0 AND 1800 GROUP BY 1) WHERE ok > 0)"
 _MEMBERS = "members AS (SELECT DISTINCT paper_id, project_slug FROM paper_projects)"
 
+_AUTHOR_LIST = f"""au AS (SELECT paper_id, title, journal, year, doi, list_transform(coalesce(authors, []), lambda a: struct_pack(family := {_flat('a.family')}, given := {_flat('a.given')}, named := {_flat('a.full_name')})) AS l FROM
+ (SELECT DISTINCT paper_id, j.title AS title, j.journal AS journal, j.year AS year, j.doi AS doi, j.authors AS authors FROM (SELECT paper_id, from_json(metadata_json, '{{"canonical": {{"title": "VARCHAR", "authors": [{{"full_name": "VARCHAR", "given": "VARCHAR", "family": "VARCHAR"}}], "journal": "VARCHAR", "year": "INTEGER", "doi": "VARCHAR"}}}}').canonical AS j FROM paper_metadata_v4))),
+pa AS (SELECT * EXCLUDE (l), list_transform(l, lambda a: struct_pack(f := CASE WHEN a.family <> '' THEN a.family ELSE list_last(string_split(a.named, ' ')) END,
+ i := array_to_string(list_transform(regexp_extract_all(CASE WHEN a.family = '' THEN array_to_string(string_split(a.named, ' ')[1:-2], ' ') WHEN a.given <> '' THEN a.given WHEN ends_with(lower(a.named), lower(a.family)) THEN trim(left(a.named, length(a.named) - length(a.family)), ' ,') ELSE a.named END, '\\p{{L}}+'), lambda w: upper(w[1]) || '.'), ' '))) AS p FROM au),
+li AS (SELECT * EXCLUDE (p), list_transform(p, lambda a: concat_ws(', ', nullif(a.f, ''), nullif(a.i, ''))) AS inv, list_transform(p, lambda a: concat_ws(' ', nullif(a.i, ''), nullif(a.f, ''))) AS str, len(p) AS n FROM pa),
+st AS (SELECT paper_id, coalesce(nullif(array_to_string(CASE WHEN n > 10 THEN inv[1:10] || ['et al.'] ELSE inv END, '; '), ''), 'Unknown author') AS a_acs,
+ CASE WHEN n = 0 THEN 'Unknown author' ELSE array_to_string(str, ', ') END AS a_plain,
+ CASE WHEN n > 5 THEN inv[1] || ' et al.' WHEN n = 0 THEN 'Unknown author' WHEN n = 1 THEN inv[1] ELSE array_to_string(inv[1:-2], ', ') || ' & ' || inv[-1] END AS a_nature,
+ CASE WHEN n > 10 THEN array_to_string(str[1:10], ', ') || ', et al.' WHEN n = 0 THEN 'Unknown author' ELSE array_to_string(str, ', ') END AS a_science,
+ coalesce(nullif(rtrim({_flat('title')}, '.'), ''), 'Untitled') AS t, coalesce(nullif({_flat('journal')}, ''), 'Unknown journal') AS jn, coalesce(year::VARCHAR, 'n.d.') AS y, rtrim({_flat('doi')}, '.') AS d FROM li)"""
+
+
+def _ended(x: str) -> str:
+    return f"CASE WHEN ends_with({x}, '.') THEN {x} ELSE {x} || '.' END"
+
+
+def _cited(x: str) -> str:
+    return f"rtrim({_flat(x)}, '.') || '.'"
+
+
+_DOI_PART, _URL_PART = "CASE WHEN d = '' THEN '' ELSE '{0}DOI: ' || d END", "CASE WHEN d = '' THEN '' ELSE '{0}https://doi.org/' || d END"
+
 SQL = {
+    "q42_citations": f"WITH {_AUTHOR_LIST} SELECT paper_id, {_cited('(' + _ended('a_acs') + chr(32) + '|| chr(32) || t || chr(46) || chr(32) || jn || chr(32) || y || ' + _DOI_PART.format('. ') + ')')} AS acs, {_cited('(a_plain || chr(44) || chr(32) || jn || chr(44) || chr(32) || y || ' + _DOI_PART.format(', ') + ')')} AS rsc, {_cited('(a_plain || chr(44) || chr(32) || jn || chr(32) || y || ' + _URL_PART.format(', ') + ')')} AS wiley, {_cited('(' + _ended('a_nature') + ' || chr(32) || t || chr(46) || chr(32) || jn || chr(32) || chr(40) || y || chr(41) || ' + _URL_PART.format('. ') + ')')} AS nature, {_cited('(a_science || chr(44) || chr(32) || t || chr(46) || chr(32) || jn || chr(32) || chr(40) || y || chr(41) || ' + _DOI_PART.format('. ') + ')')} AS science FROM st",
     "q07_greedy_chunks": f"WITH RECURSIVE {_PARA}, u AS (SELECT paper_id, block_id, {_ROLE} AS role, length(text) + length(coalesce(heading, '')) + 64 AS len, row_number() OVER (PARTITION BY paper_id ORDER BY block_id) AS r FROM para), f AS (SELECT paper_id, block_id, role, r, len AS used, 1 AS chunk_no FROM u WHERE r = 1 UNION ALL SELECT u.paper_id, u.block_id, u.role, u.r, CASE WHEN u.role <> f.role OR f.used + u.len > 1200 THEN u.len ELSE f.used + u.len END, CASE WHEN u.role <> f.role OR f.used + u.len > 1200 THEN f.chunk_no + 1 ELSE f.chunk_no END FROM f JOIN u ON u.paper_id = f.paper_id AND u.r = f.r + 1) SELECT paper_id, chunk_no, count(*) AS n_units, min(block_id) AS first_block, min(role) AS role FROM f GROUP BY 1, 2",
     "q08_dedupe_first_wins": "SELECT sha256(text) AS sha, min(doc_id) AS doc_id, arg_min_null(source, doc_id) AS source FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "q09_mode_first_seen": "WITH i AS (SELECT DISTINCT inventory_id, paper_id, article_type FROM inventory), c AS (SELECT paper_id, article_type, count(*) AS n, min(inventory_id) AS seen FROM i WHERE article_type IS NOT NULL AND article_type <> 'unclear' GROUP BY 1, 2), b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY n DESC, seen) = 1) SELECT p.paper_id, coalesce(b.article_type, 'unclear') AS article_type FROM (SELECT DISTINCT paper_id FROM i) p LEFT JOIN b ON b.paper_id IS NOT DISTINCT FROM p.paper_id",
