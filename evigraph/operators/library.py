@@ -165,3 +165,38 @@ def first_given(base: DataFrame, over: list[DataFrame], key: str, fields: list[s
 
         out = out.select(*[pick(c, i) if c in fields else F.col(c) for c in base.columns])
     return out
+
+
+def replaced_relations(held: DataFrame, new: DataFrame, project: str | None) -> DataFrame:
+    """Claim relations after a run: of a run over all papers only the new ones stay; a run of a project replaces its own pairs."""
+    keys = SCHEMAS["claim_relations"][1]
+    return new if project is None else upsert(held, new.dropDuplicates(keys), keys)
+
+
+def preferred_source(papers: DataFrame, stages: DataFrame, derivatives: DataFrame, folder: str) -> DataFrame:
+    """(paper_id, path, derived): the file to be read of each paper: a derivative (paper_id, path, source_sha256) only if its stage
+    ended well, it lies in ``folder`` and was made of the bytes that the paper has now; else the source itself."""
+    well = stages.where((F.col("stage") == "ocr") & (F.col("status") == "success")).select("paper_id").distinct()
+    good = derivatives.where(F.col("path").startswith(folder.rstrip("/") + "/") & ~F.col("path").contains("/../")).join(well, "paper_id", "left_semi")
+    one = good.groupBy("paper_id", "source_sha256").agg(F.min("path").alias("derived_path"))
+    met = papers.join(one, ["paper_id", "source_sha256"], "left")
+    return met.select("paper_id", F.coalesce("derived_path", "source_relpath").alias("path"), F.col("derived_path").isNotNull().alias("derived"))
+
+
+def image_only(pages: DataFrame, first: int = 5) -> DataFrame:
+    """(paper_id, image_only): whether the ``first`` pages (paper_id, page, n_chars, n_images) have no text and an image each."""
+    head = pages.where(F.col("page") <= first)
+    return head.groupBy("paper_id").agg(((F.sum("n_chars") == 0) & (F.min("n_images") > 0)).alias("image_only"))
+
+
+def ocr_status(papers: DataFrame, stages: DataFrame, derivatives: DataFrame) -> DataFrame:
+    """(n_blocked, n_derived): papers that wait for their text to be recognised, and those whose has been."""
+    b = blocked(papers, stages, "parse", "OCR_REQUIRED:").agg(F.count_distinct("paper_id").alias("n_blocked"))
+    return b.crossJoin(papers.join(derivatives, "paper_id", "left_semi").agg(F.count_distinct("paper_id").alias("n_derived")))  # one row and one row
+
+
+def cluster_rows(sizes: DataFrame, labels: DataFrame, names: DataFrame) -> DataFrame:
+    """(cluster, name, size): a cluster's given name, else its label, at most 160 characters."""
+    j = sizes.join(labels, "cluster", "left").join(names, "cluster", "left")
+    said = F.coalesce(F.nullif(F.trim("name"), F.lit("")), F.nullif(F.trim("label"), F.lit("")), F.concat(F.lit("Cluster "), F.col("cluster").cast("string")))
+    return j.select("cluster", F.substring(said, 1, 160).alias("name"), F.greatest("size", F.lit(0)).alias("size")).orderBy("cluster")

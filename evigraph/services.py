@@ -230,3 +230,15 @@ def inferred_relations(pairs: DataFrame, cache: DataFrame, service: Service, lea
     bound = F.element_at(F.create_map(*[x for k, v in least.items() for x in (F.lit(k), F.lit(float(v)))]), F.col("j.relation"))
     kept = answers.withColumn("j", told).where(bound.isNotNull() & (F.col("j.confidence") >= bound))
     return kept.select("pair_id", "left", "right", "j.relation", "j.confidence", "j.rationale"), grown
+
+
+def named_clusters(dossiers: DataFrame, labels: DataFrame, service: Service, most: int) -> DataFrame:
+    """(cluster, name, source): clusters named from the dossiers (cluster, pos, text) of their papers. Dossiers are merged by the
+    service in groups of up to ``most`` characters until one text a cluster is left, which it then names as JSON with ``name``.
+    Where an answer is no such JSON or the name is blank the cluster keeps its label (cluster, label); every cluster has a row."""
+    texts = merged_memories(dossiers.select(F.col("cluster").alias("paper_id"), "pos", "text"), service, most)
+    asked = texts.select(F.col("paper_id").alias("cluster"), F.concat(F.lit("NAME AS JSON {name}: "), "text").alias("request")).withColumn("key", request_key(F.col("cluster").cast("string"), "request"))
+    answers, _ = answered(asked, dossiers.sparkSession.createDataFrame([], "key string, response string"), service)
+    name = F.nullif(F.trim(F.get_json_object("response", "$.name")), F.lit(""))
+    j = labels.join(answers.select("cluster", name.alias("name")), "cluster", "left")
+    return j.select("cluster", F.coalesce("name", "label").alias("name"), F.when(F.col("name").isNotNull(), "service").otherwise("label").alias("source"))

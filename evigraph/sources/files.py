@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import csv
 import html
+import io
+import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -178,3 +182,19 @@ def report(issues: DataFrame) -> DataFrame:
     lines = issues.groupBy("paper_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
     head = F.lit("| severity | issue | item | detail |\n|-|-|-|-|\n")
     return lines.select("paper_id", F.concat(head, F.array_join("rows", "\n")).alias("report"))
+
+
+def cluster_archive(papers: DataFrame, citations: dict[str, str], path: str, read: Callable[[str], bytes], most: int = 1000) -> int:
+    """Writes the files of a cluster's papers (paper_id, path, title, authors, year) into a ZIP on the driver, in order of year, authors,
+    title and id, with citations.txt and citations.csv; how many files. More than ``most`` papers are an error."""
+    rows = papers.select(F.coalesce(F.when(F.col("year").cast("string").rlike(r"^\d+$"), F.col("year").cast("int")), F.lit(9999)).alias("y"), F.lower(F.coalesce("authors", F.lit(""))).alias("a"), F.lower(F.coalesce("title", F.lit(""))).alias("t"), "paper_id", "path").orderBy("y", "a", "t", "paper_id").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a cluster of more than {most} papers")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for n, r in enumerate(rows, 1):
+            z.writestr(f"{n:03}_{r['paper_id']}.pdf", read(r["path"]))
+        z.writestr("citations.txt", "\n".join(citations.get(r["paper_id"], "") for r in rows))
+        out = io.StringIO()
+        csv.writer(out).writerows([("paper_id", "citation"), *((r["paper_id"], citations.get(r["paper_id"], "")) for r in rows)])
+        z.writestr("citations.csv", "\ufeff" + out.getvalue())
+    return len(rows)

@@ -1,4 +1,5 @@
 import json
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +8,8 @@ from evigraph import services as s
 from evigraph import settings
 from evigraph.functions import providers
 from evigraph.functions.arrow import json_hash
-from evigraph.operators import curation, library, merging
+from evigraph.operators import curation, graph, library, merging
+from evigraph.sources import files
 from evigraph.streaming import programs
 
 
@@ -155,3 +157,49 @@ def test_tokens():
     assert t.take(a) == "x" and t.take(a) is None
     now[0] = 11.0
     assert t.take(b) is None and t.take("odd") is None
+
+
+def test_clusters_are_named_or_keep_their_labels(spark):
+    d = spark.createDataFrame([(0, 0, "about gels"), (0, 1, "about brushes"), (1, 0, "x")], "cluster int, pos int, text string")
+    labels = spark.createDataFrame([(0, "L0"), (1, "L1"), (2, "L2")], "cluster int, label string")
+
+    def service(texts):
+        return [('{"name": "Soft matter"}' if "gels" in t else "no json") if t.startswith("NAME") else t for t in texts]
+
+    got = {r["cluster"]: (r["name"], r["source"]) for r in s.named_clusters(d, labels, service, 4000).collect()}
+    assert got == {0: ("Soft matter", "service"), 1: ("L1", "label"), 2: ("L2", "label")}
+
+
+def test_sources_pages_and_relations(spark):
+    p = spark.createDataFrame([("P1", "a.pdf", "h1"), ("P2", "b.pdf", "h2"), ("P3", "c.pdf", "h3")], "paper_id string, source_relpath string, source_sha256 string")
+    st = spark.createDataFrame([("P1", "ocr", "success"), ("P2", "ocr", "success"), ("P3", "ocr", "error")], "paper_id string, stage string, status string")
+    d = spark.createDataFrame([("P1", "ocr/1.pdf", "h1"), ("P2", "ocr/2.pdf", "old"), ("P3", "ocr/3.pdf", "h3")], "paper_id string, path string, source_sha256 string")
+    assert {r["paper_id"]: (r["path"], r["derived"]) for r in library.preferred_source(p, st, d, "ocr/").collect()} == {"P1": ("ocr/1.pdf", True), "P2": ("b.pdf", False), "P3": ("c.pdf", False)}
+    pages = spark.createDataFrame([("A", 1, 0, 1), ("A", 6, 9, 0), ("B", 1, 0, 0), ("C", 1, 5, 1)], "paper_id string, page int, n_chars int, n_images int")
+    assert dict(library.image_only(pages).collect()) == {"A": True, "B": False, "C": False}
+    rel = "source_uid string, target_uid string, relation string, confidence double, rationale string, project_slug string"
+    held, new = spark.createDataFrame([("a", "b", "SUPPORTS", 0.9, "", "p"), ("c", "d", "SUPPORTS", 0.9, "", "p")], rel), spark.createDataFrame([("a", "b", "CONTRADICTS", 0.8, "", "p")], rel)
+    assert library.replaced_relations(held, new, None).count() == 1 and library.replaced_relations(held, new, "p").count() == 2
+    c = library.cluster_rows(spark.createDataFrame([(0, 5), (1, -1)], "cluster int, size int"), spark.createDataFrame([(0, "x" * 200)], "cluster int, label string"), spark.createDataFrame([(1, "N")], "cluster int, name string")).collect()
+    assert [(r["cluster"], len(r["name"]), r["size"]) for r in c] == [(0, 160, 5), (1, 1, 0)]
+
+
+def test_clusters_over_layers(spark):
+    rows = [("g", layer, a, b, 1.0) for layer in ("property", "method") for a, b in (("a", "b"), ("b", "c"), ("a", "c"), ("d", "e"), ("e", "f"), ("d", "f"))] + [("g", "claim", "c", "d", 0.1)]
+    df = spark.createDataFrame(rows, "grp string, layer string, src string, dst string, weight double")
+    got = {r["node"]: r["cluster"] for r in graph.cluster_multiplex(df, "grp").collect()}
+    assert got["a"] == got["b"] == got["c"] != got["d"] == got["e"] == got["f"]
+    one = df.where("layer = 'property'")
+    assert sorted(map(tuple, graph.cluster_multiplex(one, "grp", {"property": 1.0}).collect())) == sorted(map(tuple, graph.cluster_groups(one.drop("layer"), "grp").collect()))
+    combined = graph.combine_layers({"property": one.select("src", "dst", "weight"), "claim": df.where("layer = 'claim'").select("src", "dst", "weight")})
+    again = {r["node"]: r["cluster"] for r in graph.reclustered(combined, ["property"], resolution=99.0).collect()}
+    assert set(again) == set("abcdef") and len(set(again.values())) == 6  # a resolution beyond the bound is clamped to 3
+
+
+def test_cluster_archive(spark, tmp_path):
+    papers = spark.createDataFrame([("P2", "b", "T", "B", None), ("P1", "a", "T", "A", 2001)], "paper_id string, path string, title string, authors string, year int")
+    assert files.cluster_archive(papers, {"P1": "one", "P2": "two"}, str(tmp_path / "x.zip"), lambda path: path.encode()) == 2
+    with zipfile.ZipFile(tmp_path / "x.zip") as z:
+        assert z.namelist() == ["001_P1.pdf", "002_P2.pdf", "citations.txt", "citations.csv"] and z.read("citations.txt") == b"one\ntwo"
+    with pytest.raises(ValueError):
+        files.cluster_archive(papers, {}, str(tmp_path / "y.zip"), lambda path: b"", most=1)
