@@ -87,7 +87,7 @@ def expand_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def topk_symmetric(pairs: DataFrame, k: int) -> DataFrame:
     """(src, dst, weight), src < dst: pairs that are among the ``k`` heaviest of either end; ties by greater partner."""
-    both = pairs.select("src", "dst", "weight").unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    both = pairs.select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e"), "weight").select("e.*", "weight")  # a union would compute the pairs twice
     w = W.partitionBy("src").orderBy(F.desc("weight"), F.desc("dst"))
     kept = both.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
     return kept.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.max("weight").alias("weight")).select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight")
