@@ -49,3 +49,24 @@ def test_empty_tables(spark):
     refs = spark.createDataFrame([(1, None), (2, ["A B", None])], "reference_no long, authors array<string>")
     meta = spark.createDataFrame([("P", None), ("Q", "{bad"), ("R", '{"canonical": {"authors": null}, "original": {"authors": ["C D"]}}')], "paper_id string, metadata_json string")
     assert sorted(r[0] or "" for r in a.author_strings(refs, meta).collect()) == ["", "A B", "C D"]
+
+
+def test_short_forms_are_found_in_the_corpus(spark):
+    families = [f"fam{i:02}" for i in range(30)]
+    rows = [("charlotte", f) for f in families[:10]] + [("lotte", f) for f in families[:6]] + [("johanna", families[20]), ("johanna", families[21])] + [("anna", f) for f in families[10:20]] + [("pavel", f"other{i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "given string, key string")
+    assert {r["given"]: r["found"] for r in a.short_forms(df).collect()} == {"lotte": ["charlotte"]}
+    assert a.stems("benny") == ["benny", "benn", "ben"] and "kol" in a.stems("kolya")
+    assert a.short_forms(df.where("false")).count() == 0
+
+
+def test_doubts_do_not_depend_on_size(spark):
+    for times in (1, 50):
+        df = spark.createDataFrame([("brandorf", 24 * times), ("brandrf", 2 * times), ("bramdorf", 20 * times), ("other", 5)], "word string, types long")
+        got = {(r["word"], r["to"]) for r in a._doubts(df).collect()}
+        assert ("brandrf", "brandorf") in got and ("bramdorf", "brandorf") not in got and ("brandorf", "bramdorf") not in got
+
+
+def test_classes_count_links(spark):
+    e = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "c")], "name string, entity string")
+    assert {r["name"]: r["n_links"] for r in a.classes(e).collect()} == {"a": 1, "b": 1, "c": 0}
