@@ -93,6 +93,13 @@ def topk_symmetric(pairs: DataFrame, k: int) -> DataFrame:
     return kept.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.max("weight").alias("weight")).select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight")
 
 
+def topk_then_shared(pairs: DataFrame, k: int, min_shared: int) -> DataFrame:
+    """Symmetric top k of pairs (src, dst, shared, weight), of which those that share too little are left out afterwards, so that
+    they take up places."""
+    kept = topk_symmetric(pairs, k)
+    return kept.join(pairs.select("src", "dst", "shared"), ["src", "dst"]).where(F.col("shared") >= min_shared).select("src", "dst", "shared", "weight")
+
+
 def terms_of(texts: DataFrame, node: str, text: str, n_max: int = 1, stop: tuple[str, ...] = ()) -> DataFrame:
     """(node, term, tf): words of two letters or digits at least, and runs of up to ``n_max`` of them."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(\b[a-z0-9_]{2,}\b)"), F.lit(1))

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import documents, graph, keywords, library, registry, similarity, summaries, validation
+from ..functions import text
+from ..operators import documents, graph, keywords, library, linkage, registry, similarity, summaries, validation
 from ..operators.orphans import paper_number
 from ..runtime import table
 from ..settings import PROFILES, profile
-from .layers import _CITES, _HELD, _METHODS, _PROPS, _citation_edges, _citations, _held, _items, _key, _number, _property_layer
-from .extraction import _ROLE, _WORKS, _grams, q76_referenced_edges
-from .tables import _DUPS, _EVID, _MISS, _OBJ, _SENT, _objectives, q13_missing_evidence, q14_duplicate_statements, q51_citation_contexts, q52_numbers_not_found
+from .layers import _CITES, _HELD, _METHODS, _PROPS, _citation_edges, _citations, _combined, _COMBINED, _held, _items, _key, _number, _property_layer, _topk
+from .extraction import _ROLE, _WORKS, _grams, q76_referenced_edges, q77_doi_or_title
+from .tables import _DUPS, _EVID, _MISS, _OBJ, _SENT, _objectives, q13_missing_evidence, q14_duplicate_statements, q21_unique_exact, q51_citation_contexts, q52_numbers_not_found
+from .extraction import SQL as _EXTRACTED
 from .tables import SQL as _TABLES
 
 
@@ -182,7 +184,36 @@ def q103_overrides(spark: SparkSession, d: str) -> DataFrame:
     return kept.select("citing_paper_id", "ref_id", "doi", F.lit(True).alias("kept")).unionByName(refused.select("citing_paper_id", "ref_id", "doi", F.lit(False).alias("kept")))
 
 
-QUERIES = {f.__name__: f for f in (q81_selected, q82_blocked, q83_complete, q84_change_key, q85_run_seconds, q86_pending_chunks, q87_membership_counts, q88_project_list, q89_document_stats, q90_locations, q91_closing_texts, q92_on_page, q93_revealed, q94_cluster_summary, q95_cluster_labels, q96_audit_suggestions, q97_profiles, q98_citation_targets, q99_full_validation, q100_upserted, q101_metadata_layers, q102_raw_files, q103_overrides)}
+def q104_selected_layers(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of the method layer alone."""
+    score = graph.selected_score(F.col("components"), ["method"])
+    return _combined(spark, d).select("src", "dst", F.round(score, 6).alias("score")).where("score > 0")
+
+
+def q105_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """References resolved by DOI, else by title in the older way."""
+    refs = table(spark, d, "reference").select("reference_no").distinct()
+    by_doi = q21_unique_exact(spark, d).groupBy("reference_no").agg(F.min("paper_id").alias("paper_id"))
+    by_title = q77_doi_or_title(spark, d).where("method = 'title'").select("reference_no", "paper_id")
+    return linkage.cascade(refs, ["reference_no"], [("doi", by_doi), ("title", by_title)], "paper_id")
+
+
+def q106_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """The box around each sentence that has coordinates, two points wider on all sides, and its page."""
+    b = table(spark, d, "paper_json").where("sentences is not null").select("block_id", "sentences").distinct()
+    x = b.select("block_id", F.posexplode("sentences").alias("n", "s")).where("s.coords is not null")
+    box = text.union_box(text.boxes(F.col("s.coords")), 2.0)
+    return x.select("block_id", "n", text.page_of(F.col("s.coords")).alias("page"), *[F.round(box[c], 4).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+def q107_topk_then_shared(spark: SparkSession, d: str) -> DataFrame:
+    """Papers alike in their properties: the best 3 of each, of which those that share 2 or more."""
+    p = _items(spark, d, "studied_properties", "property_normalized", "property_raw")
+    pairs = similarity.set_pairs(p, "paper_id", "key", "jaccard", 0.1)
+    return similarity.topk_then_shared(pairs, 3, 2).withColumn("weight", F.round("weight", 6))
+
+
+QUERIES = {f.__name__: f for f in (q81_selected, q82_blocked, q83_complete, q84_change_key, q85_run_seconds, q86_pending_chunks, q87_membership_counts, q88_project_list, q89_document_stats, q90_locations, q91_closing_texts, q92_on_page, q93_revealed, q94_cluster_summary, q95_cluster_labels, q96_audit_suggestions, q97_profiles, q98_citation_targets, q99_full_validation, q100_upserted, q101_metadata_layers, q102_raw_files, q103_overrides, q104_selected_layers, q105_cascade, q106_boxes, q107_topk_then_shared)}
 
 _MEM = "members AS (SELECT DISTINCT paper_id, project_slug FROM paper_projects)"
 _ROWS = "srow AS (SELECT paper_id, block_id, heading, i - 1 AS n, sentences[i].sid AS sid, sentences[i].page AS page, sentences[i].text AS text FROM (SELECT DISTINCT block_id, paper_id, heading, sentences FROM paper_json WHERE sentences IS NOT NULL), unnest(range(1, len(sentences) + 1)) AS u(i))"
@@ -211,7 +242,14 @@ _FULL = (
     f"x AS (SELECT paper_id, severity FROM ({_MISS}) UNION ALL SELECT paper_id, severity FROM ({_DUPS}) UNION ALL SELECT paper_id, severity FROM q51 UNION ALL SELECT paper_id, severity FROM q52 UNION ALL SELECT * FROM bg UNION ALL SELECT * FROM vi UNION ALL SELECT * FROM us)"
 )
 
+_CASCADE = f"doi_ AS ({_TABLES['q21_unique_exact']}), old_ AS ({_EXTRACTED['q77_doi_or_title']})"
+_REPS = "s0 AS (SELECT DISTINCT paper_id AS node, key AS item FROM props), s AS (SELECT min(node) AS node, unnest(items) AS item FROM (SELECT node, list(item ORDER BY item) AS items FROM s0 GROUP BY node) GROUP BY items), n AS (SELECT node, count(*) AS n FROM s GROUP BY node), p AS (SELECT src, dst, shared, shared / (x.n + y.n - shared) AS weight FROM (SELECT a.node AS src, b.node AS dst, count(*) AS shared FROM s a JOIN s b ON a.item = b.item AND a.node < b.node GROUP BY ALL) JOIN n x ON src = x.node JOIN n y ON dst = y.node WHERE shared / (x.n + y.n - shared) >= 0.1)"
+
 SQL = {
+    "q104_selected_layers": f"WITH {_COMBINED} SELECT src, dst, round(0.35 * method, 6) AS score FROM combined WHERE method > 0",
+    "q105_cascade": f"WITH {_CASCADE} SELECT r.reference_no, coalesce(a.paper_id, b.paper_id) AS paper_id, CASE WHEN a.paper_id IS NOT NULL THEN 'doi' WHEN b.paper_id IS NOT NULL THEN 'title' END AS method FROM (SELECT DISTINCT reference_no FROM reference) r LEFT JOIN (SELECT reference_no, min(paper_id) AS paper_id FROM doi_ GROUP BY 1) a USING (reference_no) LEFT JOIN (SELECT reference_no, paper_id FROM old_ WHERE method = 'title') b USING (reference_no)",
+    "q106_boxes": "WITH x AS (SELECT block_id, i - 1 AS n, sentences[i].coords AS c FROM (SELECT DISTINCT block_id, sentences FROM paper_json WHERE sentences IS NOT NULL), unnest(range(1, len(sentences) + 1)) AS u(i) WHERE sentences[i].coords IS NOT NULL), b AS (SELECT block_id, n, c, list_filter(list_transform(string_split(c, ';'), lambda p: list_transform(string_split(p, ','), lambda v: try_cast(trim(v) AS DOUBLE))), lambda v: len(v) >= 5) AS b FROM x) SELECT block_id, n, nullif(regexp_extract(c, '^\\s*(\\d+)\\s*,', 1), '')::INT AS page, round(list_min(list_transform(b, lambda v: v[2])) - 2, 4) AS x0, round(list_min(list_transform(b, lambda v: v[3])) - 2, 4) AS y0, round(list_max(list_transform(b, lambda v: v[2] + v[4])) + 2, 4) AS x1, round(list_max(list_transform(b, lambda v: v[3] + v[5])) + 2, 4) AS y1 FROM b",
+    "q107_topk_then_shared": f"WITH {_PROPS}, {_REPS}, k AS (WITH {_topk(3)}) SELECT src, dst, shared, round(k.weight, 6) AS weight FROM k JOIN p USING (src, dst) WHERE shared >= 2",
     "q81_selected": f"WITH {_HELD} SELECT paper_id, title, year FROM held WHERE active = 1 AND paper_id IN (SELECT paper_id FROM paper_metadata_v4 WHERE match_status IN ('verified', 'probable'))",
     "q82_blocked": f"WITH {_HELD} SELECT paper_id, concat('OCR_REQUIRED:', o_orderkey) AS error FROM held JOIN orders ON paper_id = concat('P', lpad(o_custkey::VARCHAR, 4, '0')) WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'",
     "q83_complete": f"WITH {_HELD} SELECT paper_id, active FROM held WHERE paper_id IN (SELECT paper_id FROM paper_metadata_v4) AND paper_id IN (SELECT paper_id FROM paper_json) AND paper_id IN (SELECT paper_id FROM inventory) AND paper_id IN (SELECT paper_id FROM reference)",
