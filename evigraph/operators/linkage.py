@@ -48,7 +48,7 @@ def near_keys(left: DataFrame, right: DataFrame, key: str, least: float, block_r
     def packed(df: DataFrame, names: str) -> tuple[DataFrame, int]:
         keys = written(df.select(key).where(F.col(key) != "").distinct(), "keys")
         blocks = max(1, -(-keys.count() // block_rows))
-        return keys.groupBy(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block")).agg(F.collect_list(key).alias(names)).drop("block"), blocks
+        return keys.groupBy(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block")).agg(F.collect_list(key).alias(names)), blocks
 
     (a, m), (b, n) = packed(left, "xs"), packed(right, "ys")
 
@@ -66,7 +66,8 @@ def near_keys(left: DataFrame, right: DataFrame, key: str, least: float, block_r
                             out.append((part[i], ys[j]))
                 yield pd.DataFrame(out, columns=[key, f"c_{key}"])
 
-    return a.crossJoin(b).repartition(min(m * n, 2000)).mapInPandas(run, f"{key} string, c_{key} string")
+    grid = a.drop("block").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))).join(b, "block").select("xs", "ys")
+    return grid.repartition(min(m * n, 2000)).mapInPandas(run, f"{key} string, c_{key} string")
 
 
 def match_scores(pairs: DataFrame) -> DataFrame:
