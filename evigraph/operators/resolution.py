@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import surname, title_key, year_score
-from ..runtime import written
+from .nearness import close_pairs
 
 
 def edit_ratio(a: Column, b: Column) -> Column:
@@ -15,45 +15,16 @@ def edit_ratio(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), 0.0).otherwise(1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)))
 
 
-def near_titles(left: DataFrame, right: DataFrame, key: str, least: float, q: int = 4) -> DataFrame:
-    """(key, c_key, ratio): all pairs of distinct keys whose ``edit_ratio`` is ``least`` or more, none left out, by a join.
-
-    One edit touches ``q`` letter runs of a key at most. A key of n letters has a partner within t = n (1 - least) / least
-    edits only, so of its rarest q t + 1 runs the partner has one: both sides offer as many and meet there. Keys too short
-    to have so many runs offer all and also meet by their lengths' bucket, of which there are few.
-    """
-    a = written(left.select(F.col(key).alias("k")).where("k != ''").distinct(), "left")
-    b = written(right.select(F.col(key).alias("k")).where("k != ''").distinct(), "right")
-    n = F.length("k")
-    edits = F.floor(n * (1 - least) / least + 1e-9).cast("int")
-    runs = F.when(n >= q, F.array_distinct(F.transform(F.sequence(F.lit(1), n - (q - 1)), lambda i: F.substring("k", i, F.lit(q))))).otherwise(F.array().cast("array<string>"))
-    each = lambda df: df.select("k", n.alias("n"), edits.alias("t"), runs.alias("runs"))
-    x, y = each(a), each(b)
-    df = x.unionByName(y).select("k", "runs").distinct().select(F.explode("runs").alias("g")).groupBy("g").agg(F.count("*").alias("df"))
-    df = written(df, "runs")
-
-    def offered(rows: DataFrame) -> DataFrame:
-        rated = rows.select("k", "n", "t", F.explode("runs").alias("g")).join(df, "g")
-        w = W.partitionBy("k").orderBy("df", "g")
-        rare = rated.withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.col("t") * q + 1).select("k", "n", F.col("g").alias("key"))
-        # no edit ratio holds for a key that all its runs can be edited out of
-        short = rows.where(F.size("runs") <= F.col("t") * q).select("k", "n", F.explode(F.sequence(F.ceil(F.col("n") * least).cast("int"), F.floor(F.col("n") / least).cast("int"))).alias("m")).select("k", "n", F.concat(F.lit("#"), "m").alias("key"))
-        return rare.unionByName(short)
-
-    own = rows_by_length(y)
-    met = offered(x).join(offered(y).unionByName(own).select(F.col("k").alias("c"), F.col("n").alias("m"), "key"), "key")
-    met = met.unionByName(rows_by_length(x).join(offered(y).where(F.col("key").startswith("#")).select(F.col("k").alias("c"), F.col("n").alias("m"), "key"), "key"))
-    fits = F.least("n", "m") >= F.greatest("n", "m") * least - 1e-9
-    pairs = met.where(fits).select("k", "c").distinct()
+def near_titles(left: DataFrame, right: DataFrame, key: str, least: float) -> DataFrame:
+    """(key, c_key, ratio): all pairs of distinct keys whose ``edit_ratio`` is ``least`` or more, none left out.
+
+    ``close_pairs`` finds the pairs that may be so near, by runs of letters that a near pair shares whatever is edited; the
+    edits of those are then counted."""
+    pairs = close_pairs(left.select(F.col(key).alias("k")), right.select(F.col(key).alias("k")), share=1 - least)
     rated = pairs.withColumn("ratio", edit_ratio(F.col("k"), F.col("c"))).where(F.col("ratio") >= least)
     return rated.select(F.col("k").alias(key), F.col("c").alias(f"c_{key}"), "ratio")
 
 
-def rows_by_length(rows: DataFrame) -> DataFrame:
-    """Keys under their own length, for the few keys too short for letter runs."""
-    return rows.select("k", "n", F.concat(F.lit("#"), "n").alias("key"))
-
-
 def scored(pairs: DataFrame, title: Column) -> DataFrame:
     """Pairs (author, year, journal and c_author, ...) with ``overall``; ``title`` is their title score."""
     mine, theirs = surname(F.col("author")), surname(F.col("c_author"))

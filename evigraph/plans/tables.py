@@ -153,7 +153,7 @@ def q22_best_and_margin(spark: SparkSession, d: str) -> DataFrame:
     """Journals of the references against those of the papers of an edit ratio of .6 or more; no such next one counts as 0."""
     a = table(spark, d, "reference").select(F.col("journal").alias("name"), text.plain_key(F.col("journal")).alias("k")).where("k != ''").distinct()
     b = _held(spark, d).select(F.col("journal").alias("candidate"), text.plain_key(F.col("journal")).alias("k")).where("k != ''").distinct()
-    met = a.join(resolution.near_titles(a, b, "k", 0.6, q=2), "k").join(b.withColumnRenamed("k", "c_k"), "c_k")
+    met = a.join(resolution.near_titles(a, b, "k", 0.6), "k").join(b.withColumnRenamed("k", "c_k"), "c_k")
     return linkage.best_with_margin(met.select("name", "candidate", F.round("ratio", 6).alias("score")), ["name"], "score", "candidate").select("name", "candidate", "score", F.round("margin", 6).alias("margin"))
 
 
