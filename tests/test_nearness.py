@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from evigraph.operators import nearness
+from evigraph.operators import nearness, resolution
 
 WORDS = ("molecular ", "weight ", "control of ", "gel ", "a", "bc", "üß ", " x", "polymer ")
 
@@ -61,3 +61,10 @@ def test_phrases_that_all_share_make_no_pairs():
     name = lambda: "".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") for _ in range(8))
     titles = [f"molecular weight control of {name()} and {name()} networks" for _ in range(1500)]
     assert len(_found(titles, titles, share=0.08)) < 2 * len(titles)
+
+
+def test_the_cascade_and_the_local_match_do_not_join_runs_of_letters(spark, sf):
+    """Their plans on titles have no join on single runs, whose rows grow with the titles that share a phrase."""
+    titles = spark.createDataFrame([("molecular weight control of gels",)], "k string")
+    plan = resolution.near_titles(titles, titles, "k", 0.92)._jdf.queryExecution().toString()
+    assert "Generate explode(runs" not in plan and "MapInPandas" in plan
