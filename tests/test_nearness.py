@@ -68,3 +68,8 @@ def test_the_cascade_and_the_local_match_do_not_join_runs_of_letters(spark, sf):
     titles = spark.createDataFrame([("molecular weight control of gels",)], "k string")
     plan = resolution.near_titles(titles, titles, "k", 0.92)._jdf.queryExecution().toString()
     assert "Generate explode(runs" not in plan and "MapInPandas" in plan
+
+
+def test_titles_too_short_for_runs_meet_by_their_letters():
+    assert (0, 0) in _found(["ab", "abcdefghi"], ["ab", "abcdefghx", "zz"], share=0.1)
+    assert (0, 0) in _found(["abcdefghij"], ["abcdefghix"], share=0.1)
