@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .similarity import sparse_cosine_pairs, tfidf, topk_symmetric
+from .cosine import best_pairs
+from .similarity import tfidf
 
 
 def letter_grams(terms: DataFrame, term: str, low: int = 3, high: int = 5) -> DataFrame:
@@ -31,8 +32,7 @@ def letter_grams(terms: DataFrame, term: str, low: int = 3, high: int = 5) -> Da
 
 def lexical_pairs(terms: DataFrame, term: str, least: float, k: int) -> DataFrame:
     """(src, dst, weight): cosine of letter runs from ``least`` on, among the ``k`` best of either term."""
-    pairs = sparse_cosine_pairs(tfidf(letter_grams(terms, term), sublinear=False), least)
-    return topk_symmetric(pairs.withColumn("weight", F.round("weight", 9)), k)  # equal up to rounding is equal
+    return best_pairs(tfidf(letter_grams(terms, term), sublinear=False), least, k)  # equal up to rounding is equal
 
 
 def centroids(members: DataFrame, vectors: DataFrame) -> DataFrame:
