@@ -55,3 +55,7 @@ def test_letter_pairs_join_no_runs_of_letters(spark):
     assert [(r.src, r.dst) for r in df.collect()] == [("glass transition", "glass transitions")]
     assert "MapInArrow" in df._jdf.queryExecution().toString()
     assert keywords.lexical_pairs(terms.limit(0), "t", 0.12, 7).count() == 0
+
+
+def test_statement_pairs_write_no_candidates(spark):
+    assert "MapInArrow" in similarity.sparse_cosine_pairs(_vectors(spark), 0.5)._jdf.queryExecution().toString()
