@@ -59,3 +59,9 @@ def test_letter_pairs_join_no_runs_of_letters(spark):
 
 def test_statement_pairs_write_no_candidates(spark):
     assert "MapInArrow" in similarity.sparse_cosine_pairs(_vectors(spark), 0.5)._jdf.queryExecution().toString()
+
+
+def test_the_terms_to_judge_join_no_runs_of_letters(spark, sf):
+    from evigraph.plans import registry
+
+    assert "MapInArrow" in registry.QUERIES["q72_candidate_terms"](spark, sf)._jdf.queryExecution().toString()
