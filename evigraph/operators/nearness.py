@@ -37,9 +37,9 @@ def _runs(letters: np.ndarray, q: int) -> np.ndarray:
 
 
 def _letters(letters: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """How often each string has each letter, by its code modulo 32."""
+    """How often each string has each letter, by its code modulo 32, up to 127: a bound makes two strings no more unlike."""
     owner = np.repeat(np.arange(len(lengths)), lengths)
-    return np.bincount(owner * 32 + letters % 32, minlength=len(lengths) * 32).reshape(-1, 32).astype(np.int32)
+    return np.minimum(np.bincount(owner * 32 + letters % 32, minlength=len(lengths) * 32), 127).reshape(-1, 32).astype(np.int8)
 
 
 def _rarest(df: np.ndarray, q: int, count: int) -> np.ndarray:
@@ -77,14 +77,14 @@ def close(xs: list[str], ys: list[str], share: float | None = None, most: int =
             h = _runs(yl, q)
             place = np.arange(len(yl)) - ya[owner] if len(yl) else np.zeros(0, np.int64)
             valid = np.flatnonzero(place[: len(h)] + q <= yn[owner[: len(h)]])
-            order = valid[np.argsort(h[valid], kind="stable")]
+            order = valid[np.argsort(h[valid])]
             keys, first, count = np.unique(h[order], return_index=True, return_counts=True)
             index[q] = keys, first, count, owner[order], place[order]
         return index[q]
 
     def kept(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not begun and len(i):
-            ok = [np.abs(x_letters[i[lo : lo + 200_000]] - y_letters[j[lo : lo + 200_000]]).sum(1) <= 2 * allowed(np.maximum(xn[i[lo : lo + 200_000]], yn[j[lo : lo + 200_000]])) for lo in range(0, len(i), 200_000)]
+            ok = [np.abs(x_letters[i[lo : lo + 200_000]] - y_letters[j[lo : lo + 200_000]]).sum(1, dtype=np.int16) <= 2 * allowed(np.maximum(xn[i[lo : lo + 200_000]], yn[j[lo : lo + 200_000]])) for lo in range(0, len(i), 200_000)]
             i, j = i[o := np.concatenate(ok)], j[o]
         return i, j
 
@@ -121,7 +121,8 @@ def close(xs: list[str], ys: list[str], share: float | None = None, most: int =
                 post = np.repeat(g - (np.cumsum(k) - k), k) + np.arange(k.sum())
                 i, j = np.repeat(np.repeat(part[a:b], count), k), posts[post]
                 o = (np.abs(places[post] - np.repeat(s, k)) <= t) & fits(i, j)
-                one = np.unique(i[o] * len(ys) + j[o])
+                one = np.sort(i[o] * len(ys) + j[o])  # a sort takes less than np.unique, which hashes
+                one = one[np.append(True, one[1:] != one[:-1])] if len(one) else one
                 yield kept(one // len(ys), one % len(ys))
                 a = b
 

@@ -21,7 +21,9 @@ def near_titles(left: DataFrame, right: DataFrame, key: str, least: float) -> Da
     ``close_pairs`` finds the pairs that may be so near, by runs of letters that a near pair shares whatever is edited; the
     edits of those are then counted."""
     pairs = close_pairs(left.select(F.col(key).alias("k")), right.select(F.col(key).alias("k")), share=1 - least)
-    rated = pairs.withColumn("ratio", edit_ratio(F.col("k"), F.col("c"))).where(F.col("ratio") >= least)
+    longest = F.greatest(F.length("k"), F.length("c"))
+    few = F.call_function("levenshtein", F.col("k"), F.col("c"), F.ceil((1 - least) * longest + 1e-9).cast("int"))  # -1 if there are more
+    rated = pairs.withColumn("few", few).where("few >= 0").withColumn("ratio", 1 - F.col("few") / longest).where(F.col("ratio") >= least)
     return rated.select(F.col("k").alias(key), F.col("c").alias(f"c_{key}"), "ratio")
 
 

@@ -73,3 +73,15 @@ def test_the_cascade_and_the_local_match_do_not_join_runs_of_letters(spark, sf):
 def test_titles_too_short_for_runs_meet_by_their_letters():
     assert (0, 0) in _found(["ab", "abcdefghi"], ["ab", "abcdefghx", "zz"], share=0.1)
     assert (0, 0) in _found(["abcdefghij"], ["abcdefghix"], share=0.1)
+
+
+def test_edits_are_counted_up_to_the_bound_only(spark):
+    df = spark.createDataFrame([("abcdefghij",), ("abcdefghix",), ("abcdefgxyz",)], "k string")
+    near = resolution.near_titles(df, df, "k", 0.90)
+    assert sorted((r.k, r.c_k, round(r.ratio, 9)) for r in near.where("k < c_k").collect()) == [("abcdefghij", "abcdefghix", 0.9)]
+    assert "ceil" in near._jdf.queryExecution().toString().lower()
+
+
+def test_letters_beyond_a_byte_are_counted_up_to_the_same_bound():
+    assert nearness._letters(*nearness._flat(["a" * 300])[::2]).max() == 127
+    assert (0, 0) in _found(["a" * 300 + "b"], ["a" * 299 + "b"], share=0.08)
