@@ -36,3 +36,19 @@ def test_the_query_joins_no_pairs_of_papers(spark, sf):
     assert out._jdf.queryExecution().toString().count("Scan parquet") <= 8
     want = graph.cluster_groups(layers._projected(spark, sf), "project_slug")
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_each_pair_pushes_once_and_all_do():
+    pos = np.random.default_rng(1).standard_normal((70, 2))
+    gap = pos[:, None, :] - pos[None, :, :]
+    want = (gap / (np.square(gap).sum(2, keepdims=True) + 1e-3)).sum(1)
+    assert np.allclose(graph._repulsion(pos, tile=16), want)
+
+
+def test_layout_of_sets_is_that_of_their_edges(spark, sf):
+    out = layers.q48_layout(spark, sf)
+    edges = layers._projected(spark, sf)
+    ends = {(r.project_slug, n) for r in edges.collect() for n in (r.src, r.dst)}
+    got = out.collect()
+    assert {(r.project_slug, r.node) for r in got} == ends and len(got) == len(ends)
+    assert all(abs(r.x) <= 850.001 and abs(r.y) <= 850.001 for r in got)
