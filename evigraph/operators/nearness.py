@@ -3,16 +3,18 @@
 A string that ``t`` edits change keeps one of any ``t`` + 1 disjoint runs of letters whole, moved by ``t`` places at most. Of each
 left string those disjoint runs are taken that the fewest right strings have; the right strings that have one about its place are
 its candidates, and those go out whose letters differ by more than the edits can change. Blocks of left strings meet blocks of
-right strings, so memory is bounded; a run is never left out for being frequent.
+right strings, so memory is bounded; a run is never left out for being frequent. Where a share is allowed, strings are put into
+bands of lengths, so wide that near strings are of the same band or of neighbours, and only those bands' blocks meet.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship_code, written
@@ -36,6 +38,11 @@ def _runs(letters: np.ndarray, q: int) -> np.ndarray:
     return out
 
 
+def _placed(runs: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Run and place in one number, so that a run's places from one to another lie together; places beyond 65,535 count as that."""
+    return runs & ~np.uint64(0xFFFF) | np.clip(places, 0, 0xFFFF).astype(np.uint64)
+
+
 def _letters(letters: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """How often each string has each letter, by its code modulo 32, up to 127: a bound makes two strings no more unlike."""
     owner = np.repeat(np.arange(len(lengths)), lengths)
@@ -73,71 +80,92 @@ def close(xs: list[str], ys: list[str], share: float | None = None, most: int =
     index: dict[int, tuple] = {}
 
     def indexed(q: int) -> tuple:
+        """All runs, by their number and then their place, and whose they are."""
         if q not in index:
             h = _runs(yl, q)
             place = np.arange(len(yl)) - ya[owner] if len(yl) else np.zeros(0, np.int64)
             valid = np.flatnonzero(place[: len(h)] + q <= yn[owner[: len(h)]])
-            order = valid[np.argsort(h[valid])]
-            keys, first, count = np.unique(h[order], return_index=True, return_counts=True)
-            index[q] = keys, first, count, owner[order], place[order]
+            keys = _placed(h[valid], place[valid])
+            order = np.argsort(keys)
+            index[q] = keys[order], owner[valid[order]].astype(np.int32)
         return index[q]
 
-    def kept(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def kept(i: np.ndarray, j: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not begun and len(i):
-            ok = [np.abs(x_letters[i[lo : lo + 200_000]] - y_letters[j[lo : lo + 200_000]]).sum(1, dtype=np.int16) <= 2 * allowed(np.maximum(xn[i[lo : lo + 200_000]], yn[j[lo : lo + 200_000]])) for lo in range(0, len(i), 200_000)]
+            ok = [np.abs(x_letters[i[lo : lo + 200_000]] - y_letters[j[lo : lo + 200_000]]).sum(1, dtype=np.int16) <= 2 * most[j[lo : lo + 200_000]] for lo in range(0, len(i), 200_000)]
             i, j = i[o := np.concatenate(ok)], j[o]
         return i, j
 
-    def fits(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        gap = xn[i] - yn[j]
-        return gap <= most if begun else np.abs(gap) <= allowed(np.maximum(xn[i], yn[j]))
-
     for n in np.unique(xn).tolist():
         rows, t = np.flatnonzero(xn == n), edits(n)
         count = (2 * t if swaps else t) + 1
         q = min(_RUN, n // count)
+        may = allowed(np.maximum(n, yn))
+        fits = n - yn <= most if begun else np.abs(n - yn) <= may
         if not q:  # edits can change all its letters
-            every = np.arange(len(ys))
+            every = np.flatnonzero(fits)
             for r in rows.tolist():
-                i = np.full(len(every), r)
-                yield kept(i[o := fits(i, every)], every[o])
+                yield kept(np.full(len(every), r), every, may)
             continue
-        keys, first, counts, posts, places = indexed(q)
+        keys, posts = indexed(q)
         if not len(keys):
             continue
         some = max(1, min(4096, _POSTINGS // (n * count)))
         for lo in range(0, len(rows), some):
             part = rows[lo : lo + some]
             h = _runs(xl[xa[part][:, None] + np.arange(n)], q)
-            at = np.minimum(np.searchsorted(keys, h.ravel()), len(keys) - 1).reshape(h.shape)
-            df = np.where(keys[at] == h, counts[at], 0)
+            place = np.broadcast_to(np.arange(h.shape[1]), h.shape)
+            low, high = _placed(h, place - t).ravel(), _placed(h, place + t).ravel()
+            first, df = np.empty(h.shape, np.int64), np.empty(h.shape, np.int64)
+            order = np.argsort(low)  # sorted ones are found faster, as neighbours lie in the cache
+            first.ravel()[order] = now = np.searchsorted(keys, low[order])
+            df.ravel()[order] = np.searchsorted(keys, high[order], "right") - now
             start = _rarest(df, q, count)
-            many, which = np.take_along_axis(df, start, 1), np.take_along_axis(at, start, 1)
+            many, at = np.take_along_axis(df, start, 1), np.take_along_axis(first, start, 1)
             ends = np.cumsum(many.sum(1))
             a = 0
             while a < len(part):  # as many rows at once as their postings allow
                 b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + _POSTINGS, "right")))
-                k, g, s = many[a:b].ravel(), first[which[a:b]].ravel(), start[a:b].ravel()
-                post = np.repeat(g - (np.cumsum(k) - k), k) + np.arange(k.sum())
+                k = many[a:b].ravel()
+                post = np.repeat(at[a:b].ravel() - (np.cumsum(k) - k), k) + np.arange(k.sum())
                 i, j = np.repeat(np.repeat(part[a:b], count), k), posts[post]
-                o = (np.abs(places[post] - np.repeat(s, k)) <= t) & fits(i, j)
+                o = fits[j]
                 one = np.sort(i[o] * len(ys) + j[o])  # a sort takes less than np.unique, which hashes
                 one = one[np.append(True, one[1:] != one[:-1])] if len(one) else one
-                yield kept(one // len(ys), one % len(ys))
+                yield kept(one // len(ys), one % len(ys), may)
                 a = b
 
 
-def blocks(df: DataFrame, key: str, names: str, rows: int) -> tuple[DataFrame, int]:
-    """(block, names): the strings of a table in lists of about ``rows``."""
-    n = max(1, -(-df.count() // rows))
-    return df.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).alias("block")).agg(F.collect_list(key).alias(names)), n
+def band(length: Column, share: float | None) -> Column:
+    """A number for lengths: of two that ``share`` of the greater allows for near strings, it differs by 1 at most."""
+    if share is None or share >= 1:
+        return F.lit(0)
+    return F.floor(F.log(length) / F.lit(max(-math.log(1 - share), 0.05) + 1e-6)).cast("int")
+
+
+def blocks(df: DataFrame, names: str, rows: int) -> tuple[DataFrame, dict[int, int]]:
+    """(band, block, names): the strings ``k`` of each band in lists of about ``rows``; how many lists each band has."""
+    n = {b: -(-c // rows) for b, c in df.groupBy("band").count().collect()}  # some hundred bands at most
+    return df.groupBy("band", F.pmod(F.xxhash64("k"), _of(n, F.col("band"))).cast("int").alias("block")).agg(F.collect_list("k").alias(names)), n
+
+
+def _of(counts: dict[int, int], b: Column) -> Column:
+    """What ``counts`` has for a band; there is no band -9, a map may not be empty."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in ({-9: 0} | counts).items() for x in pair]), b)
+
+
+def _for_each(df: DataFrame, own: str, names: str, other: str, counts: dict[int, int]) -> DataFrame:
+    """The lists once for each list of the other side that is in their band or next to it."""
+    bands = df.select(F.col("band").alias(own), F.col("block").alias(f"{own}_no"), names, F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias(other))
+    n = _of(counts, F.col(other))
+    return bands.where(n > 0).withColumn(f"{other}_no", F.explode(F.sequence(F.lit(0), n - 1)))
 
 
 def close_pairs(left: DataFrame, right: DataFrame, share: float | None = None, most: int = 0, swaps: bool = False, begun: bool = False, left_rows: int = 8192, right_rows: int = 32768) -> DataFrame:
     """(k, c): the pairs that ``close`` finds among the distinct strings ``k`` of both tables."""
     ship_code(left.sparkSession)
-    once = lambda df, name: written(df.select("k").where("k is not null and k != ''").distinct(), name)
-    (a, m), (b, n) = blocks(once(left, "left"), "k", "xs", left_rows), blocks(once(right, "right"), "k", "ys", right_rows)
+    once = lambda df, name: written(df.select("k").where("k is not null and k != ''").distinct(), name).withColumn("band", band(F.length("k"), share))
+    (a, m), (b, n) = blocks(once(left, "left"), "xs", left_rows), blocks(once(right, "right"), "ys", right_rows)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -147,6 +175,7 @@ def close_pairs(left: DataFrame, right: DataFrame, share: float | None = None, m
                     if len(i):
                         yield pd.DataFrame({"k": x[i], "c": y[j]})
 
-    grid = a.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))).join(b.withColumnRenamed("block", "part"), "part")
-    even = grid.repartition(min(m * n, 2000), F.col("block"), F.col("part")) if m * n > 1 else grid
-    return even.select("xs", "ys").mapInPandas(run, "k string, c string")
+    met = sum(m[x] * n.get(y, 0) for x in m for y in (x - 1, x, x + 1))
+    keys, parts = ["l", "l_no", "r", "r_no"], min(max(2 * met, 1), 2000)  # a number that is given is not made less by small data
+    even = [df.repartition(parts, *keys) for df in (_for_each(a, "l", "xs", "r", n), _for_each(b, "r", "ys", "l", m))]
+    return even[0].join(even[1], keys).select("xs", "ys").mapInPandas(run, "k string, c string")

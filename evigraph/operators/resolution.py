@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import surname, title_key, year_score
+from ..runtime import written
 from .nearness import close_pairs
 
 
@@ -20,13 +21,26 @@ def near_titles(left: DataFrame, right: DataFrame, key: str, least: float) -> Da
 
     ``close_pairs`` finds the pairs that may be so near, by runs of letters that a near pair shares whatever is edited; the
     edits of those are then counted."""
-    pairs = close_pairs(left.select(F.col(key).alias("k")), right.select(F.col(key).alias("k")), share=1 - least)
+    pairs = close_pairs(left.select(F.col(key).alias("k")), right.select(F.col(key).alias("k")), share=1 - least, left_rows=32768)
     longest = F.greatest(F.length("k"), F.length("c"))
     few = F.call_function("levenshtein", F.col("k"), F.col("c"), F.ceil((1 - least) * longest + 1e-9).cast("int"))  # -1 if there are more
     rated = pairs.withColumn("few", few).where("few >= 0").withColumn("ratio", 1 - F.col("few") / longest).where(F.col("ratio") >= least)
     return rated.select(F.col("k").alias(key), F.col("c").alias(f"c_{key}"), "ratio")
 
 
+def best_titles(left: DataFrame, right: DataFrame, key: str, least: float, candidate: str) -> DataFrame:
+    """(key, ratio, candidate): of each distinct left key the nearest right row of an ``edit_ratio`` of ``least`` or more, the
+    greatest candidate of those alike to six places.
+
+    A key that the right side has needs no search: no other is as near, but for keys so long that an edit is lost in rounding."""
+    held = right.groupBy(key).agg(F.max(candidate).alias(candidate))
+    keys = written(left.select(key).distinct().join(held, key, "left"), "keys")
+    exact = F.col(candidate).isNotNull() & (F.length(key) < 1_000_000)
+    near = near_titles(keys.where(~exact), held, key, least).join(held.withColumnRenamed(key, f"c_{key}"), f"c_{key}")
+    best = near.groupBy(key).agg(F.max(F.struct(F.round("ratio", 6).alias("ratio"), candidate)).alias("top"))
+    return keys.where(exact).select(key, F.lit(1.0).alias("ratio"), candidate).unionByName(best.select(key, "top.ratio", f"top.{candidate}"))
+
+
 def scored(pairs: DataFrame, title: Column) -> DataFrame:
     """Pairs (author, year, journal and c_author, ...) with ``overall``; ``title`` is their title score."""
     mine, theirs = surname(F.col("author")), surname(F.col("c_author"))

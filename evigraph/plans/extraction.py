@@ -144,16 +144,22 @@ def q76_referenced_edges(spark: SparkSession, d: str) -> DataFrame:
     return resolution.referenced_edges(works.select("citing", "work"), library, works.where("target is not null").select("citing", "target"))
 
 
+def _older_match(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(reference_no, paper_id) by DOI, where the last paper of a DOI holds, and of the other references by the nearest title."""
+    r = table(spark, d, "reference").select("reference_no", text.legacy_doi(F.col("doi")).alias("doi"), text.entity_key(F.col("title")).alias("k"))
+    p = written(_held(spark, d).select("paper_id", text.legacy_doi(F.col("doi")).alias("doi"), text.entity_key(F.col("title")).alias("k")), "papers")
+    last = p.where("doi != ''").groupBy("doi").agg(F.max("paper_id").alias("paper_id"))
+    by_doi = written(r.where("doi != ''").join(last, "doi").groupBy("reference_no").agg(F.max("paper_id").alias("paper_id")), "by_doi")
+    rest = written(r.where("length(k) >= 22").join(by_doi, "reference_no", "left_anti").select("reference_no", "k"), "rest")
+    best = resolution.best_titles(rest, p.where("length(k) >= 22"), "k", 0.92, "paper_id")
+    top = rest.join(best, "k").groupBy("reference_no").agg(F.max(F.struct("ratio", "paper_id")).alias("top"))
+    return by_doi, top.select("reference_no", "top.paper_id")
+
+
 def q77_doi_or_title(spark: SparkSession, d: str) -> DataFrame:
     """The older match: by DOI, where the last paper of a DOI holds, else the nearest title from .92 on and 22 letters on."""
-    r = table(spark, d, "reference").select("reference_no", text.legacy_doi(F.col("doi")).alias("doi"), text.entity_key(F.col("title")).alias("k")).distinct()
-    p = _held(spark, d).select("paper_id", text.legacy_doi(F.col("doi")).alias("doi"), text.entity_key(F.col("title")).alias("k"))
-    by_doi = r.where("doi != ''").join(p.where("doi != ''").groupBy("doi").agg(F.max("paper_id").alias("paper_id")), "doi").select("reference_no", "paper_id", F.lit("doi").alias("method"))
-    rest = r.join(by_doi.select("reference_no"), "reference_no", "left_anti").where("length(k) >= 22")
-    near = resolution.near_titles(rest, p.where("length(k) >= 22"), "k", 0.92)
-    rated = rest.join(near, "k").join(p.select("paper_id", F.col("k").alias("c_k")), "c_k")
-    best = rated.groupBy("reference_no").agg(F.max(F.struct(F.round("ratio", 6).alias("ratio"), "paper_id")).alias("top"))
-    return by_doi.unionByName(best.select("reference_no", "top.paper_id", F.lit("title").alias("method")))
+    by_doi, by_title = _older_match(spark, d)
+    return by_doi.withColumn("method", F.lit("doi")).unionByName(by_title.withColumn("method", F.lit("title")))
 
 
 def q78_chosen_metadata(spark: SparkSession, d: str) -> DataFrame:

@@ -11,8 +11,8 @@ from ..operators.orphans import paper_number
 from ..runtime import table
 from ..settings import PROFILES, profile
 from .layers import _CITES, _HELD, _METHODS, _PROPS, _citation_edges, _citations, _combined, _COMBINED, _held, _items, _key, _number, _property_layer, _topk
-from .extraction import _ROLE, _WORKS, _grams, q76_referenced_edges, q77_doi_or_title
-from .tables import _DUPS, _EVID, _MISS, _OBJ, _SENT, _objectives, q13_missing_evidence, q14_duplicate_statements, q21_unique_exact, q51_citation_contexts, q52_numbers_not_found
+from .extraction import _ROLE, _WORKS, _grams, _older_match, q76_referenced_edges
+from .tables import _DUPS, _EVID, _MISS, _OBJ, _SENT, _objectives, q13_missing_evidence, q14_duplicate_statements, q51_citation_contexts, q52_numbers_not_found
 from .extraction import SQL as _EXTRACTED
 from .tables import SQL as _TABLES
 
@@ -193,8 +193,10 @@ def q104_selected_layers(spark: SparkSession, d: str) -> DataFrame:
 def q105_cascade(spark: SparkSession, d: str) -> DataFrame:
     """References resolved by DOI, else by title in the older way."""
     refs = table(spark, d, "reference").select("reference_no").distinct()
-    by_doi = q21_unique_exact(spark, d).groupBy("reference_no").agg(F.min("paper_id").alias("paper_id"))
-    by_title = q77_doi_or_title(spark, d).where("method = 'title'").select("reference_no", "paper_id")
+    rows = table(spark, d, "reference").select("reference_no", text.doi_key(F.col("doi")).alias("doi")).where("doi != ''")
+    papers = _held(spark, d).select("paper_id", text.doi_key(F.col("doi")).alias("doi"))
+    by_doi = linkage.unique_exact(rows, papers, "doi", "paper_id").groupBy("reference_no").agg(F.min("paper_id").alias("paper_id"))
+    by_title = _older_match(spark, d)[1]
     return linkage.cascade(refs, ["reference_no"], [("doi", by_doi), ("title", by_title)], "paper_id")
 
 

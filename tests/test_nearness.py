@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from evigraph.operators import nearness, resolution
 
@@ -85,3 +86,54 @@ def test_edits_are_counted_up_to_the_bound_only(spark):
 def test_letters_beyond_a_byte_are_counted_up_to_the_same_bound():
     assert nearness._letters(*nearness._flat(["a" * 300])[::2]).max() == 127
     assert (0, 0) in _found(["a" * 300 + "b"], ["a" * 299 + "b"], share=0.08)
+
+
+@pytest.mark.parametrize("share", [0.02, 0.08, 0.1, 0.4, 0.6])
+def test_only_titles_of_lengths_that_may_be_near_meet(spark, share):
+    of = {r.n: r.b for r in spark.range(1, 400).select(F.col("id").alias("n"), nearness.band(F.col("id"), share).alias("b")).collect()}
+    assert all(abs(of[n] - of[m]) <= 1 for n in of for m in of if abs(n - m) <= int(max(n, m) * share + 1e-9))
+    assert of[399] - of[1] > 3
+
+
+def test_lists_of_far_lengths_do_not_meet(spark, monkeypatch):
+    """Twelve lengths, each half as long again as the last: a list meets that of its own length only."""
+    monkeypatch.setattr(nearness, "close", lambda xs, ys, *_: iter([([0], [0])]))
+    df = spark.createDataFrame([("a" * int(3 * 1.5**n),) for n in range(12)], "k string")
+    assert len(nearness.close_pairs(df, df, share=0.08).collect()) == 12
+    assert len(nearness.close_pairs(df, df, most=2).collect()) == 1
+
+
+def test_lists_of_many_titles_are_divided_and_all_meet(spark):
+    xs, ys = _strings()
+    left, right = (spark.createDataFrame([(v,) for v in vs], "k string") for vs in (xs, ys))
+    got = {(r.k, r.c) for r in nearness.close_pairs(left, right, share=0.4, left_rows=4, right_rows=5).collect()}
+    assert {(x, y) for x in xs for y in ys if x and y and _edits(x, y) <= 0.4 * max(len(x), len(y)) + 1e-9} <= got
+    assert not nearness.close_pairs(left.where("false"), right, share=0.4).collect() + nearness.close_pairs(left, right.where("false"), share=0.4).collect()
+
+
+def test_places_beyond_the_index_are_found():
+    rng = random.Random(6)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(70_000))
+    assert (0, 0) in _found([long], ["x" + long[:-1]], share=0.0001)
+
+
+def test_the_nearest_title_is_sought_for_titles_that_the_library_lacks_only(spark, monkeypatch):
+    sought, near = [], resolution.near_titles
+    monkeypatch.setattr(resolution, "near_titles", lambda left, right, key, least: (sought.append(left.select(key)), near(left, right, key, least))[1])
+    held = [("abcdefghij", "P1"), ("abcdefghij", "P2"), ("abcdefghix", "P9"), ("klmnopqrst", "P3"), ("klmnopqrsu", "P4")]
+    right = spark.createDataFrame(held, "k string, paper_id string")
+    left = spark.createDataFrame([("abcdefghij",), ("abcdefghij",), ("klmnopqrsv",), ("abcdefghiy",), ("zzzzzzzzzz",)], "k string")
+    got = sorted(map(tuple, resolution.best_titles(left, right, "k", 0.9, "paper_id").collect()))
+    assert got == [("abcdefghij", 1.0, "P2"), ("abcdefghiy", 0.9, "P9"), ("klmnopqrsv", 0.9, "P4")]
+    assert sorted(r.k for r in sought[0].collect()) == ["abcdefghiy", "klmnopqrsv", "zzzzzzzzzz"]
+
+
+def test_many_references_and_papers_of_one_title(spark, tmp_path):
+    """The last paper is taken, whatever number of them and of references share the title."""
+    from evigraph.plans import state
+
+    title = "a common scale for the swelling of networks"
+    spark.range(300).selectExpr("id as reference_no", f"'{title}' as title", "cast(null as string) as doi").write.parquet(f"{tmp_path}/reference.parquet")
+    spark.range(200).selectExpr("printf('P%04d', id) as paper_id", "current_timestamp() as last_seen_at", "1 as active", f"'{title}' as title", "cast(null as string) as doi").write.parquet(f"{tmp_path}/papers.parquet")
+    out = state.q105_cascade(spark, str(tmp_path))
+    assert {(r.paper_id, r.method) for r in out.collect()} == {("P0199", "title")} and out.count() == 300
