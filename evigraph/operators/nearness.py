@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..runtime import ship_code, written
 
 _BASE, _RUN, _POSTINGS = np.uint64(0x9E3779B97F4A7C15), 8, 2_000_000
+_PAIRS = 20_000_000  # of strings that a task compares, at which it takes longer than it takes to begin one
 
 
 def _flat(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,9 +145,14 @@ def band(length: Column, share: float | None) -> Column:
 
 
 def blocks(df: DataFrame, names: str, rows: int) -> tuple[DataFrame, dict[int, int]]:
-    """(band, block, names): the strings ``k`` of each band in lists of about ``rows``; how many lists each band has."""
-    n = {b: -(-c // rows) for b, c in df.groupBy("band").count().collect()}  # some hundred bands at most
-    return df.groupBy("band", F.pmod(F.xxhash64("k"), _of(n, F.col("band"))).cast("int").alias("block")).agg(F.collect_list("k").alias(names)), n
+    """(band, block, names): the strings ``k`` of each band in lists of about ``rows``; how many strings each band has."""
+    strings = dict(df.groupBy("band").count().collect())  # some hundred bands at most
+    lists = _of(_lists(strings, rows), F.col("band"))
+    return df.groupBy("band", F.pmod(F.xxhash64("k"), lists).cast("int").alias("block")).agg(F.collect_list("k").alias(names)), strings
+
+
+def _lists(strings: dict[int, int], rows: int) -> dict[int, int]:
+    return {b: -(-n // rows) for b, n in strings.items()}
 
 
 def _of(counts: dict[int, int], b: Column) -> Column:
@@ -165,7 +171,8 @@ def close_pairs(left: DataFrame, right: DataFrame, share: float | None = None, m
     """(k, c): the pairs that ``close`` finds among the distinct strings ``k`` of both tables."""
     ship_code(left.sparkSession)
     once = lambda df, name: written(df.select("k").where("k is not null and k != ''").distinct(), name).withColumn("band", band(F.length("k"), share))
-    (a, m), (b, n) = blocks(once(left, "left"), "xs", left_rows), blocks(once(right, "right"), "ys", right_rows)
+    (a, xn), (b, yn) = blocks(once(left, "left"), "xs", left_rows), blocks(once(right, "right"), "ys", right_rows)
+    m, n = _lists(xn, left_rows), _lists(yn, right_rows)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -175,7 +182,9 @@ def close_pairs(left: DataFrame, right: DataFrame, share: float | None = None, m
                     if len(i):
                         yield pd.DataFrame({"k": x[i], "c": y[j]})
 
-    met = sum(m[x] * n.get(y, 0) for x in m for y in (x - 1, x, x + 1))
-    keys, parts = ["l", "l_no", "r", "r_no"], min(max(2 * met, 1), 2000)  # a number that is given is not made less by small data
+    met = [(x, y) for x in m for y in (x - 1, x, x + 1) if y in n]
+    work = sum(xn[x] * yn[y] for x, y in met) // _PAIRS
+    # a number that is given stays as it is, however few bytes the tasks get
+    keys, parts = ["l", "l_no", "r", "r_no"], max(1, min(2 * sum(m[x] * n[y] for x, y in met), max(work, 12), 2000))
     even = [df.repartition(parts, *keys) for df in (_for_each(a, "l", "xs", "r", n), _for_each(b, "r", "ys", "l", m))]
     return even[0].join(even[1], keys).select("xs", "ys").mapInPandas(run, "k string, c string")
