@@ -111,6 +111,20 @@ def test_lists_of_many_titles_are_divided_and_all_meet(spark):
     assert not nearness.close_pairs(left.where("false"), right, share=0.4).collect() + nearness.close_pairs(left, right.where("false"), share=0.4).collect()
 
 
+@pytest.mark.parametrize("how", [{"share": 0.4}, {"most": 2}])
+def test_lists_are_sent_once_in_as_many_parts_as_asked_for(spark, how):
+    """Another exchange by the key of the join alone would be made less for its few bytes, and tasks with it."""
+    df = spark.createDataFrame([(v,) for v in _strings()[1]], "k string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = nearness.close_pairs(df, df, left_rows=8, right_rows=8, **how)
+        pairs.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plan = pairs._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("REPARTITION_BY_NUM") == 2 and "AQEShuffleRead" not in plan.split("REPARTITION_BY_NUM")[0]
+
+
 def test_places_beyond_the_index_are_found():
     rng = random.Random(6)
     long = "".join(rng.choice("abcdefgh ") for _ in range(70_000))
